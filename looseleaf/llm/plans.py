@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from looseleaf.llm.canonical import map_cells
 from looseleaf.llm.plain_form import cells, not_plain
 from looseleaf.sources.tables import table
 
@@ -10,5 +13,11 @@ def p5_found(spark, d):
     return not_plain(cells({"source_notes": (table(spark, d, "source_notes"), "note_id", ["section", "chapter"]), "exported_entities": (table(spark, d, "exported_entities"), "entity_id", ["name"])}))
 
 
-QUERIES = {"p5_found": p5_found}
+def p3_found(spark, d):
+    typed = cells({"tongue_descriptions": (table(spark, d, "tongue_descriptions"), "row_no", ["color", "coating"]), "exported_entities": (table(spark, d, "exported_entities"), "entity_id", ["name"])})
+    axis = F.when(F.col("field") == "name", "entity").otherwise(F.col("field"))
+    return map_cells(typed.withColumn("axis", axis), table(spark, d, "canonical_terms"))
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
