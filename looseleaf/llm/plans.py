@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from looseleaf.llm.canonical import map_cells
+from looseleaf.llm.personal import mention_rows
 from looseleaf.llm.plain_form import cells, not_plain
 from looseleaf.sources.tables import table
 
@@ -19,5 +20,17 @@ def p3_found(spark, d):
     return map_cells(typed.withColumn("axis", axis), table(spark, d, "canonical_terms"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+def p6_found(spark, d):
+    return mention_rows(
+        cells(
+            {
+                "consultation_turns": (table(spark, d, "consultation_turns"), "turn_id", ["text"]),
+                "health_records": (table(spark, d, "health_records"), "record_id", ["conversation_summary"]),
+                "profile_ops": (table(spark, d, "profile_ops"), "delivery_id", ["text"]),
+            }
+        )
+    )
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 SQL: dict[str, str] = {}
