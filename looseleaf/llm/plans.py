@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from looseleaf.llm.canonical import map_cells
+from looseleaf.llm.contamination import find_leaks
 from looseleaf.llm.personal import mention_rows
 from looseleaf.llm.plain_form import cells, not_plain
 from looseleaf.sources.tables import table
@@ -32,5 +33,9 @@ def p6_found(spark, d):
     )
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def p8_found(spark, d):
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}
