@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from looseleaf.llm.canonical import map_cells
 from looseleaf.llm.contamination import find_leaks
+from looseleaf.llm.encoding import damaged
 from looseleaf.llm.personal import mention_rows
 from looseleaf.llm.plain_form import cells, not_plain
 from looseleaf.sources.tables import table
@@ -37,5 +38,9 @@ def p8_found(spark, d):
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+def p9_found(spark, d):
+    return damaged(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
