@@ -7,8 +7,8 @@ words of a text finds the channel of each word that makes the text most likely u
 and the frequencies of words in the whole corpus; wildcards are filled by a second search within the word.
 
 Scale: the frequencies are counted in one pass, within tasks first, and what leaves a task is bounded by the pairs of
-characters and the words with foreign letters that it saw. Texts without any sign of damage are passed over by a regular
-expression in the JVM.
+characters and the words with foreign letters that it saw. Texts without any sign of damage are passed over by a test of
+character classes over whole Arrow batches. Nothing else is shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 #: Encodings that damaged text was read in.
 WESTERN = ("cp1252", "mac_roman", "cp874")
@@ -46,29 +46,63 @@ def _bytes_of(codec: str) -> dict[str, int]:
     return out
 
 
-def _class(codec: str, lo: int, hi: int) -> str:
-    return "".join("\\x{%x}" % ord(c) for c, b in _bytes_of(codec).items() if lo <= b <= hi)
-
-
-def _signs() -> str:
-    """What a damaged text holds at least one of."""
-    lead, tail = {c: _class(c, 0xC2, 0xF4) for c in WESTERN}, {c: _class(c, 0x80, 0xBF) for c in WESTERN}
-    thai = f"[{lead['cp874']}][{tail['cp874']}]{{1,2}}"
-    return "|".join(
-        [
-            LOST,
-            r"[\x{80}-\x{9f}]",
-            *(f"[{lead[c]}][{tail[c]}]" for c in ("cp1252", "mac_roman")),
-            f"(เ[ธน][{tail['cp874']}]){{2}}|โ[€]",
-            f"[A-Za-z]{thai}|{thai}[A-Za-z]|[ -~] {thai} [ -~]",
-            r"[\x{a1}-\x{fb}]{3}",
-            r"\p{L}\?\p{L}|\?{4}|\? \?\?",
-            "[A-Za-z][ก-๛]|[ก-๛][A-Za-z]",
-        ]
-    )
+#: Classes of characters that signs of damage are made of, as bits.
+_SURE, _LEAD_W, _TAIL_W, _LEAD_M, _TAIL_M, _LEAD_T, _TAIL_T, _HIGH, _LATIN, _THAI, _ASK, _LETTER, _E, _TN, _PRINT, _FOREIGN = (1 << k for k in range(16))
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    to = np.zeros(0x10000, np.uint16)
+    for codec, lead, tail in (("cp1252", _LEAD_W, _TAIL_W), ("mac_roman", _LEAD_M, _TAIL_M), ("cp874", _LEAD_T, _TAIL_T)):
+        for c, b in _bytes_of(codec).items():
+            to[ord(c)] |= lead if 0xC2 <= b <= 0xF4 else tail if b < 0xC0 else 0
+    to[0x80:0xA0] |= _SURE
+    to[ord(LOST)] |= _SURE
+    to[0xA1:0xFC] |= _HIGH
+    to[0x0E01:0x0E5C] |= _THAI
+    to[ord("?")] |= _ASK
+    to[ord("เ")] |= _E
+    to[[ord("ธ"), ord("น")]] |= _TN
+    to[0x21:0x7F] |= _PRINT
+    for cp in range(0x10000):
+        if chr(cp).isalpha():
+            to[cp] |= _LETTER
+    for lo, hi in ((65, 91), (97, 123)):
+        to[lo:hi] |= _LATIN
+    to[0x80:] |= _FOREIGN
+    to[0x0E01:0x0E5C] &= ~np.uint16(_FOREIGN)
+    return to
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, classes, starts) of the texts, a blank after each."""
+    starts = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+    codes = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, _classes()[np.where(codes < 0x10000, codes, 0x20)], starts
+
+
+def suspicious(f: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which texts hold a sign of damage; texts without one are sound.
+
+    Signs are lost or control characters, a character that a lead byte of UTF-8 was read as before one that another byte
+    was read as, three western letters beyond ASCII in a row, Latin beside Thai letters, and question marks within words
+    or in long runs.
+    """
+    f = np.append(f, np.zeros(6, np.uint16))
+    n = len(f) - 6
+    at = lambda k, bit: (f[k : n + k] & np.uint16(bit)) != 0
+    blank = f[:n] == 0
+    hit = at(0, _SURE) | at(0, _LEAD_W) & at(1, _TAIL_W) | at(0, _LEAD_M) & at(1, _TAIL_M) | at(0, _HIGH) & at(1, _HIGH) & at(2, _HIGH)
+    hit |= at(0, _LATIN) & at(1, _THAI) | at(0, _THAI) & at(1, _LATIN)
+    ask = at(0, _ASK)
+    if ask.any():
+        hit |= at(0, _LETTER) & at(1, _ASK) & at(2, _LETTER) | ask & at(1, _ASK) & at(2, _ASK)
+    hit |= at(0, _E) & at(1, _TN) & at(2, _TAIL_T) & at(3, _E) & at(4, _TN) & at(5, _TAIL_T)
+    pair = at(1, _LEAD_T) & at(2, _TAIL_T)
+    hit[1:] |= (at(0, _PRINT)[:-1] & (blank & pair & ((f[3 : n + 3] == 0) & at(4, _PRINT) | at(3, _TAIL_T) & (f[4 : n + 4] == 0) & at(5, _PRINT)))[1:])
+    return np.add.reduceat(hit, starts[:-1]) > 0 if len(starts) > 1 else np.zeros(0, bool)
 
 
-SIGNS = _signs()
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}")
 
 
@@ -119,6 +153,9 @@ def thai_bytes(word: str) -> list[int] | None:
 _ASKED = re.compile(r"[^\W\d_]\?[^\W\d_]")
 
 
+_THAI_WORD = re.compile("[ก-๛]+")
+
+
 class Model:
     """Corpus frequencies: pairs of characters and words with foreign letters."""
 
@@ -182,8 +219,8 @@ class Model:
 
 def _readings(word: str, model: Model) -> dict[str, tuple[str, float]]:
     """Channel to (text, log likelihood) of a word."""
-    out = {"as is": (word, model.score(word))}
-    if word.isascii() and "?" not in word:
+    out = {"as is": (word, 0.0)}
+    if word.isascii() and "?" not in word or len(word) > 3 and _THAI_WORD.fullmatch(word) and word.count("เธ") + word.count("เน") < 2:
         return out
     for codec in WESTERN:
         if (once := read_again(word, codec)) is not None:
@@ -205,6 +242,8 @@ def _readings(word: str, model: Model) -> dict[str, tuple[str, float]]:
         ascii_free = all(b == -1 or b >= 0xA1 for b in raw)
         if ascii_free:
             out["lost bytes"] = (text, score - CHANNEL)
+    if len(out) > 1:  # else its likelihood is the same on every path
+        out["as is"] = (word, model.score(word))
     return out
 
 
@@ -244,18 +283,23 @@ def _count(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]
     thai, pairs, words = np.zeros(128 * 128, np.int64), Counter(), Counter()
     for batch in batches:
         texts = [t for t in batch[text] if t]
-        joined = " ".join(texts).replace("\n", " ").replace("\r", " ").replace("\t", " ")
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not texts:
+            continue
+        codes, f, starts = _codes(texts)
+        sound = ~suspicious(f, starts)
+        keep = np.repeat(sound, np.diff(starts))
+        foreign = np.add.reduceat((f & np.uint16(_FOREIGN)) != 0, starts[:-1]) > 0
+        codes = np.where((codes == 10) | (codes == 13) | (codes == 9), np.uint32(0x20), codes)[keep]
         a, b = codes[:-1], codes[1:]
         pa, pb = a - np.uint32(0x0E00), b - np.uint32(0x0E00)
-        both = (pa < 128) & (pb < 128)
+        ta, tb = pa < 128, pb < 128
+        both = ta & tb
         thai += np.bincount((pa[both] << np.uint32(7)) + pb[both], minlength=128 * 128)
-        rest = ~both & ((a > 127) | (b > 127))
+        rest = np.flatnonzero(~both & ((a > 127) | (b > 127)))
         keys, counts = np.unique((a[rest].astype(np.int64) << 21) + b[rest], return_counts=True)
         pairs.update(dict(zip(keys.tolist(), counts.tolist())))
-        for t in texts:
-            if not t.isascii():
-                words.update(_WORD.findall(t))
+        for k in np.flatnonzero(sound & foreign):
+            words.update(_WORD.findall(texts[k]))
     k = np.flatnonzero(thai)
     pairs.update({((int(x) >> 7) + 0x0E00 << 21) + (int(x) & 127) + 0x0E00: int(thai[x]) for x in k})
     yield pd.DataFrame([("pair", "", key, n) for key, n in pairs.items()] + [("word", w, 0, n) for w, n in words.items()], columns=["kind", "word", "pair", "n"])
@@ -267,7 +311,7 @@ def corpus_model(documents: DataFrame, text: str = "text", seen: int = SEEN) ->
     What reaches the driver are pairs of characters, and words with foreign letters that occur seen times or more:
     vocabulary, not rows.
     """
-    counts = documents.select(text).where(~suspicious(F.col(text))).mapInPandas(lambda b: _count(b, text), "kind string, word string, pair bigint, n bigint")
+    counts = documents.select(text).mapInPandas(lambda b: _count(b, text), "kind string, word string, pair bigint, n bigint")
     sums = counts.groupBy("kind", "word", "pair").agg(F.sum("n").alias("n")).where(f"kind = 'pair' and n > 1 or n >= {seen}").toPandas()
     p, w = sums[sums.kind == "pair"], sums[sums.kind == "word"]
     return Model({(int(k) >> 21, int(k) & 0x1FFFFF): int(n) for k, n in zip(p["pair"], p["n"])}, dict(zip(w["word"], w["n"].astype(int))))
@@ -283,14 +327,11 @@ def damaged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", se
 
     def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            read = [decode(t, model.value) for t in batch["text"]]
-            keep = [g for g, _ in read]
-            yield pd.DataFrame({"doc": batch["doc"][keep], "restored": [r for g, r in read if g]})
+            _, f, starts = _codes(list(batch["text"]))
+            odd = batch[suspicious(f, starts)]
+            read = [decode(t, model.value) for t in odd["text"]]
+            yield pd.DataFrame({"doc": odd["doc"][[g for g, _ in read]], "restored": [r for g, r in read if g]})
 
-    asked = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(suspicious(F.col("text")))
+    asked = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.length(text) > 0)
     return asked.mapInPandas(restore, f"doc {dict(documents.dtypes)[doc_id]}, restored string").withColumnRenamed("doc", doc_id)
 
-
-def suspicious(text: Column) -> Column:
-    """Whether a text holds a sign of damage; texts without one are sound."""
-    return text.rlike(SIGNS)
