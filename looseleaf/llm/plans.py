@@ -9,6 +9,7 @@ from looseleaf.llm.contamination import find_leaks
 from looseleaf.llm.encoding import damaged
 from looseleaf.llm.personal import mention_rows
 from looseleaf.llm.plain_form import cells, not_plain
+from looseleaf.llm.scan_noise import noise_kinds, repaired
 from looseleaf.sources.tables import table
 
 
@@ -16,6 +17,32 @@ def p5_found(spark, d):
     return not_plain(cells({"source_notes": (table(spark, d, "source_notes"), "note_id", ["section", "chapter"]), "exported_entities": (table(spark, d, "exported_entities"), "entity_id", ["name"])}))
 
 
+def scanned(spark, d):
+    """Texts from scans of both tables, in the form that the operator takes."""
+    pages, notes = table(spark, d, "page_records"), table(spark, d, "source_notes")
+    first = pages.select(
+        F.lit("page_records").alias("src"), F.col("record_id").alias("row_id"), F.col("book_id").alias("book"), F.col("page").alias("first"), F.col("page").alias("last"), F.array("book_title").alias("titles"), "text"
+    )
+    second = notes.select(
+        F.lit("source_notes").alias("src"),
+        F.col("note_id").alias("row_id"),
+        F.col("book_id").alias("book"),
+        F.col("page_first").alias("first"),
+        F.col("page_last").alias("last"),
+        F.array("book_title", "chapter").alias("titles"),
+        F.col("body").alias("text"),
+    )
+    return first.unionByName(second)
+
+
+def p1_found(spark, d):
+    return noise_kinds(scanned(spark, d))
+
+
+def p1_repaired(spark, d):
+    return repaired(scanned(spark, d))
+
+
 def p3_found(spark, d):
     typed = cells({"tongue_descriptions": (table(spark, d, "tongue_descriptions"), "row_no", ["color", "coating"]), "exported_entities": (table(spark, d, "exported_entities"), "entity_id", ["name"])})
     axis = F.when(F.col("field") == "name", "entity").otherwise(F.col("field"))
@@ -42,5 +69,5 @@ def p9_found(spark, d):
     return damaged(table(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
