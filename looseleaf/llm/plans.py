@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from looseleaf.llm.canonical import map_cells
 from looseleaf.llm.contamination import find_leaks
 from looseleaf.llm.encoding import damaged
+from looseleaf.llm.packing import byte_tokens, pack_all
 from looseleaf.llm.personal import mention_rows
 from looseleaf.llm.plain_form import cells, not_plain
 from looseleaf.llm.scan_noise import noise_kinds, repaired
@@ -61,6 +62,11 @@ def p6_found(spark, d):
     )
 
 
+def p7_packed(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), byte_tokens(F.col("text")).alias("size"))
+    return pack_all(docs, table(spark, d, "pack_sizes")).withColumnRenamed("id", "doc_id")
+
+
 def p8_found(spark, d):
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -69,5 +75,5 @@ def p9_found(spark, d):
     return damaged(table(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
