@@ -56,7 +56,7 @@ _BACK = 80
 @lru_cache(1)
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    kinds = [("at", AT_SIGNS), ("digit", [*DIGITS, "+66", "(0"]), ("before", NAME_BEFORE), ("after", NAME_AFTER), ("title", [*(t + " " for t in TITLES_EN), *TITLES_TH]), ("place", PLACES), ("passport", PASSPORTS)]
+    kinds = [("at", AT_SIGNS), ("digit", [*DIGITS, "+66", "(+66", "(0"]), ("before", NAME_BEFORE), ("after", NAME_AFTER), ("title", [*(t + " " for t in TITLES_EN), *TITLES_TH]), ("place", PLACES), ("passport", PASSPORTS)]
     for kind, words in kinds:
         for w in words:
             a.add_word(w, (kind, len(w)))
