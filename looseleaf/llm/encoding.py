@@ -302,7 +302,8 @@ def _count(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]
             words.update(_WORD.findall(texts[k]))
     k = np.flatnonzero(thai)
     pairs.update({((int(x) >> 7) + 0x0E00 << 21) + (int(x) & 127) + 0x0E00: int(thai[x]) for x in k})
-    yield pd.DataFrame([("pair", "", key, n) for key, n in pairs.items()] + [("word", w, 0, n) for w, n in words.items()], columns=["kind", "word", "pair", "n"])
+    if pairs or words:
+        yield pd.DataFrame([("pair", "", key, n) for key, n in pairs.items()] + [("word", w, 0, n) for w, n in words.items()], columns=["kind", "word", "pair", "n"])
 
 
 def corpus_model(documents: DataFrame, text: str = "text", seen: int = SEEN) -> Model:
@@ -329,8 +330,9 @@ def damaged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", se
         for batch in batches:
             _, f, starts = _codes(list(batch["text"]))
             odd = batch[suspicious(f, starts)]
-            read = [decode(t, model.value) for t in odd["text"]]
-            yield pd.DataFrame({"doc": odd["doc"][[g for g, _ in read]], "restored": [r for g, r in read if g]})
+            read = [(d, *decode(t, model.value)) for d, t in zip(odd["doc"], odd["text"])]
+            if found := [(d, r) for d, garbled, r in read if garbled]:
+                yield pd.DataFrame(found, columns=["doc", "restored"])
 
     asked = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.length(text) > 0)
     return asked.mapInPandas(restore, f"doc {dict(documents.dtypes)[doc_id]}, restored string").withColumnRenamed("doc", doc_id)
