@@ -194,7 +194,7 @@ def _corrupted(frequent: DataFrame) -> DataFrame:
 def corrections(counts: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(word, right): misread words and what was printed. counts: (word, n), every distinct word of the corpus.
 
-    Several places of a word are corrected at once, from the right; a place without an accepted candidate stays.
+    Several places of a word are corrected at once, from the right, but not two in a row; a place without an accepted candidate stays.
     """
     odd = F.col("word").rlike(IMPOSSIBLE)
     soft = F.col("word").rlike("(?:" + "|".join(SOFT) + ")") & (F.col("n") <= RARE)
@@ -224,7 +224,7 @@ def corrections(counts: DataFrame, sample: int = SAMPLE) -> DataFrame:
     fixed = F.aggregate(
         "ps",
         start,
-        lambda a, p: F.when(p["i"] + p["m"] <= a["until"], F.struct(F.concat(F.substring(a["w"], F.lit(1), p["i"] - 1), p["x"], F.substring(a["w"], p["i"] + p["m"], F.lit(10**6))).alias("w"), p["i"].alias("until"))).otherwise(a),
+        lambda a, p: F.when(p["i"] + p["m"] < a["until"], F.struct(F.concat(F.substring(a["w"], F.lit(1), p["i"] - 1), p["x"], F.substring(a["w"], p["i"] + p["m"], F.lit(10**6))).alias("w"), p["i"].alias("until"))).otherwise(a),
     )
     return places.select("word", fixed["w"].alias("right")).where("right <> word")
 
