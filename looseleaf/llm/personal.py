@@ -42,7 +42,7 @@ _HOUSE = re.compile(r"(?:(?:บ้านเลขที่|เลขที่)\s
 _PART_TH = rf"(?:หมู่(?:ที่)? ?[0-9]+|ซอย[{_TH}]+(?: [0-9]+)?|(?:ถนน|ถ\.) ?[{_TH}]+|(?:ตำบล|ต\.|แขวง) ?[{_TH}]+|(?:อำเภอ|อ\.|เขต) ?[{_TH}]+|(?:จังหวัด|จ\.) ?[{_TH}]+)"
 _PLACE_TH = re.compile(rf"{_PART_TH}(?: {_PART_TH})+(?: [0-9]{{5}}(?![0-9]))?|{_PART_TH}")
 _PART_EN = rf"(?:Moo [0-9]+|Soi (?:{_NAME} )+[0-9]+|(?:{_NAME} )+(?:Street|Road|Lane|Avenue)|Apt\.? [0-9]+)"
-_PLACE_EN = re.compile(rf"(?:(?:{_NAME} )*{_NAME})?\s?(?:Street|Road|Lane|Avenue|Moo [0-9]+|Soi (?:{_NAME} )+[0-9]+)(?:,? {_PART_EN})*(?:, {_NAME}(?: (?:village|hill|canal|delta|valley))?)?(?: [0-9]{{5}}(?![0-9]))?")
+_PLACE_EN = re.compile(rf"(?:(?:{_NAME} )*{_NAME})?\s?(?:Street|Road|Lane|Avenue|Moo [0-9]+|Soi (?:{_NAME} )+[0-9]+)(?:,? {_PART_EN})*(?:, (?!Mr|Mrs|Ms|Miss|Dr|Khun){_NAME}\b(?: (?:village|hill|canal|delta|valley)|(?! [A-Z])))?(?: [0-9]{{5}}(?![0-9]))?")
 _TITLE_EN = "(?:" + "|".join(map(re.escape, TITLES_EN)) + ")"
 _TITLE_TH = "(?:" + "|".join(map(re.escape, TITLES_TH)) + ")"
 _FAMILY = rf"[{_TH}]*(?:{'|'.join(FAMILY_ENDINGS)})(?![{_TH}])"

@@ -12,6 +12,7 @@ CASES = [
     ("I live at 47 Blue Heron Street, Apt 32, Chakabua valley, ok", ["address"]),
     ("บ้าน 75 ถ.ดอนระฆัง ตำบลหนองหมอก อำเภอนิมิต โทร", ["address"]),
     ("อยู่ที่ บ้านเลขที่ 187/95 ซอยคลองเมฆ 14 ถนนบ้านไร่", ["address"]),
+    ("at 12 Moo 3, Kiln Lane, Orasa Lomrangsi here", ["address", "person_name"]),
     ("ถนนลื่นเดินลำบาก near Praosaravi canal", []),
     ("this is Mrs. Dao Sen, Dr. said rest", ["person_name"]),
     ("the sister of Orasa Lomrangsi. Malai Lomwilai here", ["person_name", "person_name"]),
