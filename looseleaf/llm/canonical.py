@@ -62,8 +62,13 @@ def _forms(terms: DataFrame) -> DataFrame:
 
 def _wrappings(values: DataFrame, forms: DataFrame, shown_by: int) -> DataFrame:
     """(axis, side, wrap): what stands before or after reference forms in the values of at least shown_by entries."""
+    # a value that holds a form holds its first three letters: an index of one gram for each form
+    n = F.length("norm")
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(F.col("norm"), i, F.lit(3))))
+    heads = forms.where("length(form) >= 4").select("axis", "term_id", "form", F.substring("form", 1, 3).alias("head"))
     at = F.instr(F.col("norm"), F.col("form"))
-    held = values.join(F.broadcast(forms), "axis").where((at > 0) & (F.col("norm") != F.col("form")) & (F.length("form") >= 4))
+    asked = values.where(n > 4).select("axis", "norm", F.explode(starts).alias("head"))
+    held = asked.join(heads, ["axis", "head"]).where((at > 0) & (F.col("norm") != F.col("form")))
     held = held.select("axis", "term_id", F.substring(F.col("norm"), F.lit(1), at - 1).alias("left"), F.substring(F.col("norm"), at + F.length("form"), F.lit(10**6)).alias("right"))
     sides = held.select("axis", "term_id", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("wrap")), F.struct(F.lit("right").alias("side"), F.col("right").alias("wrap")))).alias("x")).select("axis", "term_id", "x.*")
     return sides.where("trim(wrap) <> ''").groupBy("axis", "side", "wrap").agg(F.countDistinct("term_id").alias("n")).where(F.col("n") >= shown_by).select("axis", "side", "wrap")

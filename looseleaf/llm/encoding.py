@@ -23,12 +23,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from looseleaf.session import checkpointed
+
 #: Encodings that damaged text was read in.
 WESTERN = ("cp1252", "mac_roman", "cp874")
 #: Cost, in log likelihood, of reading a word through a channel, of changing the channel between words, of a pair or word never seen.
 CHANNEL, SWITCH, UNSEEN = 5.0, 2.0, 14.0
-#: Words with foreign letters count from so many occurrences.
-SEEN = 3
+#: Words with foreign letters count from so many occurrences; so many of the most frequent are sent to the tasks at most, others
+#: are scored by their pairs of characters alone.
+SEEN, WORDS = 3, 500_000
 LOST = "�"
 
 
@@ -309,12 +312,12 @@ def _count(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]
 def corpus_model(documents: DataFrame, text: str = "text", seen: int = SEEN) -> Model:
     """Frequencies over all documents that show no sign of damage, so that garbled text can't vouch for itself.
 
-    What reaches the driver are pairs of characters, and words with foreign letters that occur seen times or more:
-    vocabulary, not rows.
+    What reaches the driver are pairs of characters, bounded by the alphabets, and WORDS words with foreign letters at most.
     """
     counts = documents.select(text).mapInPandas(lambda b: _count(b, text), "kind string, word string, pair bigint, n bigint")
-    sums = counts.groupBy("kind", "word", "pair").agg(F.sum("n").alias("n")).where(f"kind = 'pair' and n > 1 or n >= {seen}").toPandas()
-    p, w = sums[sums.kind == "pair"], sums[sums.kind == "word"]
+    sums = checkpointed(counts.groupBy("kind", "word", "pair").agg(F.sum("n").alias("n")))
+    p = sums.where("kind = 'pair' and n > 1").select("pair", "n").toPandas()
+    w = sums.where((F.col("kind") == "word") & (F.col("n") >= seen)).orderBy(F.desc("n"), "word").limit(WORDS).select("word", "n").toPandas()
     return Model({(int(k) >> 21, int(k) & 0x1FFFFF): int(n) for k, n in zip(p["pair"], p["n"])}, dict(zip(w["word"], w["n"].astype(int))))
 
 
