@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def section_recall(questions: DataFrame, evidence: DataFrame) -> DataFrame:
+def section_recall(questions: DataFrame, evidence: DataFrame, modes: list[str]) -> DataFrame:
     """(qid, mode, hops, found, recall) from questions (qid, hops, expects) and evidence (qid, mode, section).
 
     found joins the expected sections that were found, in order; a question that expects nothing has recall null. A mode
     in which nothing was found for a question still has its row.
     """
     got = evidence.where("section is not null").groupBy("qid", "mode").agg(F.collect_set("section").alias("got"))
-    modes = evidence.select("mode").distinct()
-    x = questions.join(F.broadcast(modes)).join(got, ["qid", "mode"], "left")  # modes are a handful
+    x = questions.withColumn("mode", F.explode(F.array(*map(F.lit, modes)))).join(got, ["qid", "mode"], "left")
     hit = F.array_sort(F.array_intersect(F.array_distinct("expects"), F.coalesce("got", F.array().cast("array<string>"))))
     n = F.size(F.array_distinct("expects"))
     return x.select("qid", "mode", "hops", F.array_join(hit, "; ").alias("found"), F.when(n > 0, F.round(F.size(hit) / n, 6)).alias("recall"))

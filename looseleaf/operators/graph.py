@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from looseleaf.functions import text as t
 
@@ -50,10 +50,11 @@ def type_counts(nodes: DataFrame) -> DataFrame:
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, isolated nodes, edges for each node rounded to two places (0 without nodes)."""
-    e = edges.agg(F.count(F.lit(1)).alias("edges"))
-    n = nodes.agg(F.count(F.lit(1)).alias("nodes"))
-    i = isolated(nodes, edges).agg(F.count(F.lit(1)).alias("isolated"))
-    return n.join(e).join(i).withColumn("ratio", F.when(F.col("nodes") > 0, F.round(F.col("edges") / F.col("nodes"), 2)).otherwise(0.0))  # one row each
+    one, none = F.lit(1), F.lit(0)
+    marks = lambda df, n, e, i: df.select(n.alias("n"), e.alias("e"), i.alias("i"))
+    rows = marks(nodes, one, none, none).unionByName(marks(edges, none, one, none)).unionByName(marks(isolated(nodes, edges), none, none, one))
+    x = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(to) for c, to in (("n", "nodes"), ("e", "edges"), ("i", "isolated"))))
+    return x.withColumn("ratio", F.when(F.col("nodes") > 0, F.round(F.col("edges") / F.col("nodes"), 2)).otherwise(0.0))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -109,17 +110,25 @@ def near_names(names: DataFrame, least: float = NEAR) -> DataFrame:
 def landing(values: DataFrame, names: DataFrame) -> DataFrame:
     """(axis, value, outcome): exact, substring or miss of each distinct value (axis, value) among names, blanks aside.
 
-    names is the small side, a reference list.
+    A text lies within another only if its first letters do, so both directions are joins on a gram: the first one or two
+    letters of the inner text, all runs of one and two letters of the outer.
     """
-    known = names.select(t.squeezed(F.col("name")).alias("s")).where("s <> ''").distinct()
+    known = names.select(t.squeezed(F.col("name")).alias("k")).where("k <> ''").distinct()
     v = values.where("value is not null").select("axis", "value").distinct().withColumn("s", t.squeezed(F.col("value")))
-    exact = v.join(known, "s", "left_semi").select("axis", "value").withColumn("outcome", F.lit("exact"))
-    rest = v.join(known, "s", "left_anti")
-    x, y = rest.alias("x"), known.alias("y")
-    inside = (F.col("x.s") != "") & (F.contains(F.col("x.s"), F.col("y.s")) | F.contains(F.col("y.s"), F.col("x.s")))
-    hit = x.join(y, inside, "left_semi").select("axis", "value").withColumn("outcome", F.lit("substring"))
-    miss = x.join(y, inside, "left_anti").select("axis", "value").withColumn("outcome", F.lit("miss"))
-    return exact.unionByName(hit).unionByName(miss)
+
+    def runs(c: str) -> Column:
+        n = F.length(c)
+        of = lambda w: F.when(n >= w, F.transform(F.sequence(F.lit(1), n - (w - 1)), lambda i: F.substring(F.col(c), i, F.lit(w)))).otherwise(F.array().cast("array<string>"))
+        return F.explode(F.array_distinct(F.concat(of(1), of(2)))).alias("g")
+
+    s = v.select("s").where("s <> ''").distinct()
+    head = lambda c: F.substring(c, 1, 2).alias("g")
+    inner = s.select("s", runs("s")).join(known.select("k", head("k")), "g").where(F.contains("s", "k"))
+    outer = known.select("k", runs("k")).join(s.select("s", head("s")), "g").where(F.contains("k", "s"))
+    hits = inner.select("s").unionByName(outer.select("s")).distinct().withColumn("hit", F.lit(True))
+    exact = known.select(F.col("k").alias("s"), F.lit(True).alias("same"))
+    x = v.join(exact, "s", "left").join(hits, "s", "left")
+    return x.select("axis", "value", F.when(F.col("same"), "exact").when(F.col("hit"), "substring").otherwise("miss").alias("outcome"))
 
 
 def landing_rates(outcomes: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def recalls(spark, d):
     found = q.select("qid", F.explode("expects").alias("section")).join(docs, "section")
     mix = found.select("qid", F.lit("mix").alias("mode"), "section")
     naive = found.where("doc_kind = 'source_note'").select("qid", F.lit("naive").alias("mode"), "section")
-    return e.section_recall(q, mix.unionByName(naive))
+    return e.section_recall(q, mix.unionByName(naive), ["mix", "naive"])
 
 
 QUERIES = {
