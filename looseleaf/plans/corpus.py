@@ -151,7 +151,7 @@ select record_id, cast(i - 1 as int) as at, substr(text, greatest(i - 26, 0) + 1
 select record_id, cast(generate_subscripts(ls, 1) - 1 as int) as k, unnest(ls) as line from l""",
     "labelled_fields": r"""select doc_id, nullif(trim(regexp_extract(text, 'Question:[ \t]*(.*)', 1), ' '), '') as question, contains(text, 'ควรเลี่ยง') as warns, contains(text, 'should avoid') as avoids
 from documents where nullif(trim(regexp_extract(text, 'Question:[ \t]*(.*)', 1), ' '), '') is not null or contains(text, 'ควรเลี่ยง') or contains(text, 'should avoid')""",
-    "table_runs": """select record_id as key, 1 as start, cast(len(symptoms) + 2 as bigint) as rows, true as separated, 1 as widths from health_records where symptoms is not null""",
+    "table_runs": """select record_id as key, 1 as start, cast(len(symptoms) + 2 as bigint) as rows, true as separated, cast(1 as bigint) as widths from health_records where symptoms is not null""",
     "heading_sequence": """with recursive h as (
   select book_id as key, record_id as pos, page as major, paragraph as minor, row_number() over (partition by book_id order by record_id) as n from page_records
 ), f(key, n, pos, major, minor, last_major, last_minor, kept) as (
