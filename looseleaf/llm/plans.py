@@ -8,14 +8,22 @@ from looseleaf.llm.canonical import map_cells
 from looseleaf.llm.contamination import find_leaks
 from looseleaf.llm.encoding import damaged
 from looseleaf.llm.packing import byte_tokens, pack_all
-from looseleaf.llm.personal import mention_rows
-from looseleaf.llm.plain_form import cells, not_plain
+from looseleaf.llm.personal import mention_rows, redact
+from looseleaf.llm.plain_form import cells, not_plain, plain_forms
 from looseleaf.llm.scan_noise import noise_kinds, repaired
 from looseleaf.sources.tables import table
 
 
+def named(spark, d):
+    return cells({"source_notes": (table(spark, d, "source_notes"), "note_id", ["section", "chapter"]), "exported_entities": (table(spark, d, "exported_entities"), "entity_id", ["name"])})
+
+
 def p5_found(spark, d):
-    return not_plain(cells({"source_notes": (table(spark, d, "source_notes"), "note_id", ["section", "chapter"]), "exported_entities": (table(spark, d, "exported_entities"), "entity_id", ["name"])}))
+    return not_plain(named(spark, d))
+
+
+def p5_plain(spark, d):
+    return plain_forms(named(spark, d))
 
 
 def scanned(spark, d):
@@ -50,18 +58,24 @@ def p3_found(spark, d):
     return map_cells(typed.withColumn("axis", axis), table(spark, d, "canonical_terms"))
 
 
-def p6_found(spark, d):
-    return mention_rows(
-        cells(
-            {
-                "consultation_turns": (table(spark, d, "consultation_turns"), "turn_id", ["text"]),
-                "health_records": (table(spark, d, "health_records"), "record_id", ["conversation_summary"]),
-                "profile_ops": (table(spark, d, "profile_ops"), "delivery_id", ["text"]),
-            }
-        )
+def private(spark, d):
+    return cells(
+        {
+            "consultation_turns": (table(spark, d, "consultation_turns"), "turn_id", ["text"]),
+            "health_records": (table(spark, d, "health_records"), "record_id", ["conversation_summary"]),
+            "profile_ops": (table(spark, d, "profile_ops"), "delivery_id", ["text"]),
+        }
     )
 
 
+def p6_found(spark, d):
+    return mention_rows(private(spark, d))
+
+
+def p6_redacted(spark, d):
+    return redact(private(spark, d), "value")
+
+
 def p7_packed(spark, d):
     docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), byte_tokens(F.col("text")).alias("size"))
     return pack_all(docs, table(spark, d, "pack_sizes")).withColumnRenamed("id", "doc_id")
@@ -71,9 +85,18 @@ def p8_found(spark, d):
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p8_spans(spark, d):
+    found = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.select("doc_id", "item_id", F.round("cover", 3).alias("cover"), F.to_json("spans").alias("spans"))
+
+
 def p9_found(spark, d):
     return damaged(table(spark, d, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_packed": p7_packed, "p8_found": p8_found, "p9_found": p9_found}
+def p9_restored(spark, d):
+    return damaged(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p5_found, p5_plain, p6_found, p6_redacted, p7_packed, p8_found, p8_spans, p9_found, p9_restored)}
 SQL: dict[str, str] = {}
