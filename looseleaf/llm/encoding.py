@@ -88,7 +88,7 @@ def suspicious(f: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Which texts hold a sign of damage; texts without one are sound.
 
     Signs are lost or control characters, a character that a lead byte of UTF-8 was read as before one that another byte
-    was read as, three western letters beyond ASCII in a row, Latin beside Thai letters, and question marks within words
+    was read as, three western letters beyond ASCII in a row, Latin beside Thai letters, Thai letters before western marks, and question marks within words
     or in long runs.
     """
     f = np.append(f, np.zeros(6, np.uint16))
@@ -96,7 +96,7 @@ def suspicious(f: np.ndarray, starts: np.ndarray) -> np.ndarray:
     at = lambda k, bit: (f[k : n + k] & np.uint16(bit)) != 0
     blank = f[:n] == 0
     hit = at(0, _SURE) | at(0, _LEAD_W) & at(1, _TAIL_W) | at(0, _LEAD_M) & at(1, _TAIL_M) | at(0, _HIGH) & at(1, _HIGH) & at(2, _HIGH)
-    hit |= at(0, _LATIN) & at(1, _THAI) | at(0, _THAI) & at(1, _LATIN)
+    hit |= at(0, _LATIN) & at(1, _THAI) | at(0, _THAI) & at(1, _LATIN) | at(0, _LEAD_T) & at(1, _TAIL_T) & ~at(1, _THAI)
     ask = at(0, _ASK)
     if ask.any():
         hit |= at(0, _LETTER) & at(1, _ASK) & at(2, _LETTER) | ask & at(1, _ASK) & at(2, _ASK)
