@@ -3,10 +3,10 @@
 import pytest
 from oracle import duck, spark_rows
 
-from looseleaf.plans import corpus, feeds, graph, memory
+from looseleaf.plans import checks, corpus, feeds, graph, memory
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = [feeds, memory, corpus, graph]
+MODULES = [feeds, memory, corpus, graph, checks]
 CASES = [(m, name) for m in MODULES for name in m.QUERIES]
 
 
