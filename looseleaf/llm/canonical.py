@@ -126,7 +126,8 @@ def match_values(values: DataFrame, terms: DataFrame, threshold: float = THRESHO
 def map_cells(cells: DataFrame, terms: DataFrame, **options: float) -> DataFrame:
     """(src, row_id, field, term_id) of cells (src, row_id, field, axis, value) that aren't letter for letter an entry.
 
-    Null, empty and `-` are no values. term_id is the entry meant, 0 if none is.
+    Null, empty and `-` are no values, and a cell without an axis has no reference list; they give no rows. term_id is the
+    entry meant, 0 if none is. Repeated rows count once.
     """
     exact = terms.select("axis", F.explode(F.array("term", "term_en")).alias("value")).where("value is not null").distinct()
     typed = cells.where("value is not null and value not in ('', '-')")
