@@ -18,7 +18,7 @@ def marker_violations(notes: DataFrame) -> DataFrame:
     A marker stands for a transition, so it must lie after the first page and not after the last, and markers must ascend.
     """
     found = F.posexplode(F.regexp_extract_all("body", F.lit(r"<!-- p\.([0-9]+) -->"), 1)).alias("nth", "p")
-    x = notes.select("note_id", "page_first", "page_last", found).withColumn("page", F.col("p").cast("int"))
+    x = notes.select("note_id", "page_first", "page_last", found).withColumn("page", F.col("p").try_cast("int"))
     before = F.lag("page").over(Window.partitionBy("note_id").orderBy("nth"))
     outside = F.when((F.col("page") <= F.col("page_first")) | (F.col("page") > F.col("page_last")), F.lit("outside"))
     problems = F.filter(F.array(outside, F.when(F.col("before") >= F.col("page"), F.lit("order"))), lambda p: p.isNotNull())

@@ -81,7 +81,7 @@ def mixed_widths(notes: DataFrame) -> DataFrame:
 def order_violations(notes: DataFrame) -> DataFrame:
     """(note_id, problem): within a book by path, ordinals that don't rise and first pages that fall."""
     w = Window.partitionBy("book_id").orderBy("path", "note_id")
-    n = ordinal(F.col("uid")).cast("int")
+    n = ordinal(F.col("uid")).try_cast("int")
     x = notes.select("note_id", "book_id", "path", "page_first", n.alias("n")).withColumn("pn", F.lag("n").over(w)).withColumn("pp", F.lag("page_first").over(w))
     both = F.filter(F.array(F.when(F.col("n") <= F.col("pn"), F.lit("ordinal")), F.when(F.col("page_first") < F.col("pp"), F.lit("page"))), lambda p: p.isNotNull())
     return x.select("note_id", F.explode(both).alias("problem"))

@@ -11,8 +11,9 @@ TOPICS, TOPIC_CHARS, BOOKS = 5, 20, 3
 
 
 def cited_ids(reply: Column) -> Column:
-    """Distinct bracketed numbers in ascending order."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(reply, F.lit(r"\[(\d+)\]"), 1), lambda x: x.cast("int"))))
+    """Distinct bracketed numbers in ascending order; numbers beyond 32 bits are no ids."""
+    ids = F.transform(F.regexp_extract_all(reply, F.lit(r"\[(\d+)\]"), 1), lambda x: x.try_cast("int"))
+    return F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())))
 
 
 def _lines(text: Column) -> Column:

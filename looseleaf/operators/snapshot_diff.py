@@ -97,10 +97,11 @@ def snapshot_changes(manifest: DataFrame, leaf_bits: int = 16) -> DataFrame:
     """(snapshot_no, uid, status): keys new, removed or changed against the snapshot with the next lower number.
 
     A null digest equals only null. One key twice in a delivery counts once, with its greatest digest that isn't null.
-    The first snapshot and empty tables give no rows; extra columns are ignored. leaf_bits must be a multiple of 4.
+    The first snapshot and empty tables give no rows; extra columns are ignored. leaf_bits must be a multiple of 4
+    up to 28.
     """
-    if leaf_bits % STEP:
-        raise ValueError(f"leaf_bits must be a multiple of {STEP}")
+    if leaf_bits % STEP or not 0 < leaf_bits <= 28:
+        raise ValueError(f"leaf_bits must be a multiple of {STEP} up to 28")
     rows = current_deliveries(manifest)
     leaves = checkpointed(leaf_digests(rows, leaf_bits))
     ranges = differing_ranges(leaves, leaf_bits).join(_sides(_pairs(leaves)), "pair")

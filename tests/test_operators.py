@@ -113,9 +113,9 @@ def test_cosine_of_nothing(spark):
 
 
 def test_replies(spark):
-    x = spark.createDataFrame([("ดี [2][1] [2]\n(อ้างอิง: ก น. 1-2)\n",), ("(อ้างอิง: ก)",), ("a\n[หัวข้อ]:\n- b\n1. c\n(อ้างอิง: z)\n" + "d" * 30,), ("[หัวข้อ]\nb",)], "r string")
+    x = spark.createDataFrame([("ดี [2][1] [2][99999999999]\n(อ้างอิง: ก น. 1-2)\n",), ("(อ้างอิง: ก)",), ("a\n[หัวข้อ]:\n- b\n1. c\n(อ้างอิง: z)\n" + "d" * 30,), ("[หัวข้อ]\nb",)], "r string")
     got = x.select(replies.cited_ids(F.col("r")).alias("i"), replies.split_citation(F.col("r")).alias("c"), replies.topic_menu(F.col("r")).alias("m")).collect()
-    assert got[0]["i"] == [1, 2] and tuple(got[0]["c"]) == ("ดี [2][1] [2]", "ก น. 1-2")
+    assert got[0]["i"] == [1, 2] and tuple(got[0]["c"]) == ("ดี [2][1] [2][99999999999]", "ก น. 1-2")
     assert tuple(got[1]["c"]) == ("(อ้างอิง: ก)", None)
     assert tuple(got[2]["m"]) == ("a", ["b", "c", "d" * 20])
     assert tuple(got[3]["m"]) == ("[หัวข้อ]\nb", [])
