@@ -24,22 +24,18 @@ def unit(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return x.where("norm > 0").select(key, F.transform("v", lambda e: e / F.col("norm")).alias("v"))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, cut: float = CUT, key: str = "vec_id", vector: str = "embedding", block: int = 2000) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, cut: float = CUT, key: str = "vec_id", vector: str = "embedding", cells: int = 32) -> DataFrame:
     """(query_id, id, score, rank): the k nearest vectors of each query at or above the cut, ties by id; exact.
 
-    queries (key, vector) are a stated set that is searched against all vectors: they are sent in blocks of a bounded
-    number to every partition of the vectors, which are never moved; each partition keeps its own k best before the merge.
+    queries (key, vector) are a stated set that is searched against all vectors. Vectors fall into cells by a hash and are
+    moved once; queries are copied to every cell. A task sees the queries against one cell and keeps its own k best of
+    each (the rank limit works before the second shuffle), so nothing passes through the driver.
     """
-    spark = queries.sparkSession
-    rows = unit(queries, key, vector).orderBy(key).collect()
-    base, out = unit(vectors, key, vector), None
+    q = unit(queries, key, vector).select(F.col(key).alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    base = unit(vectors, key, vector).select(F.col(key).alias("id"), "v", F.pmod(F.xxhash64(key), F.lit(cells)).cast("int").alias("cell"))
+    hits = base.join(q, "cell").select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    for at in range(0, max(1, len(rows)), block):
-        q = spark.createDataFrame([(r[0], r[1]) for r in rows[at : at + block]], "query_id bigint, q array<double>")
-        hits = base.join(F.broadcast(q)).select("query_id", F.col(key).alias("id"), F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))  # at most block queries
-        best = hits.where(F.col("score") >= cut).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    return hits.where(F.col("score") >= cut).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def merge_hits(relations: DataFrame, chunks: DataFrame) -> DataFrame:
