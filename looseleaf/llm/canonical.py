@@ -21,7 +21,7 @@ from looseleaf.session import checkpointed
 
 #: Defaults: least score, least lead over the next entry, score that needs no check of the spelling, edits (a share of the
 #: letters, but two at least) that the check allows, distinct entries that show a wrapping.
-THRESHOLD, MARGIN, SURE, EDITS, SHOWN_BY = 0.38, 0.04, 0.62, 0.32, 4
+THRESHOLD, MARGIN, SURE, EDITS, SHOWN_BY = 0.27, 0.015, 0.62, 0.37, 4
 
 
 def normal(text: Column) -> Column:
