@@ -12,10 +12,10 @@ OPS = ["add", "update", "remove", "set_sex", "set_birth_date", "set_notes"]
 
 
 def marked_notes(spark, d):
-    """Notes with a marker for each later page; every tenth also with one for its first page at the end."""
+    """Notes with a marker for each later page; long ones also with one for its first page at the end."""
     n = table(spark, d, "source_notes")
     markers = F.when(F.col("page_last") > F.col("page_first"), F.transform(F.sequence(F.col("page_first") + 1, F.col("page_last")), lambda p: F.concat(F.lit("<!-- p."), p.cast("string"), F.lit(" -->\n"))))
-    wrong = F.when(F.col("note_id") % 10 == 0, F.concat(F.lit("\n<!-- p."), F.col("page_first").cast("string"), F.lit(" -->"))).otherwise("")
+    wrong = F.when(F.col("page_last") >= F.col("page_first") + 3, F.concat(F.lit("\n<!-- p."), F.col("page_first").cast("string"), F.lit(" -->"))).otherwise("")
     return n.select("note_id", "page_first", "page_last", F.concat(F.array_join(F.coalesce(markers, F.array().cast("array<string>")), ""), F.col("body"), wrong).alias("body"))
 
 
@@ -86,7 +86,7 @@ _PHOTOS = "p as (select photo_id, arg_max(user_id, row_no) filter (user_id is no
 
 SQL = {
     "check_operations": f"select delivery_id, op as value from profile_ops where op is null or op not in {_OUT}",
-    "check_markers": """with m as (select note_id, page_first, page_last, list_concat(range(page_first + 1, page_last + 1), case when note_id % 10 = 0 then [page_first] else [] end) as ps from source_notes where body is not null),
+    "check_markers": """with m as (select note_id, page_first, page_last, list_concat(range(page_first + 1, page_last + 1), case when page_last >= page_first + 3 then [page_first] else [] end) as ps from source_notes where body is not null),
 x as (select note_id, page_first, page_last, unnest(ps) as page, generate_subscripts(ps, 1) as nth from m),
 y as (select *, lag(page) over (partition by note_id order by nth) as before from x)
 select note_id, cast(page as int) as page, 'outside' as problem from y where page <= page_first or page > page_last

@@ -103,7 +103,7 @@ QUERIES = {
     "note_duplicate_uids": lambda s, d: c.duplicate_keys(notes(s, d), "uid", "note_id"),
     "note_backward_pages": lambda s, d: c.backward_ranges(notes(s, d)),
     "note_short_bodies": lambda s, d: c.short_bodies(notes(s, d), 600),
-    "note_mixed_widths": lambda s, d: c.mixed_widths(notes(s, d).unionByName(notes(s, d).where("note_id % 50 = 0").withColumn("uid", F.concat("uid", F.lit("0"))))),
+    "note_mixed_widths": lambda s, d: c.mixed_widths(notes(s, d).unionByName(notes(s, d).where("page_first <= 3").withColumn("uid", F.concat("uid", F.lit("0"))))),
     "note_order_violations": lambda s, d: c.order_violations(notes(s, d)),
     "note_coverage_gaps": lambda s, d: c.coverage_gaps(notes(s, d)),
     "note_fingerprints": lambda s, d: c.fingerprints(notes(s, d)),
@@ -182,7 +182,7 @@ union all select note_id, 'pages' from y where fits and g.a || '-' || g.b <> pag
     "note_duplicate_uids": "select note_id, uid, first from (select note_id, uid, min(note_id) over (partition by uid) as first from source_notes where uid is not null) q where note_id > first",
     "note_backward_pages": "select note_id from source_notes where page_first > page_last or pdf_first > pdf_last",
     "note_short_bodies": "select note_id, cast(length(trim(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'))) as int) as chars from source_notes where length(trim(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'))) < 600",
-    "note_mixed_widths": r"""with u as (select book_id, uid from source_notes union all select book_id, uid || '0' from source_notes where note_id % 50 = 0)
+    "note_mixed_widths": r"""with u as (select book_id, uid from source_notes union all select book_id, uid || '0' from source_notes where page_first <= 3)
 select book_id, count(distinct length(regexp_extract(uid, '-([0-9]+)$', 1))) as widths from u group by book_id having count(distinct length(regexp_extract(uid, '-([0-9]+)$', 1))) > 1""",
     "note_order_violations": """with x as (select note_id, cast(regexp_extract(uid, '-([0-9]+)$', 1) as int) as n, page_first, lag(cast(regexp_extract(uid, '-([0-9]+)$', 1) as int)) over w as pn, lag(page_first) over w as pp
   from source_notes window w as (partition by book_id order by path, note_id))

@@ -63,7 +63,9 @@ def ranked_documents(spark, d, k=60):
 
 
 def sections(spark, d):
-    x = ranked_documents(spark, d).select("query_id", "rank", F.col("title").alias("name"), F.col("text").alias("note"), F.substring("text", 1, 200).alias("chunk"))
+    ranked = ranked_documents(spark, d)
+    chunks = v.chunk_tokens(ranked.select("id", "text").distinct(), "id", "text", 40, 0).where("chunk = 0").select("id", F.col("content").alias("chunk"))
+    x = ranked.join(chunks, "id", "left").select("query_id", "rank", F.col("title").alias("name"), F.col("text").alias("note"), "chunk")
     return budget.pack_sections(x, "query_id", 5000)
 
 
@@ -77,7 +79,7 @@ def context_blocks(spark, d):
 def advised(spark, d):
     """Advisor turns as replies that cite notes by number, some with a menu or a citation line."""
     i = F.col("turn_id")
-    text = F.concat("text", F.lit(" ["), (i % 7 + 1).cast("string"), F.lit("][" ), (i % 11 + 1).cast("string"), F.lit("][" ), (i % 400 + 100).cast("string"), F.lit("]"))
+    text = F.concat("text", F.lit(" ["), (i % 7 + 1).cast("string"), F.lit("][" ), (i % 11 + 1).cast("string"), F.lit("][" ), (i % 5000 + 100).cast("string"), F.lit("]"))
     menu = F.when(i % 2 == 0, F.concat(F.lit("\n[หัวข้อ]:\n- "), F.substring("text", 1, 30), F.lit("\n2) "), "role", F.lit("\n\n(อ้างอิง: x)\n* "), F.substring("text", 5, 8))).otherwise("")
     cite = F.when(i % 3 == 0, F.lit("\n(อ้างอิง: ก น. 1-2)\n")).otherwise("")
     x = table(spark, d, "consultation_turns").where("role = 'advisor' and text is not null")
@@ -89,7 +91,7 @@ def cited(spark, d):
 
 
 def passages(spark, d):
-    return table(spark, d, "source_notes").where("note_id <= 300").select(F.col("note_id").cast("int").alias("id"), "book_id", F.col("page_first").alias("first"), F.col("page_last").alias("last"))
+    return table(spark, d, "source_notes").select(F.col("note_id").cast("int").alias("id"), "book_id", F.col("page_first").alias("first"), F.col("page_last").alias("last"))
 
 
 def titles(spark, d):
@@ -126,7 +128,7 @@ QUERIES = {
     "vector_drift": lambda s, d: v.missing_vectors(table(s, d, "exported_entities").select(F.col("entity_id").alias("vec_id")), table(s, d, "embeddings"), "vec_id"),
     "vector_rebuild": lambda s, d: v.rebuild_stats(table(s, d, "exported_entities"), "entity_id", "description"),
     "entity_embeddings": lambda s, d: table(s, d, "exported_entities").select("entity_id", F.array_join(F.transform(v.hash_embedding(F.coalesce("description", F.lit(""))), lambda x: x.cast("int").cast("string")), ",").alias("vector")),
-    "chunks": lambda s, d: v.chunk_tokens(table(s, d, "documents").where("lang = 'en'"), "doc_id", "text"),
+    "chunks": lambda s, d: v.chunk_tokens(table(s, d, "documents"), "doc_id", "text"),
     "line_budget": lambda s, d: budget.keep_within(ranked_documents(s, d), "query_id", "rank", F.length("title"), 400, "title"),
     "section_budget": sections,
     "context_blocks": context_blocks,
@@ -152,7 +154,7 @@ o as (select axis, value, case when s in (select s from k) then 'exact' when s <
 _HITS = """a as (select vec_id, label, cast(embedding as double[]) as v, sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) as n from embeddings),
 p as (select q.vec_id as query_id, b.vec_id as id, b.label, round(list_dot_product(list_transform(b.v, lambda z: z / b.n), list_transform(q.v, lambda z: z / q.n)), 6) as score from a q, a b where q.vec_id % 100 = 0),
 h as (select query_id, id, label, score, cast(row_number() over (partition by query_id order by score desc, id) as int) as rank from p where score >= 0.2)"""
-_CITED = """t as (select turn_id as reply_id, text || ' [' || (turn_id % 7 + 1) || '][' || (turn_id % 11 + 1) || '][' || (turn_id % 400 + 100) || ']' as base, turn_id, role, text as raw from consultation_turns where role = 'advisor' and text is not null),
+_CITED = """t as (select turn_id as reply_id, text || ' [' || (turn_id % 7 + 1) || '][' || (turn_id % 11 + 1) || '][' || (turn_id % 5000 + 100) || ']' as base, turn_id, role, text as raw from consultation_turns where role = 'advisor' and text is not null),
 c as (select reply_id, base || case when turn_id % 3 = 0 then chr(10) || '(อ้างอิง: ก น. 1-2)' || chr(10) else '' end as cited from t),
 i as (select distinct reply_id, cast(unnest(regexp_extract_all(cited, '\\[([0-9]+)\\]', 1)) as int) as id from c)""".replace("\\\\", "\\")
 _RECALLS = """q as (select qid, hops, list_distinct(expects) as expects from eval_items), f as (select qid, unnest(expects) as section from q),
@@ -191,7 +193,7 @@ select query_id, path, cast(row_number() over (partition by query_id order by se
 union all select distinct vec_id, 'id' from embeddings where vec_id not in (select entity_id from exported_entities)""",
     "vector_rebuild": """select count(*) as prepared, count(*) filter (length(trim(coalesce(description, ''), ' ')) > 0) as rebuilt, count(*) filter (length(trim(coalesce(description, ''), ' ')) = 0) as skipped,
   count(entity_id) - count(distinct entity_id) as duplicates from exported_entities""",
-    "chunks": r"""with w as (select doc_id, list_filter(string_split_regex(text, '[ \t\n\f\r\v]+'), lambda x: x <> '') as ws from documents where lang = 'en'),
+    "chunks": r"""with w as (select doc_id, list_filter(string_split_regex(text, '[ \t\n\f\r\v]+'), lambda x: x <> '') as ws from documents),
 s as (select doc_id, ws, unnest(generate_series(0, greatest(len(ws) - 21, 0), 100)) as pos from w where len(ws) > 0)
 select doc_id, cast(pos / 100 as int) as chunk, cast(len(ws[pos + 1:pos + 120]) as int) as tokens, array_to_string(ws[pos + 1:pos + 120], ' ') as content from s""",
     "line_budget": f"""with recursive {_HITS},
@@ -203,7 +205,7 @@ f(query_id, n, rank, title, used, place, kept) as (
   from f join x on x.query_id = f.query_id and x.n = f.n + 1)
 select query_id, cast(rank as bigint) as rank, cast(place as int) as place, title from f where kept""",
     "section_budget": f"""with recursive {_HITS},
-x as (select query_id, title, length(text) as nl, least(length(text), 200) as cl, row_number() over (partition by query_id order by rank) as n from h join documents on doc_id = id where rank <= 60 and title is not null),
+x as (select query_id, title, length(text) as nl, length(array_to_string(list_slice(list_filter(string_split_regex(text, '[ \t\n\f\r\v]+'), lambda z: z <> ''), 1, 40), ' ')) as cl, row_number() over (partition by query_id order by rank) as n from h join documents on doc_id = id where rank <= 60 and title is not null),
 f(query_id, n, used, place, label, whole, kept) as (
   select query_id, n - 1, 0, 0, '', false, false from x where n = 1
   union all
@@ -225,8 +227,8 @@ f(query_id, n, line, used, kept) as (
   select x.query_id, x.n, x.line, case when f.used + x.cost <= 2000 then f.used + x.cost else f.used end, f.used + x.cost <= 2000 from f join x on x.query_id = f.query_id and x.n = f.n + 1)
 select query_id, string_agg(line, chr(10) order by n) as block, count(*) as lines from f where kept group by query_id""",
     "cited_ids": f"with {_CITED} select reply_id, id from i",
-    "invented_ids": f"with {_CITED} select id, reply_id from i where id not in (select note_id from source_notes where note_id <= 300)",
-    "citations": f"""with {_CITED}, p as (select note_id as id, book_id, page_first as first, page_last as last from source_notes where note_id <= 300),
+    "invented_ids": f"with {_CITED} select id, reply_id from i where id not in (select note_id from source_notes)",
+    "citations": f"""with {_CITED}, p as (select note_id as id, book_id, page_first as first, page_last as last from source_notes),
 b as (select book_id, min(book_title) as title from source_notes group by book_id),
 x as (select reply_id, i.id, coalesce(title, book_id) as title, case when first = last then cast(first as varchar) else first || '-' || last end as pg from i join p on p.id = i.id left join b using (book_id)),
 y as (select reply_id, title, min(id) as seen, string_agg(pg, ', ' order by id) as ps from x group by reply_id, title),
