@@ -99,20 +99,27 @@ def match_values(values: DataFrame, terms: DataFrame, threshold: float = THRESHO
     plain = checkpointed(plain)
     forms = checkpointed(_forms(terms))
     parts = checkpointed(_parts(plain, _wrappings(plain, forms, shown_by)))
-    pg = _grams(parts.select("axis", "part").distinct(), ["axis", "part"], "part")
-    fg = _grams(forms, ["axis", "term_id", "form"], "form")
-    total = parts.select("axis", "part").distinct().groupBy("axis").agg(F.count(F.lit(1)).alias("total"))
+    # grams carry numbers instead of texts
+    each = parts.select("axis", "part").distinct().withColumn("pid", F.xxhash64("axis", "part"))
+    known = forms.withColumn("fid", F.xxhash64("axis", "term_id", "form"))
+    pg, fg = _grams(each, ["axis", "pid"], "part"), _grams(known, ["axis", "fid"], "form")
+    total = each.groupBy("axis").agg(F.count(F.lit(1)).alias("total"))
     df = pg.groupBy("axis", "gram").agg(F.count(F.lit(1)).alias("df")).join(total, "axis")
     idf = df.select("axis", "gram", F.log((F.col("total") + 1) / (F.col("df") + 0.5)).alias("idf"))
     unseen = F.coalesce("idf", F.lit(8.0))
     weight = lambda g: g.join(idf, ["axis", "gram"], "left").withColumn("w", F.sqrt("tf") * unseen)
     pw, fw = weight(pg), weight(fg)
-    pn = pw.groupBy("axis", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pn"))
-    fn = fw.groupBy("axis", "term_id", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("fn"))
-    index = fw.select("axis", "gram", "term_id", "form", F.col("w").alias("fw"))
-    dots = pw.join(index, ["axis", "gram"]).groupBy("axis", "part", "term_id", "form").agg(F.sum(F.col("w") * F.col("fw")).alias("dot"))
-    scored = dots.join(fn, ["axis", "term_id", "form"]).join(pn, ["axis", "part"]).withColumn("score", F.col("dot") / (F.col("fn") * F.col("pn")))
-    best = parts.join(scored, ["axis", "part"]).groupBy("axis", "value", "term_id").agg(F.max(F.struct("score", "part", "form")).alias("b"))
+    pn = pw.groupBy("pid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pn"))
+    fn = fw.groupBy("fid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("fn"))
+    index = fw.join(fn, "fid").select("axis", "gram", "fid", (F.col("w") / F.col("fn")).alias("fw"))
+    dots = pw.join(index, ["axis", "gram"]).groupBy("pid", "fid").agg(F.sum(F.col("w") * F.col("fw")).alias("dot"))
+    scored = dots.join(pn, "pid").select("pid", "fid", (F.col("dot") / F.col("pn")).alias("score"))
+    # of each part and entry the best form, while it is numbers still
+    ends = known.select("fid", "term_id", "form")
+    top_forms = scored.join(ends.select("fid", "term_id"), "fid").groupBy("pid", "term_id").agg(F.max(F.struct("score", "fid")).alias("b"))
+    named = top_forms.select("pid", "term_id", "b.score", "b.fid").withColumn("nth", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("score"), "term_id"))).where("nth <= 2")
+    texts = named.join(each.select("pid", "axis", "part"), "pid").join(ends.select("fid", "form"), "fid")
+    best = parts.join(texts, ["axis", "part"]).groupBy("axis", "value", "term_id").agg(F.max(F.struct("score", "part", "form")).alias("b"))
     best = best.select("axis", "value", "term_id", "b.*")
     order = Window.partitionBy("axis", "value").orderBy(F.desc("score"), "term_id")
     top = best.withColumn("next", F.lead("score", 1, 0.0).over(order)).withColumn("rank", F.row_number().over(order)).where("rank = 1")
