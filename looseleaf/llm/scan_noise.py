@@ -125,7 +125,7 @@ def title_folds(lines: DataFrame, known: tuple[str, ...], sample: int = SAMPLE)
 
 def classified_lines(pages: DataFrame, known: tuple[str, ...] = ("source_notes",)) -> DataFrame:
     """page_lines with header and page_number, whether the line is a running title or shows its page's number, or both."""
-    lines = page_lines(pages)
+    lines = checkpointed(page_lines(pages))  # read twice below
     titles = title_folds(lines, known).withColumn("is_title", F.lit(True))
     marked = lines.join(titles, ["src", "book", "fold"], "left").fillna(False, ["is_title"])
     numbered = (F.col("number") >= F.col("first")) & (F.col("number") <= F.col("last")) & (F.col("alone") | F.col("is_title"))
