@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -80,9 +81,18 @@ def concept_notes(entities: DataFrame) -> DataFrame:
     return entities.where("name is not null").select("entity_id", F.concat(stem, F.lit(".md")).alias("filename"), F.concat(head, body).alias("content"))
 
 
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of the names of a row."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
+def similarity(least: float):
+    """Ratcliff-Obershelp similarity of two columns of names; 0 where shared letters alone can't reach least."""
+
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        letters = {x: Counter(x) for x in {*a, *b}}
+        out = []
+        for x, y in zip(a, b):
+            bound = 2 * (letters[x] & letters[y]).total() / (len(x) + len(y))
+            out.append(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if bound >= least - 1e-9 else 0.0)
+        return pd.Series(out)
+
+    return of
 
 
 def near_names(names: DataFrame, least: float = NEAR) -> DataFrame:
@@ -90,7 +100,7 @@ def near_names(names: DataFrame, least: float = NEAR) -> DataFrame:
 
     Exact. M matched letters of names of lengths p and q lie in at most p + q - 2M + 1 blocks, so the names share at least
     3M - p - q - 1 letter pairs; with M from the similarity asked for, a name must share one of its rarer pairs, and only
-    those are joined. A bound on lengths comes before the costly comparison, which runs in Arrow batches.
+    those are joined. Bounds on lengths and on shared letters come before the costly comparison, which runs in Arrow batches.
     """
     distinct = names.where("name is not null").select("name").distinct().withColumn("s", t.squeezed(F.col("name"))).where("length(s) > 1")
     n = F.length("s")
@@ -103,7 +113,7 @@ def near_names(names: DataFrame, least: float = NEAR) -> DataFrame:
     a, b = prefix.select(F.col("name").alias("a"), F.col("s").alias("sa"), "g", "o"), prefix.select(F.col("name").alias("b"), F.col("s").alias("sb"), "g", "o")
     la, lb = F.length("sa"), F.length("sb")
     pairs = a.join(b, ["g", "o"]).where((F.col("a") < F.col("b")) & (2 * F.least(la, lb) >= least * (la + lb))).select("a", "b", "sa", "sb").distinct()
-    ratio = F.pandas_udf(similarity, "double")
+    ratio = F.pandas_udf(similarity(least), "double")
     return pairs.withColumn("similarity", F.round(ratio("sa", "sb"), 6)).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
