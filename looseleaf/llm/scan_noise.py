@@ -7,7 +7,8 @@ joined; a classifier over corpus counts decides whether the hyphen stays.
 
 Words. For words that hold an impossible character or a confusable pair, correction candidates come from an inverted
 index of character q-grams: everything that stands in the corpus between the same three letters before and after. A
-gradient-boosted ranker, fitted on corrupted copies of frequent words, chooses among them.
+gradient-boosted ranker, fitted on corrupted copies of frequent words, chooses among them by
+ratios of counts, which stay the same however much text there is.
 
 Scale: words are counted and corrected as distinct words; the index is restricted to the contexts asked for before it is
 joined. What is fitted on is a bounded sample (SAMPLE rows of each kind); counts and candidates cover all text. Nothing
@@ -27,8 +28,10 @@ from looseleaf.session import checkpointed
 SAMPLE = 4000
 #: Trees and depth of the boosted models.
 TREES, DEPTH = 8, 3
-#: A word without an impossible character is asked for corrections if it occurs so often at most.
-RARE = 4
+#: A word isn't taken for rightly read, where models are fitted, if a usual correction of it occurs more than so many times as often.
+OUTNUMBERED = 4
+#: Ratio, as a logarithm, of a correction that is no word of the corpus.
+UNSEEN = -12.0
 #: Letters that scanning confuses, as read and as printed.
 CONFUSED_LATIN = [("rn", "m"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("0", "o"), ("1", "l"), ("5", "s"), ("|", "l"), ("!", "i"), ("9", "g"), ("�", "e"), ("6", "b"), ("8", "b")]
 CONFUSED_THAI = [("1", "า"), ("0", "อ"), ("n", "ก"), ("u", "ม"), ("l", "เ"), ("J", "ง"), ("s", "ร"), ("�", "้"), ("", "้"), ("", "่")]
@@ -177,48 +180,57 @@ def _index(counts: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _corrupted(frequent: DataFrame) -> DataFrame:
-    """(word, right): copies of frequent words, each with one confusion put in."""
+    """(word, right, n): copies of frequent words, each with one confusion put in, from an OUTNUMBERED-th to about a thousandth as often as the word."""
+    part = F.pow(F.lit(10.0), -F.pmod(F.xxhash64("word", F.lit("part")), F.lit(1000)) / 400) / OUTNUMBERED
     out = []
     for k, (read, printed) in enumerate([*CONFUSED_LATIN, *CONFUSED_THAI]):
         at = F.instr(F.col("word"), F.lit(printed))
         wrong = F.concat(F.expr("substring(word, 1, _at - 1)"), F.lit(read), F.expr(f"substring(word, _at + {len(printed)})"))
         thai = F.col("word").rlike(f"[{THAI}]")
         fits = (thai if (read, printed) in CONFUSED_THAI else ~thai) & (F.xxhash64("word", F.lit(k)) % 2 == 0)
-        out.append(frequent.withColumn("_at", at).where((F.col("_at") > 0) & fits).select(wrong.alias("word"), F.col("word").alias("right")))
+        out.append(frequent.withColumn("_at", at).where((F.col("_at") > 0) & fits).select(wrong.alias("word"), F.col("word").alias("right"), F.greatest(F.lit(1), F.round(F.col("n") * part)).cast("bigint").alias("n")))
     done = out[0]
     for x in out[1:]:
         done = done.unionByName(x)
     return done
 
 
+def _outnumbered(soft: DataFrame, counts: DataFrame) -> DataFrame:
+    """The words of soft of which a usual correction occurs more than OUTNUMBERED times as often."""
+    usual = F.create_map(*(F.lit(v) for pair in CONFUSED_LATIN if pair[0] in SOFT for v in pair))
+    to = F.concat(F.expr("substring(word, 1, i - 1)"), usual[F.col("y")], F.expr("substring(word, i + m)"))
+    asked = _spots(soft.select("word", "n")).where(F.col("y").isin(*SOFT)).select("word", "n", to.alias("to"))
+    return asked.join(counts.select(F.col("word").alias("to"), F.col("n").alias("nto")), "to").where(F.col("nto") > OUTNUMBERED * F.col("n")).select("word").distinct()
+
+
 def corrections(counts: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(word, right): misread words and what was printed. counts: (word, n), every distinct word of the corpus.
 
     Several places of a word are corrected at once, from the right, but not two in a row; a place without an accepted candidate stays.
     """
     odd = F.col("word").rlike(IMPOSSIBLE)
-    soft = F.col("word").rlike("(?:" + "|".join(SOFT) + ")") & (F.col("n") <= RARE)
-    suspects = counts.where(odd | soft).select("word", F.lit(None).cast("string").alias("right"), F.lit("real").alias("kind"), F.least("n", F.lit(RARE)).alias("n"))
-    frequent = counts.where((F.col("n") >= 12) & ~odd & (F.length("word") > 3)).orderBy(F.xxhash64("word")).limit(sample)
-    fake = _corrupted(frequent).orderBy(F.xxhash64("word", "right")).limit(sample).select("word", "right", F.lit("corrupted").alias("kind"), F.lit(1).alias("n"))
-    clean = counts.where((F.col("n") > RARE) & ~odd & F.col("word").rlike("(?:" + "|".join(SOFT) + ")")).orderBy(F.xxhash64("word", F.lit(1))).limit(sample)
-    clean = clean.select("word", F.col("word").alias("right"), F.lit("clean").alias("kind"), F.lit(1).alias("n"))
+    soft = F.col("word").rlike("(?:" + "|".join(SOFT) + ")")
+    suspects = counts.where(odd | soft).select("word", F.lit(None).cast("string").alias("right"), F.lit("real").alias("kind"), "n")
+    right = counts.where(~odd).join(_outnumbered(counts.where(soft & ~odd), counts), "word", "left_anti")
+    frequent = right.where((F.col("n") >= 12) & (F.length("word") > 3)).orderBy(F.xxhash64("word")).limit(sample)
+    fake = _corrupted(frequent).orderBy(F.xxhash64("word", "right")).limit(sample).select("word", "right", F.lit("corrupted").alias("kind"), "n")
+    clean = right.where(soft).orderBy(F.xxhash64("word", F.lit(1))).limit(sample).select("word", F.col("word").alias("right"), F.lit("clean").alias("kind"), "n")
     asked = checkpointed(_context(_spots(suspects.unionByName(fake).unionByName(clean))))
     index = checkpointed(_index(counts.where(~odd), asked))
     seen = index.select("l", "r", F.col("x").alias("y"), F.col("nx").alias("ny"))
     c = asked.join(index, ["l", "r"]).where(F.col("x") != F.col("y")).join(seen, ["l", "r", "y"], "left").fillna(0, ["ny"])
-    # for corrupted and clean words the place itself is in no corpus, as a real misreading isn't
-    c = c.withColumn("ny", F.when(F.col("kind") == "real", F.col("ny")).when(F.col("kind") == "clean", F.col("ny")).otherwise(0))
+    # the index holds neither corrupted words nor those with impossible characters: what they add to their place themselves
+    c = c.withColumn("ny", F.col("ny") + F.when((F.col("kind") == "corrupted") | odd, F.col("n")).otherwise(0))
     c = c.withColumn("to", F.concat(F.expr("substring(word, 1, i - 1)"), F.col("x"), F.expr("substring(word, i + m)")))
     c = c.join(counts.select(F.col("word").alias("to"), F.col("n").alias("nto")), "to", "left").fillna(0, ["nto"])
     pairs = F.array(*(F.lit(f"{y}>{x}") for y, x in [*CONFUSED_LATIN, *CONFUSED_THAI]))
     c = c.withColumn("usual", F.array_contains(pairs, F.concat("y", F.lit(">"), "x")).cast("int")).withColumn("label", (F.col("to") == F.col("right")).cast("int"))
-    c = c.withColumn("log_nx", F.log1p("nx")).withColumn("log_ny", F.log1p("ny")).withColumn("log_to", F.log1p("nto")).withColumn("wider", F.length("x") - F.col("m"))
+    c = c.withColumn("ratio_x", F.log(F.col("nx") / F.greatest("ny", "n"))).withColumn("ratio_to", F.when(F.col("nto") > 0, F.log(F.col("nto") / F.col("n"))).otherwise(UNSEEN)).withColumn("wider", F.length("x") - F.col("m"))
     c = checkpointed(c.withColumn("mark", F.col("x").rlike(f"^[{MARKS}]?$").cast("int")).withColumn("letters", F.col("y").rlike("^[a-z]+$").cast("int")).withColumn("size", F.length("word")))
-    features = ["log_nx", "log_ny", "log_to", "wider", "usual", "mark", "letters", "size", "n"]
+    features = ["ratio_x", "ratio_to", "wider", "usual", "mark", "letters", "size"]
     training = c.where("kind <> 'real'").orderBy(F.xxhash64("word", "i", "x")).limit(6 * sample)
     scored = _probability(_fit(training, features), c.where("kind = 'real'"), features, "p")
-    best = scored.where("p >= 0.5").groupBy("word", "i").agg(F.max(F.struct("p", "log_to", "log_nx", "x", "m")).alias("b")).select("word", "i", "b.x", "b.m")
+    best = scored.where("p >= 0.5").groupBy("word", "i").agg(F.max(F.struct("p", "ratio_to", "ratio_x", "x", "m")).alias("b")).select("word", "i", "b.x", "b.m")
     places = best.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("i", "m", "x")), asc=False).alias("ps"))
     start = F.struct(F.col("word").alias("w"), F.lit(10**6).alias("until"))
     fixed = F.aggregate(

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from looseleaf.llm.scan_noise import noise_kinds, repaired
+from looseleaf.llm.scan_noise import classified_lines, corrections, noise_kinds, repaired, word_counts, words_of
 
 SCHEMA = "src string, row_id bigint, book string, first int, last int, titles array<string>, text string, k int"
 NOUNS = ["bark", "heartwood", "stomach", "element", "resin", "morning", "fever", "tongue", "warmth", "farmers"]
@@ -56,6 +57,14 @@ def test_kinds(books):
     assert all(got[100 * b + p] == {"running_header"} for b in (4, 5) for p in (5, 10, 30))
 
 
+def test_corrections_do_not_depend_on_the_size_of_the_corpus(books):
+    counts = word_counts(words_of(classified_lines(books[1], ("notes",))))
+    once, often = ({r["word"]: r["right"] for r in corrections(counts.withColumn("n", F.col("n") * times)).collect()} for times in (1, 100))
+    assert once["heartvvood"] == often["heartvvood"] == "heartwood"
+    assert once["fo1lows"] == often["fo1lows"] == "follows"
+    assert not {"morning", "element", "farmers", "warmth"} & {*once, *often}
+
+
 def test_repair(books):
     by, df = books
     got = {r["row_id"]: r["text"] for r in repaired(df, known=("notes",)).collect()}
