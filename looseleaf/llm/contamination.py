@@ -264,15 +264,26 @@ def _stretches(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray], doc: np
 def cover(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     """Part of the item that the best one or two stretches in order cover, and their places in the document's letters."""
     best, spans = 0, []
-    found = sorted(_stretches(item, windows, doc), key=lambda x: x[0] - x[1])[:40]
-    for k, a in enumerate(found):
-        if a[1] - a[0] > best:
-            best, spans = a[1] - a[0], [a[2:]]
-        for b in found[k + 1 :]:
-            x, y = sorted((a, b))
-            if y[2] >= x[3] - WINDOW and y[1] > x[1]:
-                if (both := y[1] - max(y[0], x[1]) + x[1] - x[0]) > best:
-                    best, spans = both, [x[2:], y[2:]]
+    found = sorted(_stretches(item, windows, doc), key=lambda x: x[0] - x[1])
+    if found:
+        best, spans = found[0][1] - found[0][0], [found[0][2:]]
+    # the later of two by where it begins in the document; of those that end before, by where they end in the item, the longest and the one that begins first
+    ended = sorted(found, key=lambda x: x[3])
+    longest, earliest, k = np.zeros(len(item) + 1, np.int64), np.full(len(item) + 1, len(item) + 1), 0
+    which_longest, which_earliest = {}, {}
+    for y in sorted(found, key=lambda x: x[2]):
+        while k < len(ended) and ended[k][3] - WINDOW <= y[2]:
+            x, k = ended[k], k + 1
+            if x[1] - x[0] > longest[x[1]]:
+                longest[x[1]], which_longest[x[1]] = x[1] - x[0], x
+            if x[0] < earliest[x[1]]:
+                earliest[x[1]], which_earliest[x[1]] = x[0], x
+        e = int(longest[: y[0] + 1].argmax())
+        if longest[e] and (both := int(longest[e]) + y[1] - y[0]) > best:
+            best, spans = both, [which_longest[e][2:], y[2:]]
+        e = y[0] + 1 + int(earliest[y[0] + 1 : y[1]].argmin())  # they overlap in the item
+        if earliest[e] <= y[0] and (both := y[1] - int(earliest[e])) > best:
+            best, spans = both, [which_earliest[e][2:], y[2:]]
     return best / max(1, len(item)), spans
 
 

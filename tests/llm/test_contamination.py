@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from looseleaf.llm import contamination
 from looseleaf.llm.contamination import FMIndex, Items, cover, find_leaks, letters_of, suffix_array
 
 
@@ -57,3 +58,29 @@ def test_short_quotes_and_empty_sides(spark):
     assert [(r["doc_id"], r["item_id"]) for r in find_leaks(docs, items).collect()] == [(2, 7), (2, 7)]
     assert find_leaks(docs.limit(0), items).count() == 0
     assert find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_second_part_beside_a_part_repeated_often():
+    rnd = random.Random(3)
+    item = words(rnd, 60)
+    own = Items([0], [item])
+    n = len(item)
+    doc = " ".join(item[: n // 4] + " " + words(rnd, 12) for _ in range(45)) + " " + item[n // 2 : n // 2 + n // 5]
+    part, spans = cover(own.letters[0], own.windows[0], letters_of(doc)[0])
+    assert part > 0.4 and len(spans) == 2
+
+
+def test_pairs_against_brute_force(monkeypatch):
+    rnd = random.Random(4)
+    for _ in range(300):
+        found = []
+        for _ in range(rnd.randrange(1, 30)):
+            a, d, size = rnd.randrange(150), rnd.randrange(900), rnd.randrange(40, 60)
+            found.append((a, a + size, d, d + size + rnd.randrange(-3, 4)))
+        monkeypatch.setattr(contamination, "_stretches", lambda *_: found)
+        best = max(x[1] - x[0] for x in found)
+        for x in found:
+            for y in found:
+                if x[0] <= y[0] and x[1] < y[1] and y[2] >= x[3] - contamination.WINDOW:
+                    best = max(best, y[1] - max(y[0], x[1]) + x[1] - x[0])
+        assert cover(np.zeros(210), None, None)[0] == best / 210
