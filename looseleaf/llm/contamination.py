@@ -4,8 +4,8 @@ Texts are reduced to letters, and the letters cut into short phrases where their
 so that case, punctuation, spacing and markup make no difference and a changed letter changes one or two phrases only. A
 shard is a run of documents of one partition; its phrases are indexed by a suffix array from which the index keeps the
 Burrows-Wheeler transform as a wavelet matrix and every eighth suffix position. The phrases of the test items are searched
-backwards, all at once, each extended to the left until few places are left; these places are located through the sampled
-positions and merged, by document and item, into stretches, whose cover of the item is measured letter by letter.
+backwards, all at once, in runs of LEAST; every place of every run is located, once for equal runs, through the sampled
+positions, and the places are merged, by document and item, into stretches, whose cover of the item is measured letter by letter.
 
 Scale: the documents are read once and never shuffled; a shard holds SHARD_LETTERS letters (one document at least), so the
 memory of a task is bounded. The test items are the small side: they are broadcast in blocks of BLOCK_ITEMS.
@@ -27,9 +27,11 @@ BLOCK_ITEMS = 20_000
 PHRASE = 4
 #: Bits of a phrase's symbol, and levels of the wavelet matrix; places kept of the suffix array.
 BITS, SAMPLE = 16, 8
-#: A search stops at so few places, after at least so many phrases, or at so many phrases.
-FEW, LEAST, MOST = 48, 5, 24
-#: Part of an item that its rare phrases must cover for the pair to be measured; part that makes a leak.
+#: Phrases that are searched at once.
+LEAST = 5
+#: Places of item phrases that are merged at once, or those of one document.
+AT_ONCE = 4_000_000
+#: Part of an item that runs of its phrases must cover for the pair to be measured; part that makes a leak.
 HINT, LEAK = 0.15, 0.33
 #: Letters compared at once when a pair is measured; in a stretch, letters without a match and letters shifted between two
 #: matches at most, letters in all and part of them matched at least. Set phrases of one kind of text stay under these.
@@ -204,31 +206,42 @@ def _rolling(letters: np.ndarray) -> np.ndarray:
     return h
 
 
-def places(index: FMIndex, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(last phrase, phrases, position) of the places where phrases of items were found."""
-    ends = np.arange(len(items.symbols))
-    lo, hi, n = np.zeros(len(ends), np.int64), np.full(len(ends), index.n + 1, np.int64), 0
-    out = []
-    while len(ends) and n < MOST:
-        ok = items.reach[ends] > n
-        ends, lo, hi = ends[ok], lo[ok], hi[ok]
-        if not len(ends):
-            break
+def places(index: FMIndex, items: Items, starts: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(last phrase, document) of each run of LEAST item phrases that a document holds, for whole documents at a time.
+
+    starts, offsets: letters at which the phrases of the index and the documents begin. Different runs of one length have
+    rows of their own, so no more places are located than the index has.
+    """
+    ends = np.flatnonzero(items.reach >= LEAST)
+    lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), index.n + 1, np.int64)
+    for n in range(LEAST):
         lo, hi = index.step(items.symbols[ends - n], lo, hi)
-        n += 1
         ok = hi > lo
         ends, lo, hi = ends[ok], lo[ok], hi[ok]
-        stop = (n >= LEAST) & (hi - lo <= FEW) | (n == MOST)
-        if n == MOST:
-            stop = np.ones(len(ends), bool)
-        if n >= LEAST and stop.any():
-            width = (hi - lo)[stop]
-            rows = np.repeat(lo[stop], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-            out.append((np.repeat(ends[stop], width), np.full(len(rows), n), index.locate(rows)))
-            ends, lo, hi = ends[~stop], lo[~stop], hi[~stop]
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out))
+    if not len(ends):
+        return
+    first, one, run, many = np.unique(lo, return_index=True, return_inverse=True, return_counts=True)
+    ends = ends[np.argsort(run, kind="stable")]
+    at = index.locate(_ranges(first, (hi - lo)[one]))
+    run = np.repeat(np.arange(len(first)), (hi - lo)[one])
+    doc = np.searchsorted(offsets, starts[at], "right") - 1
+    inside = starts[np.minimum(at + LEAST, len(starts)) - 1] < offsets[doc + 1]
+    doc, run = np.divmod(np.unique(doc[inside] * len(first) + run[inside]), len(first))
+    if not len(doc):
+        return
+    heads = np.flatnonzero(np.append(True, np.diff(doc) > 0))
+    upto = np.cumsum(np.add.reduceat(many[run], heads))
+    tails, done, k = np.append(heads[1:], len(doc)), 0, 0
+    while k < len(heads):
+        to = max(k + 1, int(np.searchsorted(upto, done + AT_ONCE, "right")))
+        r = run[heads[k] : tails[to - 1]]
+        yield ends[_ranges((np.cumsum(many) - many)[r], many[r])], np.repeat(doc[heads[k] : tails[to - 1]], many[r])
+        done, k = upto[to - 1], to
+
+
+def _ranges(begin: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 and so on, width of them, one after the other."""
+    return np.repeat(begin - np.cumsum(width) + width, width) + np.arange(width.sum())
 
 
 def _stretches(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -295,31 +308,26 @@ def shard_leaks(texts: list[str], items: Items) -> list[tuple[int, int, float, l
         return []
     letters = np.concatenate([x for x, _ in docs])
     symbols, starts = phrases(letters, offsets[:-1])
-    last, n, at = places(FMIndex(symbols), items)
-    if not len(at):
-        return []
-    doc = np.searchsorted(offsets, starts[at], "right") - 1
-    inside = starts[np.minimum(at + n, len(starts)) - 1] < offsets[doc + 1]
-    last, n, doc = last[inside], n[inside], doc[inside]
-    pair = doc * len(items.ids) + items.owner[last]
-    # the item's letters that the places of a pair cover together
-    begin, end = items.starts[last - n + 1], items.ends[last]
-    by = np.lexsort((begin, pair))
-    pair, begin, end = pair[by], begin[by], end[by]
-    fresh = np.append(True, np.diff(pair) > 0)
-    reached = np.maximum.accumulate(end + pair * (1 << 32)) - pair * (1 << 32)
-    reached = np.where(fresh, 0, np.append(0, reached[:-1]))
-    gain = np.maximum(0, end - np.maximum(begin, reached))
-    heads = np.flatnonzero(fresh)
-    total = np.add.reduceat(gain, heads)
-    hopeful = pair[heads][total >= HINT * items.lengths[pair[heads] % len(items.ids)]]
     out = []
-    for p in hopeful:
-        d, i = divmod(int(p), len(items.ids))
-        part, spans = cover(items.letters[i], items.windows[i], docs[d][0])
-        if part >= LEAK:
-            places_of = docs[d][1]
-            out.append((d, i, part, [(int(places_of[a]), int(places_of[b - 1]) + 1) for a, b in spans]))
+    for last, doc in places(FMIndex(symbols), items, starts, offsets):
+        pair = doc * len(items.ids) + items.owner[last]
+        # the item's letters that the places of a pair cover together
+        begin, end = items.starts[last - LEAST + 1], items.ends[last]
+        by = np.lexsort((begin, pair))
+        pair, begin, end = pair[by], begin[by], end[by]
+        fresh = np.append(True, np.diff(pair) > 0)
+        reached = np.maximum.accumulate(end + pair * (1 << 32)) - pair * (1 << 32)
+        reached = np.where(fresh, 0, np.append(0, reached[:-1]))
+        gain = np.maximum(0, end - np.maximum(begin, reached))
+        heads = np.flatnonzero(fresh)
+        total = np.add.reduceat(gain, heads)
+        hopeful = pair[heads][total >= HINT * items.lengths[pair[heads] % len(items.ids)]]
+        for p in hopeful:
+            d, i = divmod(int(p), len(items.ids))
+            part, spans = cover(items.letters[i], items.windows[i], docs[d][0])
+            if part >= LEAK:
+                places_of = docs[d][1]
+                out.append((d, i, part, [(int(places_of[a]), int(places_of[b - 1]) + 1) for a, b in spans]))
     return out
 
 

@@ -84,3 +84,13 @@ def test_pairs_against_brute_force(monkeypatch):
                 if x[0] <= y[0] and x[1] < y[1] and y[2] >= x[3] - contamination.WINDOW:
                     best = max(best, y[1] - max(y[0], x[1]) + x[1] - x[0])
         assert cover(np.zeros(210), None, None)[0] == best / 210
+
+
+def test_parts_that_stand_in_many_documents():
+    rnd = random.Random(5)
+    item = words(rnd, 55)
+    n = len(item)
+    parts = [item[k * n // 10 : k * n // 10 + n // 5] for k in (0, 3, 6)]
+    docs = [" ".join(words(rnd, 10) + " " + p for p in parts) + " " + words(rnd, 10) for _ in range(150)]
+    found = contamination.shard_leaks([*docs, words(rnd, 100)], Items([7], [item]))
+    assert sorted(d for d, *_ in found) == list(range(150))
