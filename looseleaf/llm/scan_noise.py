@@ -1,59 +1,34 @@
 """Noise in text from scanned pages: broken words, misread characters, running titles and page numbers.
 
-Lines. A line is furniture if it shows the number of its page, or a title; titles are the known ones of the book and
-chapter, and lines that a gradient-boosted classifier, fitted on the books whose titles are known, holds for titles by
-the pages and books they return on, their styling and their place. Line pairs of which the first ends in a hyphen are
-joined; a classifier over corpus counts decides whether the hyphen stays.
-
-Words. For words that hold an impossible character or a confusable pair, correction candidates come from an inverted
-index of character q-grams: everything that stands in the corpus between the same three letters before and after. A
-gradient-boosted ranker, fitted on corrupted copies of frequent words, chooses among them by
-ratios of counts, which stay the same however much text there is.
-
-Scale: words are counted and corrected as distinct words; the index is restricted to the contexts asked for before it is
-joined. What is fitted on is a bounded sample (SAMPLE rows of each kind); counts and candidates cover all text. Nothing
-but model parameters reaches the driver.
+Lines. Boosted and logistic classifiers decide which lines are furniture. A line is a running title if the classifier of
+repeated lines says so, from whether it equals a known title of its book, the pages and books it returns on, its styling
+and its place; half of the known titles it is fitted on are shown to it as unknown ones. A line that shows a number is the
+page's number if the classifier of a line and its neighbours says that it is furniture, and the number is that of a page
+of the text. A line pair of which the first ends in a hyphen or dash is no break, a broken word, or a compound broken at
+its own hyphen, by a classifier of line pairs over what the corpus holds of both writings and both halves.
+
+Words. See misread.py: candidates from character q-gram indexes, chosen by a boosted ranker. They are looked for in the
+text without furniture and with broken words joined.
+
+Scale: everything is grouped by record, by distinct line of a book or by distinct word. What is fitted on is a bounded
+sample (SAMPLE rows of each kind); counts, candidates and decisions cover all text. Nothing but model parameters reaches
+the driver, and a filter of fixed size.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from looseleaf.llm.misread import SAMPLE, corrections, fitted, probability
 from looseleaf.session import checkpointed
 
-#: Rows of each kind that a classifier is fitted on at most.
-SAMPLE = 4000
-#: Trees and depth of the boosted models.
-TREES, DEPTH = 8, 3
-#: A word isn't taken for rightly read, where models are fitted, if a usual correction of it occurs more than so many times as often.
-OUTNUMBERED = 4
-#: Ratio, as a logarithm, of a correction that is no word of the corpus.
-UNSEEN = -12.0
-#: Letters that scanning confuses, as read and as printed.
-CONFUSED_LATIN = [("rn", "m"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("0", "o"), ("1", "l"), ("5", "s"), ("|", "l"), ("!", "i"), ("9", "g"), ("�", "e"), ("6", "b"), ("8", "b")]
-CONFUSED_THAI = [("1", "า"), ("0", "อ"), ("n", "ก"), ("u", "ม"), ("l", "เ"), ("J", "ง"), ("s", "ร"), ("�", "้"), ("", "้"), ("", "่")]
-SOFT = [y for y, _ in CONFUSED_LATIN if y.isalpha() and y.isascii()]
-#: Thai marks that stand above or below a letter.
-MARKS = "ัิ-ฺ็-๎"
 HYPHENS = "\\-‐‑¬\u00ad"
-THAI = "ก-ฺเ-๎"
-#: What no rightly read text holds.
-IMPOSSIBLE = "|".join(
-    [
-        "[\ue000-\uf8ff�]",
-        f"([{MARKS}])\\1|[่-๋][่-๋]",
-        f"[{THAI}][A-Za-z|!](?=[{THAI}\\s]|$)|(?<![A-Za-z])[A-Za-z|][{THAI}]",
-        f"[{THAI}][0-9](?![0-9.,/])(?=[{THAI}\\s])|(?<![0-9.,/])[0-9][{THAI}]",
-        "[A-Za-z][0-9|!][A-Za-z]",
-        "[A-Za-z]{2}[0-9|](?![0-9A-Za-z|])",
-        "(?<![0-9A-Za-z.,/|])[0-9|](?!(?:st|nd|rd|th|ml|mg|kg|cm|mm|km|am|pm)(?![a-z]))[a-z]{2,}",
-    ]
-)
-_SIGN_CHAR = f"[0-9|!�\ue000-\uf8ff]|[{MARKS}]|[A-Za-z]"
+DASHES = HYPHENS + "–—"
+_LETTER = r"\p{L}\p{M}\p{N}\ue000-\uf8ff�|!"
 _ASCII_DIGITS = ("๐๑๒๓๔๕๖๗๘๙", "0123456789")
+_EDGE = r"^[\p{Punct}“”«»‘’–—¬]*|[\p{Punct}“”«»‘’–—¬]*$"
 
 
 def _digits(c: Column) -> Column:
@@ -69,10 +44,13 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """Lines of texts (src, row_id, book, first, last, titles, text), with what classifies them.
 
     k: place in the text, of `lines`; core: the line without a page number before or after; number: the number that the
-    line shows as furniture, -1 if none; style: whether it is spaced out, in capitals, in marks or beside a number.
+    line shows as furniture, -1 if none; style: whether it is spaced out, in capitals, in marks or beside a number; runs_on
+    and goes_on: whether the line before ends, and the line after begins, in the middle of a sentence.
     """
-    at = F.posexplode(F.split("text", r"\r?\n")).alias("k", "line")
-    x = pages.where("text is not null").select("src", "row_id", "book", "first", "last", "titles", F.size(F.split("text", r"\r?\n")).alias("lines"), at)
+    split = F.split("text", r"\r?\n")
+    near = F.transform(F.col("ls"), lambda x, i: F.struct(i.alias("k"), x.alias("line"), F.get(F.col("ls"), i - 1).alias("above"), F.get(F.col("ls"), i + 1).alias("below")))
+    x = pages.where("text is not null").select("src", "row_id", "book", "first", "last", "titles", split.alias("ls"))
+    x = x.select("src", "row_id", "book", "first", "last", "titles", F.size("ls").alias("lines"), F.explode(near).alias("l")).select("src", "row_id", "book", "first", "last", "titles", "lines", "l.*")
     plain = _digits(F.trim(F.regexp_replace("line", r"[\s\u00a0]+$", "")))
     alone = F.regexp_extract(plain, r"(?i)^[^\p{L}\p{N}]*(?:(?:หน้า|page|p\.?|pp\.?)\s*)?([0-9]{1,5})[^\p{L}\p{N}]*$", 1)
     before = F.regexp_extract(plain, r"^([0-9]{1,5})(?:\s*\||\t|\s{2,})", 1)
@@ -83,182 +61,154 @@ def page_lines(pages: DataFrame) -> DataFrame:
     x = x.withColumn("fold", fold(F.col("core")))
     spaced = F.col("core").rlike(r"^(?:\S\s+){4,}\S$")
     capital = F.col("core").rlike(r"[A-Z]{3}") & (F.upper("core") == F.col("core"))
-    return x.withColumn("style", spaced | capital | F.col("core").rlike("[«»]") | ((F.col("number") >= 0) & (F.col("core") != "")))
-
-
-def _fit(rows: DataFrame, features: list[str], label: str = "label"):
-    """A boosted classifier over the features, or None if the rows show one class only."""
-    data = VectorAssembler(inputCols=features, outputCol="_f").transform(rows.select(*(F.col(c).cast("double").alias(c) for c in [*features, label]))).select("_f", F.col(label).alias("label"))
-    data = checkpointed(data.repartition(2))
-    if data.agg(F.countDistinct("label")).first()[0] < 2:
-        return None
-    return GBTClassifier(featuresCol="_f", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=16).fit(data)
-
-
-def _probability(model, rows: DataFrame, features: list[str], to: str) -> DataFrame:
-    if model is None:
-        return rows.withColumn(to, F.lit(0.0))
-    cast = rows.select(*rows.columns, *(F.col(c).cast("double").alias(f"_{c}") for c in features))
-    scored = model.transform(VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="_f").transform(cast))
-    return scored.select(*rows.columns, vector_to_array("probability")[1].alias(to))
+    x = x.withColumn("style", spaced | capital | F.col("core").rlike("[«»]") | ((F.col("number") >= 0) & (F.col("core") != "")))
+    x = x.withColumn("stops", F.col("line").rlike(r"[.,;]\s*$")).withColumn("marked", F.col("line").rlike(r"^\s*[^\p{L}\p{N}\s]"))
+    return x.withColumn("runs_on", F.col("above").rlike(r"[\p{L}\p{M},;\-]\s*$")).withColumn("goes_on", F.col("below").rlike(r"^\s*[\p{Ll}ก-๎]")).drop("above", "below")
 
 
 def title_folds(lines: DataFrame, known: tuple[str, ...], sample: int = SAMPLE) -> DataFrame:
-    """(src, book, fold) of lines that are titles: known ones, and those the classifier finds in sources not in known."""
+    """(src, book, fold) of lines that the classifier holds for titles.
+
+    Fitted on known titles, of which half are shown as unknown, and on other lines of the sources in known, whose titles
+    are all given. A line that is no known title and stands on one page only isn't repeated and no candidate.
+    """
     given = lines.select("src", "book", F.explode("titles").alias("t")).where("t is not null").select("src", "book", fold(F.col("t")).alias("fold")).where("length(fold) > 3").distinct()
-    one = lines.where("length(fold) > 5")
+    one = lines.where("length(fold) > 3")
+    number = lambda c: F.avg(F.col(c).cast("double"))
     stats = one.groupBy("src", "book", "fold").agg(
         F.countDistinct("first").alias("pages"),
         F.count(F.lit(1)).alias("n"),
-        F.avg(F.col("style").cast("double")).alias("styled"),
+        number("style").alias("styled"),
         F.avg((F.col("lines") == 1).cast("double")).alias("alone_share"),
         F.avg((F.col("k") == 0).cast("double")).alias("first_share"),
-        F.avg(F.col("line").rlike(r"[.,;]\s*$").cast("double")).alias("stops"),
+        number("stops").alias("stops"),
     )
     elsewhere = one.groupBy("src", "fold").agg(F.countDistinct("book").alias("books"))
-    stats = stats.where("pages > 1").join(elsewhere, ["src", "fold"]).join(given.withColumn("label", F.lit(1)), ["src", "book", "fold"], "left").fillna(0, ["label"])
-    stats = checkpointed(stats.withColumn("size", F.length("fold")))
-    features = ["pages", "n", "styled", "alone_share", "first_share", "stops", "books", "size"]
+    stats = stats.join(given.withColumn("given", F.lit(1)), ["src", "book", "fold"], "left").fillna(0, ["given"]).where("given = 1 or pages > 1 and length(fold) > 5")
+    stats = checkpointed(stats.join(elsewhere, ["src", "fold"]).withColumn("size", F.length("fold")))
+    features = ["given", "pages", "n", "styled", "alone_share", "first_share", "stops", "books", "size"]
     order = F.xxhash64("src", "book", "fold")
-    yes, no = (stats.where(cond).orderBy(order).limit(sample) for cond in ("label = 1", f"label = 0 and src in ({', '.join(repr(s) for s in known)})"))
-    model = _fit(yes.unionByName(no), features)
-    found = _probability(model, stats.where(~F.col("src").isin(*known)), features, "p").where("p >= 0.5").select("src", "book", "fold")
-    return given.unionByName(found).distinct()
-
-
-def classified_lines(pages: DataFrame, known: tuple[str, ...] = ("source_notes",)) -> DataFrame:
-    """page_lines with header and page_number, whether the line is a running title or shows its page's number, or both."""
-    lines = checkpointed(page_lines(pages))  # read twice below
-    titles = title_folds(lines, known).withColumn("is_title", F.lit(True))
-    marked = lines.join(titles, ["src", "book", "fold"], "left").fillna(False, ["is_title"])
-    numbered = (F.col("number") >= F.col("first")) & (F.col("number") <= F.col("last")) & (F.col("alone") | F.col("is_title"))
-    return marked.withColumn("header", F.col("is_title") & (F.col("fold") != "")).withColumn("page_number", numbered).withColumn("furniture", F.col("header") | F.col("page_number"))
-
-
-def line_pairs(lines: DataFrame) -> DataFrame:
-    """(src, row_id, k, left, right, hyphen) of lines that end in a hyphen and go on in the next line that isn't furniture."""
-    body = lines.where(~F.col("furniture")).groupBy("src", "row_id").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("ls"))
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.size("ls") - 1), lambda i: F.struct(F.col("ls")[i - 1]["k"].alias("k"), F.col("ls")[i - 1]["line"].alias("a"), F.col("ls")[i]["line"].alias("b"))))
-    pairs = body.where(F.size("ls") > 1).select("src", "row_id", pair.alias("p")).select("src", "row_id", "p.*")
-    pairs = pairs.where(F.col("a").rlike(rf"[\p{{L}}\p{{M}}\p{{N}}\ue000-\uf8ff�|!][{HYPHENS}][\s]*$") & F.col("b").rlike(r"^\s*[\p{L}\p{M}\p{N}\ue000-\uf8ff�|!]"))
-    left = F.regexp_extract("a", rf"(\S+)[{HYPHENS}]\s*$", 1)
-    right = F.regexp_extract("b", r"^\s*([^\s.,;:!?)]+)", 1)
-    return pairs.select("src", "row_id", "k", left.alias("left"), right.alias("right"))
-
-
-_EDGE = r"^[\p{Punct}“”«»‘’–—¬]*|[\p{Punct}“”«»‘’–—¬]*$"
+    yes = stats.where("given = 1").orderBy(order).limit(sample).withColumn("label", F.lit(1))
+    yes = yes.withColumn("given", F.when((order % 2 == 0) & (F.col("pages") > 1), 0).otherwise(1))
+    no = stats.where("given = 0").where(F.col("src").isin(*known)).orderBy(order).limit(sample).withColumn("label", F.lit(0))
+    model = fitted(yes.unionByName(no), features)
+    if model is None:  # nothing to tell titles from
+        return given
+    return probability(model, stats, features, "p").where("p >= 0.5").select("src", "book", "fold").distinct()
+
+
+def _logistic(rows: DataFrame, features: list[str], label: str):
+    """A logistic classifier (of as many classes as label has), or None if the rows show one class only."""
+    data = VectorAssembler(inputCols=features, outputCol="_f").transform(rows.select(*(F.col(c).cast("double").alias(c) for c in [*features, label])))
+    data = checkpointed(data.select("_f", label).coalesce(2))  # a bounded sample
+    if data.agg(F.countDistinct(label)).first()[0] < 2:
+        return None
+    return LogisticRegression(featuresCol="_f", labelCol=label, maxIter=20, regParam=0.001).fit(data)
 
 
-def words_of(lines: DataFrame) -> DataFrame:
-    """(src, row_id, k, pos, raw, word): the words of lines that aren't furniture, without punctuation at their ends."""
-    w = F.posexplode(F.split(F.trim("line"), r"\s+")).alias("pos", "raw")
-    return lines.where(~F.col("furniture")).select("src", "row_id", "k", w).withColumn("word", F.regexp_replace("raw", _EDGE, "")).where("raw <> ''")
+def _predicted(model, rows: DataFrame, features: list[str], to: str) -> DataFrame:
+    cast = rows.select(*rows.columns, *(F.col(c).cast("double").alias(f"_{c}") for c in features))
+    return model.transform(VectorAssembler(inputCols=[f"_{c}" for c in features], outputCol="_f").transform(cast)).select(*rows.columns, F.col("prediction").cast("int").alias(to))
 
 
-def _spots(words: DataFrame) -> DataFrame:
-    """words with i and y: each place of a word that may be misread, and what stands there."""
-    n = F.length("word")
-    latin = ~F.col("word").rlike(f"[{THAI}]")
-    sign = F.when(latin, F.lit("[0-9|!�]")).otherwise(F.lit(_SIGN_CHAR))
-    two = F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("word"), i, F.lit(2)).isin(*SOFT) & latin), lambda i: F.struct(i.alias("i"), F.lit(2).alias("m")))
-    one = F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: F.regexp_like(F.substring(F.col("word"), i, F.lit(1)), sign)), lambda i: F.struct(i.alias("i"), F.lit(1).alias("m")))
-    marks = F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: F.regexp_like(F.substring(F.col("word"), i, F.lit(2)), F.lit(f"^[{MARKS}][{MARKS}�]$")) & ~latin), lambda i: F.struct(i.alias("i"), F.lit(2).alias("m")))
-    return words.where(n > 2).select(*words.columns, F.explode(F.concat(two, one, marks)).alias("s")).select(*words.columns, "s.i", "s.m", F.substring("word", F.col("s.i"), F.col("s.m")).alias("y"))
+def classified_lines(pages: DataFrame, known: tuple[str, ...] = ("source_notes",), sample: int = SAMPLE) -> DataFrame:
+    """page_lines with header and page_number, whether the line is a running title or shows its page's number, or both."""
+    lines = checkpointed(page_lines(pages))  # read several times below
+    titles = title_folds(lines, known, sample).withColumn("is_title", F.lit(True))
+    marked = lines.join(titles, ["src", "book", "fold"], "left").fillna(False, ["is_title"]).withColumn("header", F.col("is_title") & (F.col("fold") != ""))
+    # numbers: furniture by the line and its neighbours, where numbers of pages show what furniture looks like
+    own = (F.col("number") >= F.col("first")) & (F.col("number") <= F.col("last"))
+    features = ["alone", "header", "ends", "marked", "runs_on", "goes_on", "style", "size"]
+    ends = (F.col("k") == 0) | (F.col("k") == F.col("lines") - 1)
+    marked = marked.withColumn("ends", ends).withColumn("size", F.length("core")).fillna(False, ["runs_on", "goes_on"])
+    shown = marked.where("number >= 0").withColumn("label", own.cast("int"))
+    model = _logistic(shown.orderBy(F.xxhash64("src", "row_id", "k")).limit(sample), features, "label")
+    marked = marked.withColumn("_furniture", F.lit(1)) if model is None else _predicted(model, marked, features, "_furniture")
+    numbered = (F.col("_furniture") == 1) & (F.col("number") >= 0) & own & (F.col("alone") | F.col("header"))
+    return marked.withColumn("page_number", F.coalesce(numbered, F.lit(False))).withColumn("furniture", F.col("header") | F.col("page_number")).drop("_furniture", "ends", "size")
+
+
+def bodies(lines: DataFrame) -> DataFrame:
+    """(src, row_id, ls): the lines of each text that aren't furniture, as (k, line) in order.
+
+    Blank lines stay, as ends of paragraphs, but for those beside furniture.
+    """
+    gone = F.transform(F.filter(F.col("every"), lambda x: x["furniture"]), lambda x: x["k"])
+    beside = lambda x: F.array_contains(gone, x["k"] - 1) | F.array_contains(gone, x["k"] + 1)
+    kept = F.filter("every", lambda x: ~x["furniture"] & ~((F.trim(x["line"]) == "") & (F.size(gone) > 0) & beside(x)))
+    every = lines.groupBy("src", "row_id").agg(F.array_sort(F.collect_list(F.struct("k", "line", "furniture"))).alias("every"))
+    return every.select("src", "row_id", F.transform(kept, lambda x: F.struct(x["k"].alias("k"), x["line"].alias("line"))).alias("ls"))
 
 
-def _context(df: DataFrame) -> DataFrame:
-    p = F.concat(F.lit("^^^"), F.col("word"), F.lit("$$$"))
-    return df.withColumn("l", F.substring(p, F.col("i"), F.lit(3))).withColumn("r", F.substring(p, F.col("i") + 3 + F.col("m"), F.lit(3)))
+def token_counts(body: DataFrame) -> DataFrame:
+    """(word, n) of the blank-separated words of bodies, without punctuation at their ends."""
+    word = F.explode(F.split(F.concat_ws(" ", F.col("ls.line")), r"\s+")).alias("w")
+    return body.select(word).select(F.regexp_replace("w", _EDGE, "").alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _index(counts: DataFrame, asked: DataFrame) -> DataFrame:
-    """(l, r, x, nx): how often x, of no, one or two characters, stands between l and r in the corpus, for contexts asked for."""
-    n = F.length("word")
-    spots = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(2), n + 1 - i)), lambda m: F.struct(i.alias("i"), m.alias("m"))))))
-    grams = _context(counts.where(n > 2).select("word", "n", spots.alias("s")).select("word", "n", "s.i", "s.m"))
-    return grams.join(asked.select("l", "r").distinct(), ["l", "r"], "left_semi").groupBy("l", "r", F.substring("word", F.col("i"), F.col("m")).alias("x")).agg(F.sum("n").alias("nx"))
+#: Features of a line pair.
+PAIR = ["hyphen", "dash", "apart", "letter", "n_together", "n_hyphened", "n_left", "n_right", "long_left", "long_right"]
 
 
-def _corrupted(frequent: DataFrame) -> DataFrame:
-    """(word, right, n): copies of frequent words, each with one confusion put in, from an OUTNUMBERED-th to about a thousandth as often as the word."""
-    part = F.pow(F.lit(10.0), -F.pmod(F.xxhash64("word", F.lit("part")), F.lit(1000)) / 400) / OUTNUMBERED
-    out = []
-    for k, (read, printed) in enumerate([*CONFUSED_LATIN, *CONFUSED_THAI]):
-        at = F.instr(F.col("word"), F.lit(printed))
-        wrong = F.concat(F.expr("substring(word, 1, _at - 1)"), F.lit(read), F.expr(f"substring(word, _at + {len(printed)})"))
-        thai = F.col("word").rlike(f"[{THAI}]")
-        fits = (thai if (read, printed) in CONFUSED_THAI else ~thai) & (F.xxhash64("word", F.lit(k)) % 2 == 0)
-        out.append(frequent.withColumn("_at", at).where((F.col("_at") > 0) & fits).select(wrong.alias("word"), F.col("word").alias("right"), F.greatest(F.lit(1), F.round(F.col("n") * part)).cast("bigint").alias("n")))
-    done = out[0]
-    for x in out[1:]:
-        done = done.unionByName(x)
-    return done
+def line_pairs(body: DataFrame, counts: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(src, row_id, k, join): line pairs whose first ends in a hyphen; join is 0 for no broken word, 1 if the hyphen goes, 2 if it stays.
 
+    A logistic classifier of three classes over the signs between the lines, and how often the corpus holds both writings
+    and both halves. It is fitted on pairs of which the corpus holds one writing, and on pairs of lines without a hyphen.
+    """
+    two = F.transform(F.slice("ls", 2, F.size("ls")), lambda y, i: F.struct(F.col("ls")[i]["k"].alias("k"), F.col("ls")[i]["line"].alias("a"), y["line"].alias("b")))
+    pairs = body.where(F.size("ls") > 1).select("src", "row_id", F.explode(two).alias("p")).select("src", "row_id", "p.*").where("trim(a) <> '' and trim(b) <> ''")
+    tail = F.regexp_extract("a", rf"[{DASHES}]+[\s]*$", 0)
+    pairs = pairs.withColumn("hyphen", F.col("a").rlike(rf"[{_LETTER}][{HYPHENS}]\s*$")).withColumn("dash", tail != "").withColumn("apart", F.col("a").rlike(rf"(?:^|\s)[{DASHES}]+\s*$"))
+    pairs = pairs.withColumn("letter", F.col("b").rlike(rf"^\s*[{_LETTER}]")).withColumn("left", F.regexp_extract("a", rf"(\S*?)[{DASHES}]*\s*$", 1)).withColumn("right", F.regexp_extract("b", r"^\s*([^\s.,;:!?)]+)", 1))
+    order = F.xxhash64("src", "row_id", "k")
+    asked = pairs.where("dash").unionByName(pairs.where("not dash").orderBy(order).limit(sample)).drop("a", "b")
+    asked = checkpointed(asked.withColumn("id", F.xxhash64("src", "row_id", "k")))
+    forms = F.array(*(F.struct(F.lit(n).alias("of"), F.regexp_replace(w, _EDGE, "").alias("word")) for n, w in (("together", F.concat("left", "right")), ("hyphened", F.concat("left", F.lit("-"), "right")), ("left", F.col("left")), ("right", F.col("right")))))
+    met = asked.select("id", F.explode(forms).alias("f")).select("id", "f.*").join(counts, "word").groupBy("id").agg(*(F.max(F.when(F.col("of") == n, F.log1p("n"))).alias(f"n_{n}") for n in ("together", "hyphened", "left", "right")))
+    x = asked.join(met, "id", "left").fillna(0.0, ["n_together", "n_hyphened", "n_left", "n_right"]).withColumn("long_left", F.length("left")).withColumn("long_right", F.length("right"))
+    one = F.when((F.col("n_hyphened") > 0) & (F.col("n_together") == 0), 2).when((F.col("n_together") > 0) & (F.col("n_hyphened") == 0), 1)
+    x = checkpointed(x.withColumn("label", F.when(~F.col("dash") | F.col("apart") | ~F.col("letter"), 0).when(F.col("hyphen"), one)))
+    model = _logistic(x.where("label is not null").orderBy("id").limit(3 * sample), PAIR, "label")
+    broken = x.where("dash")
+    if model is None:
+        return broken.select("src", "row_id", "k", F.coalesce("label", F.lit(1)).alias("join"))
+    return _predicted(model, broken, PAIR, "join").select("src", "row_id", "k", "join")
 
-def _outnumbered(soft: DataFrame, counts: DataFrame) -> DataFrame:
-    """The words of soft of which a usual correction occurs more than OUTNUMBERED times as often."""
-    usual = F.create_map(*(F.lit(v) for pair in CONFUSED_LATIN if pair[0] in SOFT for v in pair))
-    to = F.concat(F.expr("substring(word, 1, i - 1)"), usual[F.col("y")], F.expr("substring(word, i + m)"))
-    asked = _spots(soft.select("word", "n")).where(F.col("y").isin(*SOFT)).select("word", "n", to.alias("to"))
-    return asked.join(counts.select(F.col("word").alias("to"), F.col("n").alias("nto")), "to").where(F.col("nto") > OUTNUMBERED * F.col("n")).select("word").distinct()
 
+def joined_texts(body: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, row_id, text): the lines of bodies as continuous paragraphs; broken words are whole."""
+    how = pairs.where("join > 0").groupBy("src", "row_id").agg(F.map_from_entries(F.collect_set(F.struct("k", "join"))).alias("how"))
+    x = body.join(how, ["src", "row_id"], "left").withColumn("how", F.coalesce("how", F.create_map().cast("map<int,int>")))
+    bare = lambda l: F.trim(F.regexp_replace(l["line"], r"[\s\u00a0]+", " "))
 
-def corrections(counts: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(word, right): misread words and what was printed. counts: (word, n), every distinct word of the corpus.
+    def piece(l: Column) -> Column:
+        joined = F.try_element_at(F.col("how"), l["k"])
+        cut = F.regexp_replace(bare(l), rf"[{HYPHENS}]\s*$", "")
+        return F.when(bare(l) == "", "\n\n").when(joined == 1, cut).when(joined == 2, F.concat(cut, F.lit("-"))).otherwise(F.concat(bare(l), F.lit(" ")))
 
-    Several places of a word are corrected at once, from the right, but not two in a row; a place without an accepted candidate stays.
-    """
-    odd = F.col("word").rlike(IMPOSSIBLE)
-    soft = F.col("word").rlike("(?:" + "|".join(SOFT) + ")")
-    suspects = counts.where(odd | soft).select("word", F.lit(None).cast("string").alias("right"), F.lit("real").alias("kind"), "n")
-    right = counts.where(~odd).join(_outnumbered(counts.where(soft & ~odd), counts), "word", "left_anti")
-    frequent = right.where((F.col("n") >= 12) & (F.length("word") > 3)).orderBy(F.xxhash64("word")).limit(sample)
-    fake = _corrupted(frequent).orderBy(F.xxhash64("word", "right")).limit(sample).select("word", "right", F.lit("corrupted").alias("kind"), "n")
-    clean = right.where(soft).orderBy(F.xxhash64("word", F.lit(1))).limit(sample).select("word", F.col("word").alias("right"), F.lit("clean").alias("kind"), "n")
-    asked = checkpointed(_context(_spots(suspects.unionByName(fake).unionByName(clean))))
-    index = checkpointed(_index(counts.where(~odd), asked))
-    seen = index.select("l", "r", F.col("x").alias("y"), F.col("nx").alias("ny"))
-    c = asked.join(index, ["l", "r"]).where(F.col("x") != F.col("y")).join(seen, ["l", "r", "y"], "left").fillna(0, ["ny"])
-    # the index holds neither corrupted words nor those with impossible characters: what they add to their place themselves
-    c = c.withColumn("ny", F.col("ny") + F.when((F.col("kind") == "corrupted") | odd, F.col("n")).otherwise(0))
-    c = c.withColumn("to", F.concat(F.expr("substring(word, 1, i - 1)"), F.col("x"), F.expr("substring(word, i + m)")))
-    c = c.join(counts.select(F.col("word").alias("to"), F.col("n").alias("nto")), "to", "left").fillna(0, ["nto"])
-    pairs = F.array(*(F.lit(f"{y}>{x}") for y, x in [*CONFUSED_LATIN, *CONFUSED_THAI]))
-    c = c.withColumn("usual", F.array_contains(pairs, F.concat("y", F.lit(">"), "x")).cast("int")).withColumn("label", (F.col("to") == F.col("right")).cast("int"))
-    c = c.withColumn("ratio_x", F.log(F.col("nx") / F.greatest("ny", "n"))).withColumn("ratio_to", F.when(F.col("nto") > 0, F.log(F.col("nto") / F.col("n"))).otherwise(UNSEEN)).withColumn("wider", F.length("x") - F.col("m"))
-    c = checkpointed(c.withColumn("mark", F.col("x").rlike(f"^[{MARKS}]?$").cast("int")).withColumn("letters", F.col("y").rlike("^[a-z]+$").cast("int")).withColumn("size", F.length("word")))
-    features = ["ratio_x", "ratio_to", "wider", "usual", "mark", "letters", "size"]
-    training = c.where("kind <> 'real'").orderBy(F.xxhash64("word", "i", "x")).limit(6 * sample)
-    scored = _probability(_fit(training, features), c.where("kind = 'real'"), features, "p")
-    best = scored.where("p >= 0.5").groupBy("word", "i").agg(F.max(F.struct("p", "ratio_to", "ratio_x", "x", "m")).alias("b")).select("word", "i", "b.x", "b.m")
-    places = best.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("i", "m", "x")), asc=False).alias("ps"))
-    start = F.struct(F.col("word").alias("w"), F.lit(10**6).alias("until"))
-    fixed = F.aggregate(
-        "ps",
-        start,
-        lambda a, p: F.when(p["i"] + p["m"] < a["until"], F.struct(F.concat(F.substring(a["w"], F.lit(1), p["i"] - 1), p["x"], F.substring(a["w"], p["i"] + p["m"], F.lit(10**6))).alias("w"), p["i"].alias("until"))).otherwise(a),
-    )
-    return places.select("word", fixed["w"].alias("right")).where("right <> word")
+    text = F.array_join(F.transform("ls", piece), "")
+    return x.select("src", "row_id", F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s*\n\n\s*", "\n\n")), r"^\s+|\s+$", "")).alias("text"))
 
 
-def word_counts(words: DataFrame) -> DataFrame:
-    return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def _read(pages: DataFrame, known: tuple[str, ...], sample: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, pairs, texts): classified lines, line pairs, and the joined text of each record."""
+    lines = checkpointed(classified_lines(_filled(pages), known, sample).select("src", "row_id", "k", "line", "header", "page_number", "furniture"))
+    body = checkpointed(bodies(lines))
+    pairs = checkpointed(line_pairs(body, token_counts(body), sample))
+    return lines, pairs, checkpointed(joined_texts(body, pairs))
 
 
-def noise_kinds(pages: DataFrame, known: tuple[str, ...] = ("source_notes",)) -> DataFrame:
+def noise_kinds(pages: DataFrame, known: tuple[str, ...] = ("source_notes",), sample: int = SAMPLE) -> DataFrame:
     """(src, row_id, kind): the kinds of noise in each text, of hyphenation, misread, running_header and page_number.
 
     pages: (src, row_id, book, first, last, titles, text); first and last are the pages a text runs over. Null and empty
     texts have none; null titles are taken from other rows of the book where there are any; repeated rows count once.
     """
-    pages = _filled(pages)
-    lines = checkpointed(classified_lines(pages, known))
-    words = words_of(lines)
-    wrong = corrections(checkpointed(word_counts(words)))
-    misread = words.join(wrong, "word", "left_semi").select("src", "row_id").unionByName(pages.where(F.col("text").rlike(IMPOSSIBLE)).select("src", "row_id"))
+    lines, pairs, texts = _read(pages.dropDuplicates(["src", "row_id"]), known, sample)
     kinds = [
-        line_pairs(lines).select("src", "row_id", F.lit("hyphenation").alias("kind")),
-        misread.select("src", "row_id", F.lit("misread").alias("kind")),
+        pairs.where("join > 0").select("src", "row_id", F.lit("hyphenation").alias("kind")),
+        corrections(texts, sample).select("src", "row_id", F.lit("misread").alias("kind")),
         lines.where("header").select("src", "row_id", F.lit("running_header").alias("kind")),
         lines.where("page_number").select("src", "row_id", F.lit("page_number").alias("kind")),
     ]
@@ -275,53 +225,24 @@ def _filled(pages: DataFrame) -> DataFrame:
     return known.withColumn("titles", F.when(F.size(own) > 0, own).otherwise(F.coalesce("_all", F.array().cast("array<string>")))).drop("_all")
 
 
-def joined_pairs(pairs: DataFrame, counts: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(src, row_id, k, keep): whether the hyphen of a line pair belongs to the word.
+def corrected(texts: DataFrame, wrong: DataFrame) -> DataFrame:
+    """texts (src, row_id, text) with the corrections (src, row_id, at, size, x) in their places; of two that overlap the first counts."""
+    per = wrong.groupBy("src", "row_id").agg(F.array_sort(F.collect_set(F.struct("at", "size", "x"))).alias("cs"))
+    apart = F.filter("cs", lambda c, i: (i == 0) | (c["at"] >= F.get(F.col("cs"), i - 1)["at"] + F.get(F.col("cs"), i - 1)["size"]))
+    x = texts.join(per.withColumn("cs", apart), ["src", "row_id"], "left")
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.col("cs")[i - 1]["at"] + F.col("cs")[i - 1]["size"])
+    pieces = F.transform("cs", lambda c, i: F.concat(F.substring(F.col("text"), begin(i) + 1, c["at"] - begin(i)), c["x"]))
+    last = F.col("cs")[F.size("cs") - 1]
+    whole = F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), last["at"] + last["size"] + 1, F.length("text")))
+    return x.select("src", "row_id", F.when(F.size("cs") > 0, whole).otherwise(F.col("text")).alias("text"))
 
-    A logistic classifier over corpus counts of the word written together, with the hyphen, and of its halves; it is
-    fitted on pairs of which only one writing occurs.
-    """
-    c = counts.select(F.col("word").alias("_w"), F.col("n").alias("_n"))
-    x = pairs.withColumn("id", F.xxhash64("src", "row_id", "k"))
-    for name, of in (("together", F.concat("left", "right")), ("hyphened", F.concat("left", F.lit("-"), "right")), ("l", F.col("left")), ("r", F.col("right"))):
-        w = F.regexp_replace(of, _EDGE, "")
-        x = x.withColumn("_key", w).join(c, F.col("_key") == F.col("_w"), "left").withColumn(f"n_{name}", F.log1p(F.coalesce("_n", F.lit(0)))).drop("_key", "_w", "_n")
-    x = checkpointed(x.withColumn("label", F.when((F.col("n_hyphened") > 0) & (F.col("n_together") == 0), 1).when((F.col("n_together") > 0) & (F.col("n_hyphened") == 0), 0)))
-    features = ["n_together", "n_hyphened", "n_l", "n_r"]
-    sure = x.where("label is not null").orderBy("id").limit(sample)
-    if sure.agg(F.countDistinct("label")).first()[0] < 2:
-        return x.select("src", "row_id", "k", (F.col("n_hyphened") > F.col("n_together")).alias("keep"))
-    assemble = VectorAssembler(inputCols=features, outputCol="_f")
-    model = LogisticRegression(featuresCol="_f", labelCol="label", maxIter=15).fit(assemble.transform(sure))
-    return model.transform(assemble.transform(x)).select("src", "row_id", "k", (F.col("prediction") == 1).alias("keep"))
-
-
-def repaired(pages: DataFrame, known: tuple[str, ...] = ("source_notes",)) -> DataFrame:
+
+def repaired(pages: DataFrame, known: tuple[str, ...] = ("source_notes",), sample: int = SAMPLE) -> DataFrame:
     """(src, row_id, text): continuous paragraphs, without furniture, broken words and misread characters.
 
-    One row for each (src, row_id) with a text; a text of furniture only becomes empty; repeated rows give one.
+    One row for each (src, row_id) with a text; a text of furniture only becomes empty; repeated rows give one. Blank
+    lines end paragraphs.
     """
-    pages = _filled(pages).dropDuplicates(["src", "row_id"])
-    lines = checkpointed(classified_lines(pages, known))
-    words = words_of(lines)
-    counts = checkpointed(word_counts(words))
-    wrong = corrections(counts)
-    mended = words.join(wrong, "word", "left").withColumn("raw", F.when(F.col("right").isNotNull(), F.replace("raw", "word", "right")).otherwise(F.col("raw")))
-    again = mended.groupBy("src", "row_id", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda w: w["raw"]), " ").alias("line"))
-    keep = joined_pairs(line_pairs(lines), counts)
-    whole = again.join(keep, ["src", "row_id", "k"], "left").groupBy("src", "row_id").agg(F.array_sort(F.collect_list(F.struct("k", "line", "keep"))).alias("ls"))
-    start = F.struct(F.lit("").alias("done"), F.lit(None).cast("boolean").alias("keep"))
-    fold_ = F.aggregate(
-        "ls",
-        start,
-        lambda a, x: F.struct(
-            F.when(a["done"] == "", x["line"])
-            .when(a["keep"].isNull(), F.concat_ws(" ", a["done"], x["line"]))
-            .when(a["keep"], F.concat(F.regexp_replace(a["done"], rf"[{HYPHENS}]\s*$", "-"), x["line"]))
-            .otherwise(F.concat(F.regexp_replace(a["done"], rf"[{HYPHENS}]\s*$", ""), x["line"]))
-            .alias("done"),
-            x["keep"].alias("keep"),
-        ),
-    )
-    text = whole.select("src", "row_id", fold_["done"].alias("text"))
-    return pages.where("text is not null").select("src", "row_id").join(text, ["src", "row_id"], "left").select("src", "row_id", F.coalesce("text", F.lit("")).alias("text"))
+    pages = pages.dropDuplicates(["src", "row_id"])
+    _, _, texts = _read(pages, known, sample)
+    return corrected(texts, corrections(texts, sample))

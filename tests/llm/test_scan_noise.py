@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from looseleaf.llm.scan_noise import classified_lines, corrections, noise_kinds, repaired, word_counts, words_of
+from looseleaf.llm.misread import corrections
+from looseleaf.llm.scan_noise import noise_kinds, repaired
 
 SCHEMA = "src string, row_id bigint, book string, first int, last int, titles array<string>, text string, k int"
 NOUNS = ["bark", "heartwood", "stomach", "element", "resin", "morning", "fever", "tongue", "warmth", "farmers"]
@@ -58,11 +59,43 @@ def test_kinds(books):
 
 
 def test_corrections_do_not_depend_on_the_size_of_the_corpus(books):
-    counts = word_counts(words_of(classified_lines(books[1], ("notes",))))
-    once, often = ({r["word"]: r["right"] for r in corrections(counts.withColumn("n", F.col("n") * times)).collect()} for times in (1, 100))
-    assert once["heartvvood"] == often["heartvvood"] == "heartwood"
-    assert once["fo1lows"] == often["fo1lows"] == "follows"
-    assert not {"morning", "element", "farmers", "warmth"} & {*once, *often}
+    by, df = books
+    texts = df.where("text is not null").select("src", "row_id", "text").distinct()
+    often = texts.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(5)))).select("src", (F.col("row_id") + 1000 * F.col("copy")).alias("row_id"), "text")
+    found = {(r["row_id"], r["at"], r["size"], r["x"]) for r in corrections(texts).collect()}
+    again = {(r["row_id"] % 1000, r["at"], r["size"], r["x"]) for r in corrections(often).collect()}
+    assert found == again
+    read = {by[i][6][a : a + n] + ">" + x for i, a, n, x in found}
+    assert {"1>l", "vv>w"} <= read
+
+
+def test_planted_originals_come_back(spark):
+    rnd, rows, whole = random.Random(5), [], {}
+    wrong = {"m": "rn", "w": "vv", "o": "0", "l": "1", "s": "5", "e": "�", "i": "!"}
+    for i in range(400):
+        text = sentence(rnd) + " " + sentence(rnd)
+        whole[i] = text
+        if i % 4 == 0:
+            spots = [k for k in range(6, len(text) - 6) if text[k] in wrong and text[k - 1].isalpha() and text[k + 1].isalpha() and text[k - 2].isalpha()]
+            for k in sorted(rnd.sample(spots, 3), reverse=True):
+                text = text[:k] + wrong[text[k]] + text[k + 1 :]
+        cut = text.index(" ", 60)
+        text = text[:cut] + "\n" + text[cut + 1 :]
+        if i % 5 == 0:
+            at = max(k for k in range(40) if text[k : k + 4].isalpha()) + 2
+            text = text[:at] + "-\n" + text[at:]
+        if i % 3 == 0:
+            text += f"\n- {i} -"
+        rows.append(("pages", i, "b", i, i, [None], text))
+    got = {r["row_id"]: r["text"] for r in repaired(spark.createDataFrame(rows, SCHEMA.rsplit(",", 1)[0])).collect()}
+    same = sum(got[i] == whole[i] for i in whole)
+    assert same >= 0.95 * len(whole), [(got[i], whole[i]) for i in whole if got[i] != whole[i]][:5]
+
+
+def test_paragraphs_stay(spark):
+    rows = [("pages", 1, "b", 3, 3, [None], "One line\nand its end.\n\nA second para-\ngraph."), ("pages", 2, "b", 4, 4, [None], "\n\n"), ("pages", 3, "b", 4, 4, [None], "a paragraph " * 20000)]
+    got = {r["row_id"]: r["text"] for r in repaired(spark.createDataFrame(rows, SCHEMA.rsplit(",", 1)[0])).collect()}
+    assert got[1] == "One line and its end.\n\nA second paragraph." and got[2] == "" and got[3] == ("a paragraph " * 20000).strip()
 
 
 def test_repair(books):
