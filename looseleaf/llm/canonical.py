@@ -5,11 +5,15 @@ inverted index of the character n-grams of the reference forms; a pair is scored
 by inverse document frequency; the best entry is accepted if its score reaches a threshold and leads the next entry by a
 margin.
 
+The index holds grams of two and three letters. Single letters, which nearly all pairs share, are part of the score but
+not of the index: they are added only for pairs that can still reach the threshold by them. Parts so short that letters
+alone could reach it (two letters, say) are looked up by letters as well, so no pair is lost.
+
 Two things typed around a term are undone before scoring: wrappings ("it is ...", "... (see photo)"), learned from the
 distinct values that hold a reference form whole, and doubled naming ("term = other name"), by scoring the parts.
 
-Scale: everything after the first step works on distinct values. The reference list is the small side of each join; no
-pair of values is ever formed.
+Scale: everything after the first step works on distinct values, in equi-joins; the optimizer broadcasts the side of the
+reference list while its size is small, and splits skewed grams otherwise. No pair of values is ever formed.
 """
 
 from __future__ import annotations
@@ -75,15 +79,15 @@ def _wrappings(values: DataFrame, forms: DataFrame, shown_by: int) -> DataFrame:
 
 
 def _parts(values: DataFrame, wraps: DataFrame) -> DataFrame:
-    """(axis, value, norm, part): the value without wrappings, and its parts where it names a thing twice."""
-    lists = wraps.groupBy("axis").agg(*(F.array_sort(F.collect_set(F.when(F.col("side") == s, F.col("wrap")))).alias(s) for s in ("left", "right")))
-    x = values.join(F.broadcast(lists), "axis", "left")
-    for side, test in (("left", "startswith"), ("right", "endswith")):
-        held = getattr(F.col("norm"), test)
-        longest = F.array_max(F.transform(F.filter(F.col(side), lambda w: held(w) & (F.length("norm") > F.length(w) + 1)), lambda w: F.length(w)))
-        k = F.coalesce(longest, F.lit(0))
-        cut = F.substring(F.col("norm"), k + 1, F.lit(10**6)) if side == "left" else F.substring(F.col("norm"), F.lit(1), F.length("norm") - k)
-        x = x.withColumn("bare", F.when(F.col("norm") == "", "").otherwise(cut)).withColumn("norm", F.regexp_replace("bare", r"^[\s.,;:!?/=]+|[\s.,;:!?/=]+$", ""))
+    """(axis, value, part): the value without wrappings, and its parts where it names a thing twice."""
+    x = values.select("axis", "value", "norm")
+    for side in ("left", "right"):
+        n = F.length("norm")
+        held = F.substring(F.col("norm"), F.lit(1), F.col("k")) if side == "left" else F.substring(F.col("norm"), n - F.col("k") + 1, F.col("k"))
+        ends = x.where(n > 2).select("axis", "value", "norm", F.explode(F.sequence(F.lit(1), n - 2)).alias("k")).select("axis", "value", "k", held.alias("wrap"))
+        longest = ends.join(wraps.where(F.col("side") == side).select("axis", "wrap"), ["axis", "wrap"]).groupBy("axis", "value").agg(F.max("k").alias("k"))
+        cut = F.substring(F.col("norm"), F.col("k") + 1, n) if side == "left" else F.substring(F.col("norm"), F.lit(1), n - F.col("k"))
+        x = x.join(longest, ["axis", "value"], "left").withColumn("norm", F.regexp_replace(F.when(F.col("k").isNull(), F.col("norm")).otherwise(cut), r"^[\s.,;:!?/=]+|[\s.,;:!?/=]+$", "")).drop("k")
     names = F.filter(F.transform(F.split("norm", r" ?[/=;()|] ?"), lambda p: F.trim(p)), lambda p: F.length(p) > 1)
     return x.select("axis", "value", F.explode(F.array_distinct(F.concat(F.array("norm"), names))).alias("part")).where("part <> ''")
 
@@ -91,6 +95,7 @@ def _parts(values: DataFrame, wraps: DataFrame) -> DataFrame:
 def match_values(values: DataFrame, terms: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN, sure: float = SURE, edits: float = EDITS, shown_by: int = SHOWN_BY) -> DataFrame:
     """(axis, value, term_id, score, lead) for each distinct (axis, value); term_id is 0 where no entry is accepted.
 
+    near, score and lead are null where no entry comes within margin of the threshold; lead is over such entries only.
     values: (axis, value), terms: (axis, term_id, term, term_en). Null and empty values give no rows; ties between
     entries are no match; an axis without entries matches nothing.
     """
@@ -109,11 +114,20 @@ def match_values(values: DataFrame, terms: DataFrame, threshold: float = THRESHO
     unseen = F.coalesce("idf", F.lit(8.0))
     weight = lambda g: g.join(idf, ["axis", "gram"], "left").withColumn("w", F.sqrt("tf") * unseen)
     pw, fw = weight(pg), weight(fg)
-    pn = pw.groupBy("pid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pn"))
-    fn = fw.groupBy("fid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("fn"))
-    index = fw.join(fn, "fid").select("axis", "gram", "fid", (F.col("w") / F.col("fn")).alias("fw"))
-    dots = pw.join(index, ["axis", "gram"]).groupBy("pid", "fid").agg(F.sum(F.col("w") * F.col("fw")).alias("dot"))
-    scored = dots.join(pn, "pid").select("pid", "fid", (F.col("dot") / F.col("pn")).alias("score"))
+    letter, energy = F.length("gram") == 1, F.col("w") * F.col("w")
+    norms = lambda g, of: g.groupBy(of).agg(F.sqrt(F.sum(energy)).alias("norm"), F.sqrt(F.coalesce(F.sum(F.when(letter, energy)), F.lit(0.0))).alias("letters"))
+    least = threshold - margin
+    pn = norms(pw, "pid").select("pid", F.col("norm").alias("pn"), (F.col("letters") / F.col("norm")).alias("pl"))
+    fn = norms(fw, "fid").select("fid", F.col("norm").alias("fn"), (F.col("letters") / F.col("norm")).alias("fl"))
+    px = pw.join(pn, "pid").select("axis", "pid", "gram", "pl", (F.col("w") / F.col("pn")).alias("pw"))
+    index = fw.join(fn, "fid").select("axis", "gram", "fid", "fl", (F.col("w") / F.col("fn")).alias("fw"))
+    # parts and forms alike mostly share longer grams; where letters alone can reach the threshold, letters are looked up, too
+    asked = px.where(~letter | (F.col("pl") >= least))
+    shared = asked.join(index, ["axis", "gram"]).groupBy("pid", "fid").agg(F.sum(F.when(letter, 0.0).otherwise(F.col("pw") * F.col("fw"))).alias("dot"), F.max("pl").alias("pl"), F.max("fl").alias("fl"))
+    hopeful = checkpointed(shared.where(F.col("dot") + F.col("pl") * F.col("fl") >= least - 1e-9).select("pid", "fid", "dot"))
+    singles = hopeful.select("pid", "fid").join(px.where(letter).select("pid", "gram", "pw"), "pid").join(index.where(letter).select("fid", "gram", "fw"), ["fid", "gram"])
+    more = singles.groupBy("pid", "fid").agg(F.sum(F.col("pw") * F.col("fw")).alias("more"))
+    scored = hopeful.join(more, ["pid", "fid"], "left").select("pid", "fid", (F.col("dot") + F.coalesce("more", F.lit(0.0))).alias("score")).where(F.col("score") >= least)
     # of each part and entry the best form, while it is numbers still
     ends = known.select("fid", "term_id", "form")
     top_forms = scored.join(ends.select("fid", "term_id"), "fid").groupBy("pid", "term_id").agg(F.max(F.struct("score", "fid")).alias("b"))
