@@ -1,11 +1,16 @@
 """Personal information in free text: anchors found by Aho-Corasick, grown by local parsers.
 
-One automaton finds at-signs, digits, titles, cue words and parts of addresses. Around each anchor a small deterministic
-parser grows the mention and validates it: addresses of mail need a domain, citizen numbers their check digit, phone
-numbers a dialling prefix, places a house number, names a title, a family name or two capitalised words beside a cue.
+One automaton finds at-signs, schemes, digits, titles, cue words and parts of addresses. Around each anchor a small
+deterministic parser grows the mention and validates it: addresses of mail need a domain, citizen numbers their check
+digit, phone numbers a dialling prefix (of other countries a plus sign and a fitting length), account numbers and cards
+their check sum, places a house number, names a title, a family name or two capitalised words beside a cue. Mentions have
+no greatest length: a parser walks from its anchor as far as the mention goes.
 
-Scale: a narrow projection. Texts without an anchor are answered in the JVM; the others pass through one Arrow batch
-function that returns spans, and the placeholders are put in by Spark expressions. Nothing is shuffled.
+Known limit: two capitalised words beside a cue pass for a name whatever they mean ("this is Holy Basil").
+
+Scale: a narrow projection. Texts without an anchor are answered in the JVM, by a pattern made from the same list of
+anchors; the others pass through one Arrow batch function that returns spans, and the placeholders are put in by Spark
+expressions. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -28,12 +33,20 @@ PLACES = ["ซอย", "หมู่", "ถนน", "ถ.", "ตำบล", "ต
 PASSPORTS = ["passport", "Passport", "พาสปอร์ต", "หนังสือเดินทาง"]
 LOTS = ("lot ", "ล็อต ", "lot no. ", "batch ")
 DIGITS = "0123456789๐๑๒๓๔๕๖๗๘๙"
-PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person_name": "[NAME]"}
+SCHEMES = ["mailto:", "tel:"]
+ACCOUNTS = ["iban", "account", "acct", "card", "บัญชี", "บัตร"]
+PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "account_number": "[ACCOUNT]", "address": "[ADDRESS]", "person_name": "[NAME]"}
 
 _ASCII = str.maketrans("๐๑๒๓๔๕๖๗๘๙", "0123456789")
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._+\-]*[A-Za-z0-9])?$")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| dot )[A-Za-z0-9-]+)+")
 _PHONE = re.compile(r"(?:(?:\(\+66\)|\+66)[ -]?[0-9]{1,2}[-. ]?[0-9]{3}[-. ]?[0-9]{4}|\(0[0-9]{1,2}\) ?[0-9]{3}[-. ]?[0-9]{4}|0[0-9]{2}[-. ]?[0-9]{3}[-. ]?[0-9]{4}|0[2-7][-. ]?[0-9]{3}[-. ]?[0-9]{4})(?![0-9])")
+_ABROAD = re.compile(r"(?:\+|00)[1-9][0-9]{0,2}(?:[-. ]?\(?[0-9]{1,4}\)?){2,6}(?![0-9])")
+_DIALLED = re.compile(r"\+?[0-9](?:[-. ()]?[0-9]){5,14}(?![0-9])")
+_SOCIAL = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_CARD = re.compile(r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")
+_ACCOUNT = re.compile(r"(?:\s*(?:no\.?|number|เลขที่|is|:))*\s*([0-9](?:[- ]?[0-9]){7,17})(?![0-9])", re.I)
 _CITIZEN = re.compile(r"(?:[0-9]{13}|[0-9]([- ])[0-9]{4}\1[0-9]{5}\1[0-9]{2}\1[0-9])(?![0-9])")
 _PASSPORT = re.compile(r"\s*(?:no\.?\s*|เลขที่\s*)?([A-Z]{1,2}[0-9]{6,8})(?![0-9])")
 _TH = "ก-ฺเ-๎"
@@ -49,23 +62,65 @@ _FAMILY = rf"[{_TH}]*(?:{'|'.join(FAMILY_ENDINGS)})(?![{_TH}])"
 _PERSON = re.compile(rf"{_TITLE_EN} ?{_NAME}(?: {_NAME})?|{_NAME} {_NAME}|{_TITLE_TH} ?[{_TH}]{{2,}} {_FAMILY}|{_TITLE_TH} ?[{_TH}]{{2,}}|[{_TH}]{{2,}} {_FAMILY}")
 _BEFORE = re.compile(rf"(?:{_TITLE_EN} ?{_NAME}(?: {_NAME})?|{_NAME} {_NAME}|{_TITLE_TH} ?[{_TH}]{{2,}} {_FAMILY}|(?<![{_TH}]){_TITLE_TH} ?[{_TH}]{{2,}}|(?<![{_TH}])[{_TH}]{{2,}} {_FAMILY})$")
 _TITLED = re.compile(rf"{_TITLE_EN} ?{_NAME}(?: {_NAME})?|{_TITLE_TH} ?[{_TH}]{{2,}} {_FAMILY}")
-#: How far back a parser looks for the start of a mention.
-_BACK = 80
+_LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._+-")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+#: Kind of each anchor; found whatever the case of its Latin letters, which the parsers look at.
+ANCHORS = {"at": AT_SIGNS, "scheme": SCHEMES, "account": ACCOUNTS, "before": NAME_BEFORE, "after": NAME_AFTER, "title": [*(t + " " for t in TITLES_EN), *TITLES_TH], "place": PLACES, "passport": PASSPORTS}
 
 
 @lru_cache(1)
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    kinds = [("at", AT_SIGNS), ("digit", [*DIGITS, "+66", "(+66", "(0"]), ("before", NAME_BEFORE), ("after", NAME_AFTER), ("title", [*(t + " " for t in TITLES_EN), *TITLES_TH]), ("place", PLACES), ("passport", PASSPORTS)]
-    for kind, words in kinds:
+    for kind, words in [("digit", [*DIGITS, "+", "(+66", "(0"]), *ANCHORS.items()]:
         for w in words:
-            a.add_word(w, (kind, len(w)))
+            a.add_word(w.translate(_LOWER), (kind, len(w)))
     a.make_automaton()
     return a
 
 
-#: What a text must hold to have an anchor that a parser can grow; for the JVM, so most texts never reach Python.
-ANCHORED = "|".join(["[0-9๐-๙]{4}", "[0-9๐-๙] ?[\\p{L}(]", *map(re.escape, [*AT_SIGNS, *NAME_BEFORE, *NAME_AFTER, *TITLES_EN, *TITLES_TH])])
+#: What a text must hold to have an anchor that a parser can grow, for the JVM: an anchor, or seven digits with what stands between digits.
+ANCHORED = "(?i)" + "|".join(["[0-9๐-๙](?:[-. ()]{0,2}[0-9๐-๙]){6}", "[a-z]{2}[0-9๐-๙]{2} ?[a-z0-9]{4}", *map(re.escape, dict.fromkeys(w.translate(_LOWER) for words in ANCHORS.values() for w in words))])
+
+
+def _before_house(plain: str, start: int) -> int:
+    """Where a house number, and capitalised words after it, begin before a street."""
+    i = start
+    while i > 0:
+        j = i
+        while j > 0 and plain[j - 1].isspace():
+            j -= 1
+        k = j
+        while k > 0 and plain[k - 1].isascii() and plain[k - 1].isalpha():
+            k -= 1
+        if k == j:
+            while k > 0 and (plain[k - 1].isdigit() or plain[k - 1] == "/"):
+                k -= 1
+            return max(0, k - 14)
+        if not re.fullmatch("[A-Z][a-z]+", plain[k:j]):
+            return j
+        i = k
+    return 0
+
+
+def _before_name(text: str, start: int) -> int:
+    """Where four words before a place begin."""
+    i = start
+    for _ in range(4):
+        while i > 0 and text[i - 1].isspace():
+            i -= 1
+        while i > 0 and not text[i - 1].isspace():
+            i -= 1
+    return i
+
+
+def _luhn(digits: str) -> bool:
+    return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def _iban(text: str) -> bool:
+    x = text.replace(" ", "")
+    return 15 <= len(x) <= 34 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
 
 
 def _check_digit(d: str) -> bool:
@@ -76,37 +131,57 @@ def mentions(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every mention, in order of start; mentions don't overlap."""
     plain = text.translate(_ASCII)
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in PLACEHOLDERS}
-    for last, (kind, size) in _automaton().iter(text):
+    for last, (kind, size) in _automaton().iter(text.translate(_LOWER)):
         start, end = last - size + 1, last + 1
         if kind == "at":
             loose = text[start] in "[("
-            left = text[max(0, start - _BACK) : start]
-            left = left.rstrip(" ") if loose else left
-            m = _LOCAL.search(left)
+            stop = start
+            while loose and stop > 0 and text[stop - 1] == " ":
+                stop -= 1
+            begin = stop
+            while begin > 0 and text[begin - 1] in _LOCAL_CHARS:
+                begin -= 1
+            m = _LOCAL.search(text[begin:stop])
             d = _DOMAIN.match(text, end + (loose and text[end : end + 1] == " "))
             if m and d and "." in d.group().replace(" dot ", "."):
-                begin = max(0, start - _BACK) + m.start()
-                found["email"].append((begin, d.end()))
+                found["email"].append((begin + m.start(), d.end()))
+        elif kind == "scheme":
+            if text[start:end].lower() == "tel:" and (m := _DIALLED.match(plain, end)):
+                found["phone"].append((end, m.end()))
+        elif kind == "account":
+            if (m := _ACCOUNT.match(plain, end)) and not _CITIZEN.match(plain, m.start(1)) and not _PHONE.match(plain, m.start(1)):
+                found["account_number"].append(m.span(1))
         elif kind == "digit":
             if start and (plain[start - 1].isdigit() or plain[start - 1] in "/"):
                 continue
+            joined = start and (plain[start - 1].isalpha() and plain[start - 1].isascii() or plain[start - 1] == "-")
+            lot = text[max(0, start - 8) : start].lower().endswith(LOTS)
             if m := _CITIZEN.match(plain, start):
-                if _check_digit(re.sub("[- ]", "", m.group())) and not text[max(0, start - 8) : start].lower().endswith(LOTS):
+                if _check_digit(re.sub("[- ]", "", m.group())) and not lot:
                     found["id_number"].append((start, m.end()))
-            if (m := _PHONE.match(plain, start)) and not (start and (plain[start - 1].isalpha() and plain[start - 1].isascii() or plain[start - 1] == "-")):
+            if not joined and (m := _PHONE.match(plain, start)):
+                found["phone"].append((start, m.end()))
+            elif not joined and not re.search("[0-9][ -]$", plain[max(0, start - 2) : start]) and (m := _ABROAD.match(plain, start)) and 8 <= len(re.sub("[^0-9]", "", m.group())) - 2 * m.group().startswith("00") <= 15 and not lot and (m.group()[0] == "+" or " " in m.group()):
                 found["phone"].append((start, m.end()))
+            if not joined and not lot and (m := _SOCIAL.match(plain, start)):
+                found["id_number"].append((start, m.end()))
+            if not joined and not lot and (m := _CARD.match(plain, start)) and 14 <= len(re.sub("[ -]", "", m.group())) <= 19 and _luhn(re.sub("[ -]", "", m.group())):
+                found["account_number"].append((start, m.end()))
+            if start > 1 and text[start - 2 : start].isupper() and not (start > 2 and text[start - 3].isalnum()) and (m := _IBAN.match(plain, start - 2)) and _iban(m.group()):
+                found["account_number"].append((start - 2, m.end()))
         elif kind == "passport":
             if m := _PASSPORT.match(plain, end):
                 found["id_number"].append(m.span(1))
         elif kind == "place":
-            back = max(0, start - _BACK)
+            back = _before_house(plain, start)
             if h := _HOUSE.search(plain[back:start]):
                 thai = text[start] > "~"
                 # a street named by words before its kind is matched again from the first of them
                 words = re.search(r"(?:[A-Z][a-z]+ )*(?:[A-Z][a-z]+)?$", plain[back:start])
                 at = start if thai else back + words.start()
                 m = (_PLACE_TH if thai else _PLACE_EN).match(plain, at)
-                if m and (m.end() > end + 1) and (not thai or " " in m.group() or h.group().startswith(("บ้านเลขที่", "เลขที่"))):
+                named = text[start:end].strip() in ("Street", "Road", "Lane", "Avenue") and words.group() != ""  # a whole address in itself
+                if m and (m.end() > end + 1 or named and m.end() == end) and (not thai or " " in m.group() or h.group().startswith(("บ้านเลขที่", "เลขที่"))):
                     found["address"].append((back + h.start(), m.end()))
         elif kind == "before":
             if start and text[start] == "-" and text[start - 1] not in " \n":
@@ -114,7 +189,7 @@ def mentions(text: str) -> list[tuple[str, int, int]]:
             if m := _PERSON.match(text, end):
                 found["person_name"].append(m.span())
         elif kind == "after":
-            back = max(0, start - _BACK)
+            back = _before_name(text, start)
             if m := _BEFORE.search(text[back:start]):
                 found["person_name"].append((back + m.start(), start))
         elif kind == "title" and not (start and (text[start - 1].isalpha() or "ัฺ" <= text[start - 1] <= "๎")):

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from looseleaf.llm.personal import mention_rows, mentions, redact
 
 CASES = [
@@ -19,6 +21,15 @@ CASES = [
     ("ฝากบอก นายศิริดา แสงสมมุติวงศ์ ด้วย สมุนไพรคุณภาพดี คุณแม่ก็เป็น หมอให้พัก", ["person_name"]),
     ("น.ส.นลิดา เป็นคนถาม", ["person_name"]),
     ("", []),
+    ("x" * 100 + "@mail.example", ["email"]),
+    ("write mailto:a.b@mail.example or tel:+14155550199 please", ["email", "phone"]),
+    ("+1 415 555 0199 or +44 20 7946 0958", ["phone", "phone"]),
+    ("SSN 123-45-6789 but lot 123-45-6789", ["id_number"]),
+    ("IBAN GB82 WEST 1234 5698 7654 32 and card 4539 1488 0343 6467, not 4539 1488 0343 6468", ["account_number", "account_number"]),
+    ("account no. 123-456-7890-1 is mine", ["account_number"]),
+    ("My name is John Smith", ["person_name"]),
+    ("at 12  Baker Street now", ["address"]),
+    ("at 12 " + "Very " * 40 + "Long Street now", ["address"]),
 ]
 
 
@@ -27,6 +38,14 @@ def test_cases():
         assert [k for k, _, _ in mentions(text)] == kinds, text
 
 
+def test_the_filter_lets_every_mention_pass(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "row_id bigint, value string").withColumn("src", F.lit("s"))
+    got = {}
+    for r in mention_rows(df).collect():
+        got[r["row_id"]] = got.get(r["row_id"], 0) + 1
+    assert got == {i: len(kinds) for i, (_, kinds) in enumerate(CASES) if kinds}
+
+
 def test_spans_do_not_overlap_and_lie_inside():
     for text, _ in CASES:
         end = 0
