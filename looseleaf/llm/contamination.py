@@ -8,21 +8,26 @@ backwards, all at once, in runs of LEAST; every place of every run is located, o
 positions, and the places are merged, by document and item, into stretches, whose cover of the item is measured letter by letter.
 
 Scale: the documents are read once and never shuffled; a shard holds SHARD_LETTERS letters (one document at least), so the
-memory of a task is bounded. The test items are the small side: they are broadcast in blocks of BLOCK_ITEMS.
+memory of a task is bounded. Test items are broadcast in blocks of BLOCK_LETTERS characters,
+whatever their number; where there are several blocks, the indexes of the shards are built once and kept as a table.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from looseleaf.session import checkpointed
 
 SHARD_LETTERS = 4_000_000
-BLOCK_ITEMS = 20_000
+BLOCK_LETTERS = 8_000_000
 #: One phrase boundary in so many places, on average.
 PHRASE = 4
 #: Bits of a phrase's symbol, and levels of the wavelet matrix; places kept of the suffix array.
@@ -37,6 +42,8 @@ HINT, LEAK = 0.15, 0.33
 #: matches at most, letters in all and part of them matched at least. Set phrases of one kind of text stay under these.
 WINDOW = 16
 GAP, SHIFT, SPAN, DENSE = 40, 12, 40, 0.75
+#: Letters under which every item with a common run of phrases is measured.
+SHORT = 120
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,6 +193,11 @@ class Items:
         # phrases of the same item before each phrase: how far a search may go to the left
         first = np.searchsorted(self.owner, self.owner, "left")
         self.reach = np.arange(len(self.symbols)) - first + 1
+        # phrases searched at once: all of a short item that end as they do in a document, LEAST of others
+        sure = (self.starts > 0) & (self.ends <= lengths[self.owner] - 3) if len(starts) else np.zeros(0, bool)
+        own = np.bincount(self.owner[sure], minlength=len(ids))
+        self.need = np.clip(own, 1, LEAST)[self.owner]
+        self.tiny = np.flatnonzero((own == 0) & (lengths > 0))
         self.windows = [_windows(x) for x in self.letters]
 
 
@@ -212,9 +224,13 @@ def places(index: FMIndex, items: Items, starts: np.ndarray, offsets: np.ndarray
     starts, offsets: letters at which the phrases of the index and the documents begin. Different runs of one length have
     rows of their own, so no more places are located than the index has.
     """
-    ends = np.flatnonzero(items.reach >= LEAST)
+    for least in range(1, LEAST + 1):
+        yield from _places(index, items, starts, offsets, np.flatnonzero((items.need == least) & (items.reach >= least)), least)
+
+
+def _places(index: FMIndex, items: Items, starts: np.ndarray, offsets: np.ndarray, ends: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), index.n + 1, np.int64)
-    for n in range(LEAST):
+    for n in range(least):
         lo, hi = index.step(items.symbols[ends - n], lo, hi)
         ok = hi > lo
         ends, lo, hi = ends[ok], lo[ok], hi[ok]
@@ -225,7 +241,7 @@ def places(index: FMIndex, items: Items, starts: np.ndarray, offsets: np.ndarray
     at = index.locate(_ranges(first, (hi - lo)[one]))
     run = np.repeat(np.arange(len(first)), (hi - lo)[one])
     doc = np.searchsorted(offsets, starts[at], "right") - 1
-    inside = starts[np.minimum(at + LEAST, len(starts)) - 1] < offsets[doc + 1]
+    inside = starts[np.minimum(at + least, len(starts)) - 1] < offsets[doc + 1]
     doc, run = np.divmod(np.unique(doc[inside] * len(first) + run[inside]), len(first))
     if not len(doc):
         return
@@ -274,45 +290,71 @@ def _stretches(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray], doc: np
     return out
 
 
+def whole(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
+    """Places in the document's letters where all letters of the item stand."""
+    text, asked = (x.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass") for x in (doc, item))
+    return [(m.start(), m.start() + len(item)) for m in re.finditer(f"(?={re.escape(asked)})", text)] if len(item) else []
+
+
 def cover(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
-    """Part of the item that the best one or two stretches in order cover, and their places in the document's letters."""
-    best, spans = 0, []
+    """Part of the item that the best one or two stretches in order cover, and the places of all stretches in the document's letters.
+
+    Of an item under SPAN letters the one stretch is the whole item, letter for letter.
+    """
+    if len(item) < SPAN:
+        spans = whole(item, doc)
+        return float(bool(spans)), spans
+    best = 0
     found = sorted(_stretches(item, windows, doc), key=lambda x: x[0] - x[1])
     if found:
-        best, spans = found[0][1] - found[0][0], [found[0][2:]]
+        best = found[0][1] - found[0][0]
     # the later of two by where it begins in the document; of those that end before, by where they end in the item, the longest and the one that begins first
     ended = sorted(found, key=lambda x: x[3])
     longest, earliest, k = np.zeros(len(item) + 1, np.int64), np.full(len(item) + 1, len(item) + 1), 0
-    which_longest, which_earliest = {}, {}
     for y in sorted(found, key=lambda x: x[2]):
         while k < len(ended) and ended[k][3] - WINDOW <= y[2]:
             x, k = ended[k], k + 1
-            if x[1] - x[0] > longest[x[1]]:
-                longest[x[1]], which_longest[x[1]] = x[1] - x[0], x
-            if x[0] < earliest[x[1]]:
-                earliest[x[1]], which_earliest[x[1]] = x[0], x
-        e = int(longest[: y[0] + 1].argmax())
-        if longest[e] and (both := int(longest[e]) + y[1] - y[0]) > best:
-            best, spans = both, [which_longest[e][2:], y[2:]]
-        e = y[0] + 1 + int(earliest[y[0] + 1 : y[1]].argmin())  # they overlap in the item
-        if earliest[e] <= y[0] and (both := y[1] - int(earliest[e])) > best:
-            best, spans = both, [which_earliest[e][2:], y[2:]]
-    return best / max(1, len(item)), spans
+            longest[x[1]] = max(longest[x[1]], x[1] - x[0])
+            earliest[x[1]] = min(earliest[x[1]], x[0])
+        before = int(longest[: y[0] + 1].max())
+        best = max(best, before + y[1] - y[0] if before else 0)
+        begin = int(earliest[y[0] + 1 : y[1]].min())  # they overlap in the item
+        best = max(best, y[1] - begin if begin <= y[0] else 0)
+    return best / max(1, len(item)), [x[2:] for x in found]
+
+
+class Shard:
+    """Documents that are searched together: where their letters and phrases begin, and the index of the phrases."""
+
+    def __init__(self, texts: list[str]):
+        letters = [letters_of(t)[0] for t in texts]
+        self.offsets = np.append(0, np.cumsum([len(x) for x in letters]))
+        every = np.concatenate([np.zeros(0, np.uint32), *letters])
+        symbols, self.starts = phrases(every, self.offsets[:-1])
+        self.index = FMIndex(symbols) if len(symbols) else None
+
+    def leaks(self, texts: list[str], items: Items) -> list[tuple[int, int, float, list[tuple[int, int]]]]:
+        """(document of the shard, item of the block, cover, spans of characters) of the leaks in a shard."""
+        return _shard_leaks(self, texts, items) if self.index and len(items.symbols) else []
 
 
 def shard_leaks(texts: list[str], items: Items) -> list[tuple[int, int, float, list[tuple[int, int]]]]:
-    """(document of the shard, item of the block, cover, spans of characters) of the leaks in a shard."""
-    docs = [letters_of(t) for t in texts]
-    offsets = np.append(0, np.cumsum([len(x) for x, _ in docs]))
-    if not offsets[-1] or not len(items.symbols):
-        return []
-    letters = np.concatenate([x for x, _ in docs])
-    symbols, starts = phrases(letters, offsets[:-1])
-    out = []
-    for last, doc in places(FMIndex(symbols), items, starts, offsets):
+    return Shard(texts).leaks(texts, items)
+
+
+def _shard_leaks(shard: Shard, texts: list[str], items: Items) -> list[tuple[int, int, float, list[tuple[int, int]]]]:
+    out, held = [], lru_cache(64)(lambda d: letters_of(texts[d]))
+    if len(items.tiny):  # no phrase to search for
+        for d, text in enumerate(texts):
+            letters, at = letters_of(text)
+            for i in items.tiny:
+                if spans := whole(items.letters[i], letters):
+                    out.append((d, int(i), 1.0, [(int(at[a]), int(at[b - 1]) + 1) for a, b in spans]))
+    seen = {(d, i) for d, i, *_ in out}
+    for last, doc in places(shard.index, items, shard.starts, shard.offsets):
         pair = doc * len(items.ids) + items.owner[last]
         # the item's letters that the places of a pair cover together
-        begin, end = items.starts[last - LEAST + 1], items.ends[last]
+        begin, end = items.starts[last - items.need[last] + 1], items.ends[last]
         by = np.lexsort((begin, pair))
         pair, begin, end = pair[by], begin[by], end[by]
         fresh = np.append(True, np.diff(pair) > 0)
@@ -321,51 +363,91 @@ def shard_leaks(texts: list[str], items: Items) -> list[tuple[int, int, float, l
         gain = np.maximum(0, end - np.maximum(begin, reached))
         heads = np.flatnonzero(fresh)
         total = np.add.reduceat(gain, heads)
-        hopeful = pair[heads][total >= HINT * items.lengths[pair[heads] % len(items.ids)]]
+        long = items.lengths[pair[heads] % len(items.ids)]
+        hopeful = pair[heads][(total >= HINT * long) | (long < SHORT)]
         for p in hopeful:
             d, i = divmod(int(p), len(items.ids))
-            part, spans = cover(items.letters[i], items.windows[i], docs[d][0])
+            if (d, i) in seen:
+                continue
+            seen.add((d, i))
+            part, spans = cover(items.letters[i], items.windows[i], held(d)[0])
             if part >= LEAK:
-                places_of = docs[d][1]
+                places_of = held(d)[1]
                 out.append((d, i, part, [(int(places_of[a]), int(places_of[b - 1]) + 1) for a, b in spans]))
     return out
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_letters: int = SHARD_LETTERS, block: int = BLOCK_ITEMS) -> DataFrame:
+def item_blocks(items: DataFrame, letters: int) -> DataFrame:
+    """(block, item_id, text) of items with a text: blocks of about so many characters, one item at least."""
+    x = items.where("text is not null").select("item_id", "text").withColumn("_h", F.pmod(F.xxhash64("item_id", "text"), F.lit(1024)).cast("int"))
+    sums = x.groupBy("_h").agg(F.sum(F.length("text")).alias("_n"))
+    before = sums.select("_h", F.coalesce(F.sum("_n").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # 1024 rows at most
+    within = F.sum(F.length("text")).over(Window.partitionBy("_h").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("_in", within).join(before, "_h").select(F.floor((F.col("_before") + F.col("_in") - 1) / letters).alias("block"), "item_id", "text")
+
+
+def shard_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_letters: int = SHARD_LETTERS) -> DataFrame:
+    """(ids, texts, index) of shards: documents of a partition, and the FM-index of their phrases as bytes.
+
+    Kept as a table, an index serves every later set of items. Null texts are left out.
+    """
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, texts in _shards(batches, shard_letters):
+            yield pd.DataFrame({"ids": [ids], "texts": [texts], "index": [pickle.dumps(Shard(texts), protocol=5)]})
+
+    kind = dict(documents.dtypes)[doc_id]
+    return documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(build, f"ids array<{kind}>, texts array<string>, index binary")
+
+
+def _shards(batches: Iterator[pd.DataFrame], letters: int) -> Iterator[tuple[list, list[str]]]:
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for i, t in zip(batch["doc"], batch["text"]):
+            ids.append(i)
+            texts.append(t)
+            size += len(t)
+            if size >= letters:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_letters: int = SHARD_LETTERS, block_letters: int = BLOCK_LETTERS) -> DataFrame:
     """(doc_id, item_id, cover, spans): documents that hold test items, the part of the item held, and the spans to remove.
 
-    items: (item_id, text). spans are merged pairs of character places (from, to) in the document. Null and empty texts hold
-    nothing; repeated rows give repeated rows; an item without letters is in no document; an empty side gives no rows.
+    items: (item_id, text). spans are the merged character places (from, to) in the document of every stretch that it
+    shares with the item. An item under SPAN letters is held where all its letters stand in order. Null and empty texts
+    hold nothing; repeated rows give repeated rows; an item without letters is in no document; an empty side gives no rows.
     """
     spark = documents.sparkSession
-    rows = [(r[0], r[1]) for r in items.where("text is not null").select("item_id", "text").orderBy("item_id").collect()]
-    blocks = [Items([i for i, _ in rows[k : k + block]], [t for _, t in rows[k : k + block]]) for k in range(0, len(rows), block)] or [Items([], [])]
-    sent = [spark.sparkContext.broadcast(b) for b in blocks]
+    blocks = item_blocks(items, block_letters)
+    numbers = [r[0] for r in blocks.select("block").distinct().orderBy("block").collect()]  # one for each BLOCK_LETTERS of items
     columns = ["doc", "item_id", "cover", "spans"]
-
-    def leaks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(ids: list, texts: list[str]) -> list[pd.DataFrame]:
-            found = []
-            for b in sent:
-                for d, i, part, spans in shard_leaks(texts, b.value):
-                    found.append((ids[d], b.value.ids[i], part, _merged(spans)))
-            return [pd.DataFrame(found, columns=columns)] if found else []
-
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for i, t in zip(batch["doc"], batch["text"]):
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-                if size >= shard_letters:
-                    yield from flush(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield from flush(ids, texts)
-
     kind = dict(documents.dtypes)[doc_id]
-    asked = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    return asked.mapInPandas(leaks, f"doc {kind}, item_id {dict(items.dtypes)['item_id']}, cover double, spans array<struct<from: int, to: int>>").withColumnRenamed("doc", doc_id)
+    schema = f"doc {kind}, item_id {dict(items.dtypes)['item_id']}, cover double, spans array<struct<from: int, to: int>>"
+    one = len(numbers) < 2
+    shards = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text")) if one else checkpointed(shard_index(documents, doc_id, text, shard_letters))
+    out = None
+    for number in numbers:
+        # a block has a bounded size: it is the one thing that passes through the driver
+        rows = blocks.where(F.col("block") == number).select("item_id", "text").toPandas().sort_values("item_id")
+        sent = spark.sparkContext.broadcast(Items(rows["item_id"].tolist(), rows["text"].tolist()))
+
+        def leaks(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            if one:
+                every = ((ids, texts, Shard(texts)) for ids, texts in _shards(batches, shard_letters))
+            else:
+                every = ((r.ids, list(r.texts), pickle.loads(r.index)) for b in batches for r in b.itertuples())
+            for ids, texts, shard in every:
+                found = [(ids[d], sent.value.ids[i], part, _merged(spans)) for d, i, part, spans in shard.leaks(texts, sent.value)]
+                if found:
+                    yield pd.DataFrame(found, columns=columns)
+
+        part = shards.mapInPandas(leaks, schema)
+        out = part if out is None else out.unionByName(part)
+    return (spark.createDataFrame([], schema) if out is None else out).withColumnRenamed("doc", doc_id)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[dict]:
