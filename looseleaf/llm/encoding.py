@@ -6,9 +6,10 @@ a one-byte encoding, once or twice, or Thai one-byte text read as a western one
 words of a text finds the channel of each word that makes the text most likely under the pair frequencies of characters
 and the frequencies of words in the whole corpus; wildcards are filled by a second search within the word.
 
-Scale: the frequencies are counted in one pass, within tasks first, and what leaves a task is bounded by the pairs of
-characters and the words with foreign letters that it saw. Texts without any sign of damage are passed over by a test of
-character classes over whole Arrow batches. Nothing else is shuffled.
+Scale: texts without any sign of damage are passed over by a test of character classes over whole Arrow batches. The others
+are written down once with the pairs and words that their readings ask for; only these are looked up in the frequencies,
+which are counted in one pass, within tasks first. A damaged word finds the words it can stand for by an equi-join on its
+letters within ASCII. Nothing is collected or broadcast but the pairs of Thai letters, a table of fixed size.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -29,9 +31,10 @@ from looseleaf.session import checkpointed
 WESTERN = ("cp1252", "mac_roman", "cp874")
 #: Cost, in log likelihood, of reading a word through a channel, of changing the channel between words, of a pair or word never seen.
 CHANNEL, SWITCH, UNSEEN = 5.0, 2.0, 14.0
-#: Words with foreign letters count from so many occurrences; so many of the most frequent are sent to the tasks at most, others
-#: are scored by their pairs of characters alone.
-SEEN, WORDS = 3, 500_000
+#: Words with foreign letters count from so many occurrences.
+SEEN = 3
+#: Words that a task counts before it hands them on.
+AT_ONCE = 200_000
 LOST = "�"
 
 
@@ -156,35 +159,39 @@ def thai_bytes(word: str) -> list[int] | None:
 _ASKED = re.compile(r"[^\W\d_]\?[^\W\d_]")
 
 
+#: Bytes that were all lost.
+_GONE = re.compile(r"\?{3,}")
+
+
 _THAI_WORD = re.compile("[ก-๛]+")
 
 
+THAI_LETTERS = [0x20, *range(0x0E01, 0x0E5C)]
+
+
 class Model:
-    """Corpus frequencies: pairs of characters and words with foreign letters."""
-
-    def __init__(self, pairs: dict[tuple[int, int], int], words: dict[str, int]):
-        total: Counter = Counter()
-        for (a, _), n in pairs.items():
-            total[a] += n
-        self.logs = {k: math.log(n / (total[k[0]] + 50)) for k, n in pairs.items()}
-        self.words = words
-        self.all = sum(words.values()) + 1
-        by: dict[int, list[tuple[str, int]]] = {}
-        for w, n in words.items():
-            by.setdefault(len(w), []).append((w, n))
-        self.by_length = by
-        letters = [0x20] + [c for c in range(0x0E01, 0x0E5C)]
-        self.thai = letters
-        self.step = np.array([[self.logs.get((a, b), -UNSEEN) for b in letters] for a in letters])
+    """Corpus frequencies: pairs of Thai letters, and the other pairs and the words that one text asks for.
+
+    A model without frequencies (asking) notes what it is asked for.
+    """
+
+    def __init__(self, pairs: dict[tuple[int, int], int], totals: dict[int, int], words: dict[str, int] | None = None, all_words: int = 0, fills: dict[str, str] | None = None, step: np.ndarray | None = None, asking: set | None = None):
+        self.logs = {k: math.log(n / (totals.get(k[0], n) + 50)) for k, n in pairs.items()}
+        self.words, self.all, self.fills, self.asking = words or {}, all_words + 1, fills or {}, asking
+        self.thai = THAI_LETTERS
+        self.step = thai_steps(pairs, totals) if step is None else step
 
     def score(self, word: str) -> float:
         """Log likelihood of a word between blanks, of its pairs that hold a character beyond ASCII."""
         core = word.strip(".,;:!?()[]\"'“”*_#")
+        codes = [0x20, *map(ord, word), 0x20]
+        if self.asking is not None:
+            self.asking.add(("word", core))
+            self.asking.update(("pair", str((a << 21) + b)) for a, b in zip(codes, codes[1:]) if a > 127 or b > 127)
         if core in self.words:
             return max(math.log(self.words[core] / self.all), -UNSEEN) - 1
-        codes = [0x20, *map(ord, word), 0x20]
         known = sum(max(self.logs.get((a, b), -UNSEEN), -UNSEEN) for a, b in zip(codes, codes[1:]) if a > 127 or b > 127)
-        return known - (UNSEEN if _ASKED.search(word) else 0)
+        return known - (UNSEEN if _ASKED.search(word) else 0) - 3 * sum(map(len, _GONE.findall(word)))
 
     def fill_word(self, word: str) -> str | None:
         """The most frequent corpus word that a word with wildcards can stand for."""
@@ -192,9 +199,9 @@ class Model:
         if not m:
             return None
         core = m.group()
-        fits = re.compile("".join("[^\x00-\x7f]" if c in LOST + "?" else re.escape(c) for c in core))
-        found = [(n, w) for w, n in self.by_length.get(len(core), []) if fits.fullmatch(w)]
-        return word[: m.start()] + max(found)[1] + word[m.end() :] if found else None
+        if self.asking is not None:
+            self.asking.add(("fill", core))
+        return word[: m.start()] + self.fills[core] + word[m.end() :] if core in self.fills else None
 
     def fill_thai(self, raw: list[int]) -> tuple[str, float]:
         """The most likely Thai text of bytes with wildcards, by Viterbi search over letters."""
@@ -220,6 +227,22 @@ class Model:
         return "".join(reversed(out)), score
 
 
+def thai_steps(pairs: dict[tuple[int, int], int], totals: dict[int, int]) -> np.ndarray:
+    """Log likelihood of each Thai letter after each, a table of fixed size."""
+    logs = {k: math.log(n / (totals.get(k[0], n) + 50)) for k, n in pairs.items()}
+    return np.array([[logs.get((a, b), -UNSEEN) for b in THAI_LETTERS] for a in THAI_LETTERS])
+
+
+def skeleton(word: str) -> str:
+    """A word with everything beyond ASCII, and question marks, as `*`: the same for a word and what is left of it."""
+    return re.sub(r"[^\x00-\x7f]|\?", "*", word)
+
+
+def pattern(core: str) -> str:
+    """A regular expression of the words that can have been read as core, in which lost characters stand for one each."""
+    return "^" + "".join("[^\\x00-\\x7F]" if c in LOST + "?" else c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in core) + "$"
+
+
 def _readings(word: str, model: Model) -> dict[str, tuple[str, float]]:
     """Channel to (text, log likelihood) of a word."""
     out = {"as is": (word, 0.0)}
@@ -245,6 +268,8 @@ def _readings(word: str, model: Model) -> dict[str, tuple[str, float]]:
         ascii_free = all(b == -1 or b >= 0xA1 for b in raw)
         if ascii_free:
             out["lost bytes"] = (text, score - CHANNEL)
+    if LOST in word or _GONE.search(word):  # a lattice of wildcards only: garbled, and nothing to restore
+        out["gone"] = (word, -CHANNEL - 1.2 * UNSEEN * word.count(LOST))
     if len(out) > 1:  # else its likelihood is the same on every path
         out["as is"] = (word, model.score(word))
     return out
@@ -275,8 +300,9 @@ def decode(text: str, model: Model) -> tuple[bool, str]:
         out.append(read)
         channels.append(channel)
     parts[::2] = reversed(out)
-    lost = LOST in text or len([w for w in words if re.fullmatch(r"[?.,]*\?{3,}[?.,]*", w)]) >= 2 or "????????" in text
-    return lost or any(c != "as is" for c in channels), "".join(parts)
+    # question marks can be meant: bytes are gone where there are many of them, or a character that stands for them
+    many = LOST in text or len([w for w in words if re.fullmatch(r"[?.,]*\?{3,}[?.,]*", w)]) >= 2 or "????????" in text
+    return any(c != "as is" and (c != "gone" or many) for c in channels), "".join(parts)
 
 
 _WORD = re.compile(r"[^\W\d_]*[^\W\d_\x00-\x7fก-๛][^\W\d_]*(?:[’'][A-Za-z]+)?|[A-Za-z]+’[A-Za-z]+|°C|½", re.U)
@@ -284,6 +310,16 @@ _WORD = re.compile(r"[^\W\d_]*[^\W\d_\x00-\x7fก-๛][^\W\d_]*(?:[’'][A-Za-z]
 
 def _count(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
     thai, pairs, words = np.zeros(128 * 128, np.int64), Counter(), Counter()
+
+    def counted() -> pd.DataFrame:
+        k = np.flatnonzero(thai)
+        pairs.update({((int(x) >> 7) + 0x0E00 << 21) + (int(x) & 127) + 0x0E00: int(thai[x]) for x in k})
+        rows = [("pair", str(key), n) for key, n in pairs.items()] + [("word", w, n) for w, n in words.items()]
+        thai[:] = 0
+        pairs.clear()
+        words.clear()
+        return pd.DataFrame(rows, columns=["kind", "key", "n"])
+
     for batch in batches:
         texts = [t for t in batch[text] if t]
         if not texts:
@@ -303,22 +339,29 @@ def _count(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]
         pairs.update(dict(zip(keys.tolist(), counts.tolist())))
         for k in np.flatnonzero(sound & foreign):
             words.update(_WORD.findall(texts[k]))
-    k = np.flatnonzero(thai)
-    pairs.update({((int(x) >> 7) + 0x0E00 << 21) + (int(x) & 127) + 0x0E00: int(thai[x]) for x in k})
-    if pairs or words:
-        yield pd.DataFrame([("pair", "", key, n) for key, n in pairs.items()] + [("word", w, 0, n) for w, n in words.items()], columns=["kind", "word", "pair", "n"])
+        if len(pairs) + len(words) > AT_ONCE:
+            yield counted()
+    yield counted()
 
 
-def corpus_model(documents: DataFrame, text: str = "text", seen: int = SEEN) -> Model:
-    """Frequencies over all documents that show no sign of damage, so that garbled text can't vouch for itself.
+def frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, key, n): pairs of characters and words with foreign letters, over all documents that show no sign of damage.
 
-    What reaches the driver are pairs of characters, bounded by the alphabets, and WORDS words with foreign letters at most.
+    Garbled text can't vouch for itself. A pair is a number, the code point of the first 21 bits higher than the second.
     """
-    counts = documents.select(text).mapInPandas(lambda b: _count(b, text), "kind string, word string, pair bigint, n bigint")
-    sums = checkpointed(counts.groupBy("kind", "word", "pair").agg(F.sum("n").alias("n")))
-    p = sums.where("kind = 'pair' and n > 1").select("pair", "n").toPandas()
-    w = sums.where((F.col("kind") == "word") & (F.col("n") >= seen)).orderBy(F.desc("n"), "word").limit(WORDS).select("word", "n").toPandas()
-    return Model({(int(k) >> 21, int(k) & 0x1FFFFF): int(n) for k, n in zip(p["pair"], p["n"])}, dict(zip(w["word"], w["n"].astype(int))))
+    return documents.select(text).mapInPandas(lambda b: _count(b, text), "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def _wanted(texts: list[str]) -> list[list[dict]]:
+    """What the decoding of each text asks of the frequencies."""
+    out = []
+    for t in texts:
+        asking: set = set()
+        model = Model({}, {}, {}, 0, {}, np.zeros((len(THAI_LETTERS), len(THAI_LETTERS))), asking)
+        for word in set(re.split(r"[ \t\r\n]+", t)):
+            _readings(word, model)
+        out.append([{"kind": k, "key": v, "skeleton": skeleton(v) if k == "fill" else None, "pattern": pattern(v) if k == "fill" else None} for k, v in asking])
+    return out
 
 
 def damaged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", seen: int = SEEN) -> DataFrame:
@@ -327,16 +370,58 @@ def damaged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", se
     restored is the text with every stretch restored for which a reading is likely; where all bytes are lost it stays as
     it is. Null and empty texts are sound; repeated rows give repeated rows; an empty table gives no rows.
     """
-    model = documents.sparkSession.sparkContext.broadcast(corpus_model(documents, text, seen))
-
-    def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark, kind = documents.sparkSession, dict(documents.dtypes)[doc_id]
+    sums = checkpointed(frequencies(documents, text))
+    letters = F.col("key").cast("bigint")
+    first, second = F.shiftright(letters, 21), letters.bitwiseAND(F.lit(0x1FFFFF))
+    pairs = sums.where("kind = 'pair' and n > 1").select(letters.alias("pair"), first.alias("a"), second.alias("b"), "n")
+    totals = pairs.groupBy("a").agg(F.sum("n").alias("total"))
+    thai = lambda c: (c == 0x20) | c.between(0x0E01, 0x0E5B)
+    # a row for each two Thai letters at most, a fixed number
+    t = pairs.where(thai(F.col("a")) & thai(F.col("b"))).join(totals, "a").toPandas()
+    step = thai_steps({(int(a), int(b)): int(n) for a, b, n in zip(t["a"], t["b"], t["n"])}, {int(a): int(n) for a, n in zip(t["a"], t["total"])})
+    words = sums.where((F.col("kind") == "word") & (F.col("n") >= seen)).select(F.col("key").alias("word"), "n")
+    all_words = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             _, f, starts = _codes(list(batch["text"]))
             odd = batch[suspicious(f, starts)]
-            read = [(d, *decode(t, model.value)) for d, t in zip(odd["doc"], odd["text"])]
-            if found := [(d, r) for d, garbled, r in read if garbled]:
-                yield pd.DataFrame(found, columns=["doc", "restored"])
+            if len(odd):
+                yield pd.DataFrame({"doc": odd["doc"], "text": odd["text"], "row": [str(uuid4()) for _ in range(len(odd))], "asked": _wanted(list(odd["text"]))})
 
     asked = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.length(text) > 0)
-    return asked.mapInPandas(restore, f"doc {dict(documents.dtypes)[doc_id]}, restored string").withColumnRenamed("doc", doc_id)
+    suspects = checkpointed(asked.mapInPandas(ask, f"doc {kind}, text string, row string, asked array<struct<kind: string, key: string, skeleton: string, pattern: string>>"))
+    wants = suspects.select("row", F.explode("asked").alias("w")).select("row", "w.*")
+    pair_of = pairs.join(totals, "a").select(F.col("pair").cast("string").alias("key"), F.struct(F.lit("pair").alias("kind"), F.col("pair").cast("string").alias("key"), "n", "total", F.lit("").alias("word")).alias("v"))
+    word_of = words.select(F.col("word").alias("key"), F.struct(F.lit("word").alias("kind"), F.col("word").alias("key"), "n", F.lit(0).cast("bigint").alias("total"), F.lit("").alias("word")).alias("v"))
+    fills = wants.where("kind = 'fill'").select("key", "skeleton", "pattern").distinct()
+    bare = F.regexp_replace("word", r"[^\x00-\x7f]|\?", "*")
+    # both sides of a fill are alike within ASCII; of the words that fit the most frequent counts
+    met = fills.join(words.withColumn("skeleton", bare), "skeleton").where(F.regexp_like("word", F.col("pattern")))
+    fill_of = met.groupBy("key").agg(F.max(F.struct("n", "word")).alias("b")).select("key", F.struct(F.lit("fill").alias("kind"), F.col("key"), F.col("b.n").alias("n"), F.lit(0).cast("bigint").alias("total"), F.col("b.word").alias("word")).alias("v"))
+    got = None
+    for k, side in (("pair", pair_of), ("word", word_of), ("fill", fill_of)):
+        one = wants.where(F.col("kind") == k).select("row", "key").join(side, "key").select("row", "v")
+        got = one if got is None else got.unionByName(one)
+    # a filled word is scored like any other
+    filled = wants.where("kind = 'fill'").select("row", "key").join(fill_of, "key").select("row", F.col("v.word").alias("key")).join(word_of, "key").select("row", "v")
+    known = got.unionByName(filled).groupBy("row").agg(F.collect_list("v").alias("known"))
 
+    def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for d, t, rows in zip(batch["doc"], batch["text"], batch["known"]):
+                by: dict[str, list] = {"pair": [], "word": [], "fill": []}
+                for r in rows if rows is not None else []:
+                    by[r["kind"]].append(r)
+                pair = {divmod(int(r["key"]), 1 << 21): int(r["n"]) for r in by["pair"]}
+                total = {int(r["key"]) >> 21: int(r["total"]) for r in by["pair"]}
+                model = Model(pair, total, {r["key"]: int(r["n"]) for r in by["word"]}, all_words, {r["key"]: r["word"] for r in by["fill"]}, step)
+                garbled, restored = decode(t, model)
+                if garbled:
+                    found.append((d, restored))
+            yield pd.DataFrame(found, columns=["doc", "restored"])
+
+    joined = suspects.select("doc", "text", "row").join(known, "row", "left").select("doc", "text", "known")
+    return joined.mapInPandas(restore, f"doc {kind}, restored string").withColumnRenamed("doc", doc_id)
