@@ -92,6 +92,30 @@ def test_profile_goes_on_from_a_base(spark):
     assert sorted(map(tuple, got.collect())) == model(ops)
 
 
+def test_profile_is_the_same_for_any_split_and_order(spark):
+    ops = sorted(set(random_ops(4, 100)), key=repr)
+    make = lambda x: spark.createDataFrame([(*o, 0) for o in x], OPS)
+    want = model(ops)
+    for seed in range(3):
+        rnd, state = random.Random(seed), None
+        rnd.shuffle(ops)
+        cuts = sorted(rnd.sample(range(len(ops)), 2))
+        for a, b in zip([0, *cuts], [*cuts, len(ops)]):
+            again = rnd.sample(ops[:a], min(a, 5))  # deliveries repeat across parts
+            state = spark.createDataFrame(cf.profile_state(make(ops[a:b] + again), state).collect(), cf.profile_state(make([])).schema)
+        assert sorted(map(tuple, state.where("live").select("user_id", "field", "item_id", "value_no").collect())) == want
+
+
+def test_late_changes_meet_a_base(spark):
+    make = lambda *x: spark.createDataFrame([(*o, 0) for o in x], OPS)
+    base = cf.profile_state(make(("u", 1, "add", "allergies", "", "nuts"), ("u", 5, "update", "allergies", "a1", "all nuts")))
+    gone = cf.profile_state(make(("u", 3, "remove", "allergies", "a1", "")), base)
+    assert not gone.where("field = 'allergies'").first()["live"]
+    base = cf.profile_state(make(("u", 5, "add", "allergies", "", "late one")))
+    ids = cf.profile_state(make(("u", 2, "add", "allergies", "", "first")), base).where("field = 'allergies'").collect()
+    assert {(r["item_id"], r["text"]) for r in ids} == {("a1", "first"), ("a2", "late one")}
+
+
 def test_dates_and_empty(spark):
     rows = [("u", i, "set_birth_date", None, None, t, 0) for i, t in enumerate(["1990-02-28", "1990-02-30", "19900228", "12/5/1988", "", None, "0000-01-01"], 1)]
     got = cf.profile_rows(spark.createDataFrame(rows, OPS)).collect()
