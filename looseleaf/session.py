@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -25,10 +28,17 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) ->
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a reliable checkpoint.
 
-    The folder is the one named by spark.checkpoint.dir, which all executors share. Only where that setting is
-    absent (tests on one machine) is a temporary folder made.
+    The folder is the one named by spark.checkpoint.dir, which all executors share; Spark removes what was written when
+    the frame is no longer used (see SETTINGS). Where the setting is absent a temporary folder is made for the life of
+    the process, on a local master only; on a cluster it is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
