@@ -17,7 +17,7 @@ INVALID_IN_NAMES = '/\\:*?"<>|'
 
 
 def repair(text: Column) -> Column:
-    """The glyph after a doubled mark is dropped, then doubled marks are single; all else, and clean text, stays."""
+    """Both patterns are fixed by what the extraction leaves behind. The glyph after a doubled mark is dropped, then doubled marks are single; all else, and clean text, stays."""
     return F.regexp_replace(F.regexp_replace(text, f"([{DOUBLED}])\\1(\\s*)[{STACK_GLYPHS}]", "$1$1$2"), f"([{DOUBLED}])\\1", "$1")
 
 
@@ -92,6 +92,6 @@ def collapse_blank_lines(text: Column) -> Column:
 
 
 def page_pair(text: Column) -> Column:
-    """`[a, b]` as a struct of two numbers; null for anything else."""
+    """`[a, b]`, the fixed form of page ranges in notes, as a struct of two numbers; null for anything else."""
     first, last = (F.regexp_extract(text, r"^\[\s*(\d+)\s*,\s*(\d+)\s*\]$", i).try_cast("int") for i in (1, 2))
     return F.when(first.isNotNull() & last.isNotNull(), F.struct(first.alias("first"), last.alias("last")))

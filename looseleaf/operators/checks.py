@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from looseleaf.functions import text as t
+from looseleaf.operators.blocks import ranged, with_running_sum
 
 
 def outside_domain(df: DataFrame, key: str, column: str, allowed: list[str]) -> DataFrame:
@@ -43,10 +44,20 @@ def within_intervals(points: DataFrame, intervals: DataFrame, key: str, at: str,
     return p.join(i, [key, "_day"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).select(key, *keep_points, *keep_intervals)
 
 
-def zipped(a: DataFrame, b: DataFrame, group: str, order_a: list[str], order_b: list[str], keep_a: list[str], keep_b: list[str]) -> DataFrame:
-    """Rows of two sides side by side by their number within the group; the longer side meets nulls."""
-    x = a.select(group, *keep_a, F.row_number().over(Window.partitionBy(group).orderBy(*order_a)).alias("nth"))
-    y = b.select(group, *keep_b, F.row_number().over(Window.partitionBy(group).orderBy(*order_b)).alias("nth"))
+def zipped(a: DataFrame, b: DataFrame, group: str, order_a: list[str], order_b: list[str], keep_a: list[str], keep_b: list[str], strict: bool = False) -> DataFrame:
+    """Rows of two sides side by side by their number within the group; the longer side meets nulls, or fails if strict."""
+
+    def numbered(df: DataFrame, order: list[str], keep: list[str]) -> DataFrame:  # a group of any size in blocks of its order
+        own = df.where(F.col(group).isNotNull()).select(group, *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), *keep)
+        keys = [f"_o{i}" for i in range(len(order))]
+        return with_running_sum(ranged(own, [group], keys), [group], keys, F.lit(1), F.col("_range"), "nth").select(group, *keep, F.col("nth").cast("int").alias("nth"))
+
+    x, y = numbered(a, order_a, keep_a), numbered(b, order_b, keep_b)
+    if strict:
+        x, y = x.withColumn("_x", F.lit(True)), y.withColumn("_y", F.lit(True))
+        both = x.join(y, [group, "nth"], "full_outer")
+        wrong = F.col("_x").isNull() | F.col("_y").isNull()
+        return both.withColumn("nth", F.when(wrong, F.raise_error(F.concat(F.lit("sides differ in number in "), F.col(group))).cast("int")).otherwise(F.col("nth"))).drop("_x", "_y")
     return x.join(y, [group, "nth"], "full_outer")
 
 
@@ -96,3 +107,47 @@ def summary(checks: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("name"), "violations", F.when(F.col("violations") == 0, "ok").otherwise("fail").alias("status"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def store_check(stores: dict[str, tuple[str, DataFrame | None]]) -> DataFrame:
+    """(store, kind, rows, status) of stores given as name: (authoritative or derived, table or None): ok, empty or missing.
+
+    A missing authoritative store is an error, a missing derived one can be rebuilt.
+    """
+    out = None
+    for name, (kind, df) in stores.items():
+        if df is None:
+            continue
+        one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("store"), F.lit(kind).alias("kind"), "rows", F.when(F.col("rows") > 0, "ok").otherwise("empty").alias("status"))
+        out = one if out is None else out.unionByName(one)
+    gone = [(n, k, 0, "missing" if k == "authoritative" else "to rebuild") for n, (k, df) in stores.items() if df is None]
+    if not gone:
+        return out
+    missing = SparkSession.active().createDataFrame(gone, "store string, kind string, rows bigint, status string")
+    return missing if out is None else out.unionByName(missing)
+
+
+def routed(events: DataFrame, kind: str, handlers: dict[str, str]) -> DataFrame:
+    """events with the handler of their kind; kinds without one, and null, are left out. Works on tables and streams."""
+    to = F.element_at(F.create_map(*(F.lit(x) for kv in handlers.items() for x in kv)), F.col(kind))
+    return events.withColumn("handler", to).where("handler is not null")
+
+
+def payload_errors(events: DataFrame, key: str, payload: str, field: str) -> DataFrame:
+    """(key, problem): payloads that aren't an object (malformed), and objects without the field (incomplete)."""
+    fields = F.json_object_keys(payload)
+    problem = F.when(F.col(payload).isNull() | fields.isNull(), "malformed").when(~F.array_contains(fields, field), "incomplete")
+    return events.select(key, problem.alias("problem")).where("problem is not null")
+
+
+def count_mismatches(whole: DataFrame, parts: DataFrame, key: str, expected: str) -> DataFrame:
+    """(key, expected, found): keys whose number of parts (key) isn't the one they state."""
+    n = parts.groupBy(key).agg(F.count(F.lit(1)).alias("found"))
+    x = whole.select(key, F.col(expected).cast("bigint").alias("expected")).join(n, key, "left").fillna(0, ["found"])
+    return x.where("expected is distinct from found")
+
+
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with place, its number in the order over all rows, without one task that sees them all."""
+    x = ranged(df.withColumn("_all", F.lit(0)), [], order)
+    return with_running_sum(x, ["_all"], order, F.lit(1), F.col("_range"), "place").drop("_all", "_range")

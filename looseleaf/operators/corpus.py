@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from looseleaf.functions import text as t
+from looseleaf.operators.blocks import ranged, with_max_before, with_next, with_previous
 
+#: Fixed values of the note format: required fields, least body, and the file names and comments below.
 REQUIRED = ["uid", "type", "book_id", "chapter", "section", "pages", "pdf_pages"]
 SHORT_BODY = 200
 
@@ -79,26 +84,26 @@ def mixed_widths(notes: DataFrame) -> DataFrame:
 
 
 def order_violations(notes: DataFrame) -> DataFrame:
-    """(note_id, problem): within a book by path, ordinals that don't rise and first pages that fall."""
-    w = Window.partitionBy("book_id").orderBy("path", "note_id")
+    """(note_id, problem): within a book by path, ordinals that don't rise and first pages that fall. Books are worked on in blocks."""
     n = ordinal(F.col("uid")).try_cast("int")
-    x = notes.select("note_id", "book_id", "path", "page_first", n.alias("n")).withColumn("pn", F.lag("n").over(w)).withColumn("pp", F.lag("page_first").over(w))
-    both = F.filter(F.array(F.when(F.col("n") <= F.col("pn"), F.lit("ordinal")), F.when(F.col("page_first") < F.col("pp"), F.lit("page"))), lambda p: p.isNotNull())
-    return x.select("note_id", F.explode(both).alias("problem"))
+    x = ranged(notes.where("note_id is not null").select("note_id", "book_id", "path", F.struct(n.alias("n"), "page_first").alias("own")), ["book_id"], ["path", "note_id"])
+    x = with_previous(x.withColumn("book_id", F.coalesce("book_id", F.lit(""))), ["book_id"], ["path", "note_id"], "own", F.col("_range"), "before")
+    falls = F.when(F.col("own.n") <= F.col("before.n"), F.lit("ordinal")), F.when(F.col("own.page_first") < F.col("before.page_first"), F.lit("page"))
+    return x.select("note_id", F.explode(F.filter(F.array(*falls), lambda p: p.isNotNull())).alias("problem"))
 
 
 def coverage_gaps(notes: DataFrame) -> DataFrame:
     """(book_id, gap_from, gap_to): runs of pages between the first and last of a book that no note covers."""
-    w = Window.partitionBy("book_id").orderBy("page_first", "page_last")
-    reached = F.max("page_last").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = notes.select("book_id", "page_first", "page_last").distinct().withColumn("reached", reached)
+    x = ranged(notes.where("book_id is not null").select("book_id", "page_first", "page_last").distinct(), ["book_id"], ["page_first", "page_last"])
+    x = with_max_before(x, ["book_id"], ["page_first", "page_last"], F.col("page_last"), F.col("_range"), "reached")
     return x.where("page_first > reached + 1").select("book_id", (F.col("reached") + 1).alias("gap_from"), (F.col("page_first") - 1).alias("gap_to"))
 
 
 def section_spans(notes: DataFrame) -> DataFrame:
     """(note_id, next_id, next_page): the section that follows in the book and the page it starts on."""
-    w = Window.partitionBy("book_id").orderBy("page_first", "uid", "note_id")
-    return notes.select("note_id", F.lead("note_id").over(w).alias("next_id"), F.lead("page_first").over(w).alias("next_page"))
+    x = ranged(notes.select("note_id", F.coalesce("book_id", F.lit("")).alias("book_id"), "page_first", "uid", F.struct("note_id", "page_first").alias("own")), ["book_id"], ["page_first", "uid", "note_id"])
+    x = with_next(x, ["book_id"], ["page_first", "uid", "note_id"], "own", F.col("_range"), "after")
+    return x.select("note_id", F.col("after.note_id").alias("next_id"), F.col("after.page_first").alias("next_page"))
 
 
 def fingerprints(notes: DataFrame) -> DataFrame:
@@ -116,10 +121,10 @@ def manifest_drift(committed: DataFrame, current: DataFrame) -> DataFrame:
 
 def with_page_markers(lines: DataFrame) -> DataFrame:
     """(book_id, page, content) from paragraphs (book_id, page, paragraph, record_id, text): a marker on pages after the first."""
-    first = Window.partitionBy("book_id")
+    first = lines.where("text is not null").groupBy("book_id").agg(F.min("page").alias("first"))
     body = lines.where("text is not null").groupBy("book_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "record_id", "text"))), lambda p: p["text"]), "\n\n").alias("body"))
-    marker = F.when(F.col("page") > F.min("page").over(first), F.concat(F.lit("<!-- p."), F.col("page").cast("string"), F.lit(" -->\n"))).otherwise("")
-    return body.select("book_id", "page", F.concat(marker, F.col("body")).alias("content"))
+    marker = F.when(F.col("page") > F.col("first"), F.concat(F.lit("<!-- p."), F.col("page").cast("string"), F.lit(" -->\n"))).otherwise("")
+    return body.join(first, "book_id").select("book_id", "page", F.concat(marker, F.col("body")).alias("content"))
 
 
 def comment_kinds(texts: DataFrame, key: str, column: str) -> DataFrame:
@@ -164,3 +169,66 @@ def books_coverage(notes: DataFrame, pages: DataFrame) -> DataFrame:
     """(book_id, missing): books that only notes or only pages have."""
     a, b = notes.select("book_id").distinct(), pages.select("book_id").distinct()
     return a.join(b, "book_id", "left_anti").withColumn("missing", F.lit("pages")).unionByName(b.join(a, "book_id", "left_anti").withColumn("missing", F.lit("notes")))
+
+
+def parent_errors(notes: DataFrame, books: DataFrame) -> DataFrame:
+    """(note_id, problem): book ids that aren't the folder of the note, and book ids that no book has."""
+    own = notes.select("note_id", "book_id", F.element_at(F.split("path", "/"), -2).alias("parent"))
+    folder = own.where("book_id is distinct from parent").select("note_id", F.lit("folder").alias("problem"))
+    return folder.unionByName(own.join(books.select("book_id").distinct(), "book_id", "left_anti").select("note_id", F.lit("book").alias("problem")))
+
+
+def heading_parse(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, line, major, minor, title) of the lines of a text that are numbered headings, `N.M title`."""
+    pattern = r"^([0-9]{1,4})\.([0-9]{1,6})[ \t]+(\S.*?)\s*$"
+    x = texts.select(key, F.posexplode(t.lines(F.col(column))).alias("line", "l")).where(F.col("l").rlike(pattern))
+    part = lambda i: F.regexp_extract("l", pattern, i)
+    return x.select(key, "line", part(1).cast("int").alias("major"), part(2).cast("int").alias("minor"), part(3).alias("title"))
+
+
+def index_entries(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, group, group_title, nth, token): the tokens of an index, whose lines are `N title` for a group and `N.M a, b; c` below it.
+
+    Blanks within a token collapse; empty tokens and lines of another kind are left out.
+    """
+    lines = texts.select(key, F.explode(t.lines(F.col(column))).alias("l"))
+    groups = lines.where(F.col("l").rlike(r"^[0-9]+[ \t]+\S")).select(key, F.regexp_extract("l", r"^([0-9]+)", 1).cast("int").alias("group"), F.trim(F.regexp_replace(F.regexp_extract("l", r"^[0-9]+[ \t]+(.*)$", 1), r"\s+", " ")).alias("group_title"))
+    entries = lines.where(F.col("l").rlike(r"^[0-9]+\.[0-9]+[ \t]"))
+    tokens = F.filter(F.transform(F.split(F.regexp_extract("l", r"^[0-9]+\.[0-9]+[ \t]+(.*)$", 1), "[,;]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    split = entries.select(key, F.regexp_extract("l", r"^([0-9]+)\.", 1).cast("int").alias("group"), F.regexp_extract("l", r"^[0-9]+\.([0-9]+)", 1).cast("int").alias("nth"), F.explode(tokens).alias("token"))
+    return split.join(groups, [key, "group"], "left").select(key, "group", "group_title", "nth", "token")
+
+
+def line_above(texts: DataFrame, key: str, column: str, wanted: str) -> DataFrame:
+    """(key, line, above): of each line that matches wanted the nearest line above that isn't blank, null if there is none."""
+    ls = t.lines(F.col(column))
+    x = texts.select(key, F.transform(ls, lambda l, i: F.struct(i.alias("line"), l.alias("l"))).alias("ls")).select(key, F.filter("ls", lambda l: F.trim(l["l"]) != "").alias("ls"))
+    near = F.transform(F.col("ls"), lambda l, i: F.struct(l["line"].alias("line"), l["l"].alias("l"), F.get(F.col("ls"), i - 1)["l"].alias("above")))
+    return x.select(key, F.explode(near).alias("x")).select(key, "x.*").where(F.col("l").rlike(wanted)).select(key, "line", "above")
+
+
+def table_captions(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, line, caption) of the first line of each table: the bold line right above it but for blank lines, null if there is none."""
+    rows = line_above(texts, key, column, r"^\|").where("above is null or not startswith(above, '|')")
+    caption = F.regexp_extract("above", r"^\*\*(.+)\*\*$", 1)
+    return rows.select(key, "line", F.when(caption != "", caption).alias("caption"))
+
+
+def strip_furniture(text: Column, titles: Column) -> Column:
+    """The text without lines that are a page number between dashes or alone, and without title and blank lines at its end."""
+    number = r"(?md)^[ \t]*(?:[-–—][ \t]*)?[0-9๐-๙]{1,4}(?:[ \t]*[-–—])?[ \t]*\r?$\n?"
+    ls = t.lines(F.regexp_replace(text, number, ""))
+    gone = lambda l: (F.trim(F.regexp_replace(l, r"\s+", " ")) == "") | F.coalesce(F.array_contains(titles, F.trim(l)), F.lit(False))
+    last = F.aggregate(F.transform(ls, lambda l, i: F.when(gone(l), -1).otherwise(i)), F.lit(-1), lambda a, i: F.greatest(a, i))
+    return F.array_join(F.slice(ls, 1, last + 1), "\n")
+
+
+def composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+
+def names_not_composed(notes: DataFrame) -> DataFrame:
+    """(note_id, name) of file names that aren't in composed form; names in plain repertoire are answered without Python."""
+    name = t.basename(F.col("path"))
+    x = notes.select("note_id", name.alias("name")).where(name.rlike("[^ -~\u0e00-\u0e7f]|\u0e4d\u0e32"))
+    return x.where(F.pandas_udf(composed, "string")("name") != F.col("name"))

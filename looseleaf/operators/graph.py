@@ -146,3 +146,47 @@ def landing_rates(outcomes: DataFrame) -> DataFrame:
     count = lambda o: F.sum((F.col("outcome") == o).cast("bigint")).alias(o)
     x = outcomes.groupBy("axis").agg(count("exact"), count("substring"), count("miss"))
     return x.withColumn("rate", F.round((F.col("exact") + F.col("substring")) / (F.col("exact") + F.col("substring") + F.col("miss")), 6))
+
+
+def near_variants(values: DataFrame, names: DataFrame, least: float = NEAR) -> DataFrame:
+    """(axis, value, name, similarity): of each distinct value that landed neither exactly nor by part the names near it.
+
+    The same bound by rare letter pairs as in near_names, between two sides.
+    """
+    missed = landing(values, names).where("outcome = 'miss'").select("axis", "value").withColumn("s", t.squeezed(F.col("value"))).where("length(s) > 1")
+    known = names.where("name is not null").select("name").distinct().withColumn("k", t.squeezed(F.col("name"))).where("length(k) > 1")
+    pair = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(F.col(c), i, F.lit(2))))).alias("g")
+    la, lb = F.length("s"), F.length("k")
+    # names so near share letter pairs: 3M - p - q - 1 of them at least
+    met = missed.select("axis", "value", "s", pair("s")).join(known.select("name", "k", pair("k")), "g").where(2 * F.least(la, lb) >= least * (la + lb)).select("axis", "value", "s", "name", "k").distinct()
+    ratio = F.pandas_udf(similarity(least), "double")
+    return met.withColumn("similarity", F.round(ratio("s", "k"), 6)).where(F.col("similarity") >= least).select("axis", "value", "name", "similarity")
+
+
+def landing_with_variants(values: DataFrame, names: DataFrame, least: float = NEAR) -> DataFrame:
+    """landing with a fourth outcome, near_variant, for values that only come near a name."""
+    near = near_variants(values, names, least).select("axis", "value").distinct().withColumn("near", F.lit(True))
+    return landing(values, names).join(near, ["axis", "value"], "left").select("axis", "value", F.when(F.col("near"), "near_variant").otherwise(F.col("outcome")).alias("outcome"))
+
+
+def relation_lines(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """(name, other, line): the relation lines of the notes of both ends of relations (source, target, keywords, weight).
+
+    An end that is a node gets a line that links the other end if that is a node too, and names it plainly otherwise; a
+    relation without a known end gives none.
+    """
+    known = nodes.select("name").where("name is not null").distinct()
+    ends = relations.select(F.col("source").alias("name"), F.col("target").alias("other"), "keywords", "weight").unionByName(relations.select(F.col("target").alias("name"), F.col("source").alias("other"), "keywords", "weight"))
+    x = ends.join(known, "name").join(known.select(F.col("name").alias("other"), F.lit(True).alias("linked")), "other", "left")
+    stem = F.when(F.col("linked"), F.concat(F.lit("[["), t.safe_name(F.col("other")), F.lit("]]"))).otherwise(F.col("other"))
+    return x.select("name", "other", F.concat(F.lit("- "), stem, F.lit(" ("), F.coalesce("keywords", F.lit("")), F.lit("; "), F.col("weight").cast("string"), F.lit(")")).alias("line"))
+
+
+def graph_context(entities: DataFrame, relations: DataFrame, key: str) -> DataFrame:
+    """(key, block): lines of entities (key, line), then of relations (key, line), each once and in order; null if there are none.
+
+    Keys are queries, whose hits are few; keys without hits come in with a null line.
+    """
+    both = entities.select(key, F.lit(0).alias("part"), "line").unionByName(relations.select(key, F.lit(1).alias("part"), "line"))
+    x = both.groupBy(key).agg(F.array_sort(F.collect_set(F.when(F.col("line").isNotNull(), F.struct("part", "line")))).alias("ls"))
+    return x.select(key, F.when(F.size("ls") > 0, F.array_join(F.transform("ls", lambda l: l["line"]), "\n")).alias("block"))

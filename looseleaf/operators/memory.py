@@ -8,8 +8,7 @@ from looseleaf.operators.blocks import month_block, with_previous, with_running_
 
 #: Hours without a turn after which a consultation counts as over; exactly so many hours close it.
 GAP_HOURS = 6.0
-#: Month to element of birth.
-ELEMENT_BY_MONTH = {1: "earth", 2: "fire", 3: "fire", 4: "fire", 5: "wind", 6: "wind", 7: "wind", 8: "water", 9: "water", 10: "water", 11: "earth", 12: "earth"}
+
 
 
 def distinct_turns(turns: DataFrame) -> DataFrame:
@@ -87,11 +86,6 @@ def search_records(records: DataFrame, pattern: str, most: int | None = 10) -> D
     return found if most is None else found.orderBy(F.desc("consultation_date"), F.desc("record_id")).limit(most)
 
 
-def birth_element(month: Column) -> Column:
-    """Element of a month; null outside 1 to 12."""
-    return F.element_at(F.create_map(*(F.lit(x) for kv in ELEMENT_BY_MONTH.items() for x in kv)), month.cast("int"))
-
-
 def completed_years(birth: Column, day: Column) -> Column:
     """Age in completed years; a birthday on 29 February is reached on 1 March of common years."""
     return F.year(day) - F.year(birth) - F.when(F.date_format(day, "MMdd") < F.date_format(birth, "MMdd"), 1).otherwise(0)

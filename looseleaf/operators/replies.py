@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 CITATION = r"^\(อ้างอิง:\s*(.+?)\s*\)$"
 MENU = "[หัวข้อ]"
 TOPICS, TOPIC_CHARS, BOOKS = 5, 20, 3
+#: Fixed value: marks before the items of a menu.
+ITEM_MARK = r"^(?:[-•*]|\d+[.)])\s*"
 
 
 def cited_ids(reply: Column) -> Column:
@@ -41,7 +43,7 @@ def topic_menu(text: Column) -> Column:
     at = _last(ls, lambda x: F.regexp_replace(F.trim(x), ":+$", "") == MENU)
     visible = F.regexp_replace(F.array_join(F.slice(ls, F.lit(1), F.greatest(F.coalesce(at, F.lit(0)), F.lit(0))), "\n"), r"^\s+|\s+$", "")
     after = F.filter(F.slice(ls, F.coalesce(at, F.lit(0)) + 2, F.size(ls)), lambda x: ~F.trim(x).rlike(CITATION))
-    items = F.filter(F.transform(after, lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(?:[-*•]|\d+[.)])\s*", ""))), lambda x: x != "")
+    items = F.filter(F.transform(after, lambda x: F.trim(F.regexp_replace(F.trim(x), ITEM_MARK, ""))), lambda x: x != "")
     topics = F.slice(F.transform(items, lambda x: F.substring(x, 1, TOPIC_CHARS)), 1, TOPICS)
     good = at.isNotNull() & (visible != "")
     return F.when(good, F.struct(visible.alias("visible"), topics.alias("topics"))).otherwise(F.struct(text.alias("visible"), F.array().cast("array<string>").alias("topics")))

@@ -24,18 +24,30 @@ def unit(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return x.where("norm > 0").select(key, F.transform("v", lambda e: e / F.col("norm")).alias("v"))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, cut: float = CUT, key: str = "vec_id", vector: str = "embedding", cells: int = 32) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest vectors of each query at or above the cut, ties by id; exact.
+#: Vectors that one task compares with the queries, on average.
+CELL = 20_000
+
+
+def scores(queries: DataFrame, vectors: DataFrame, cut: float = CUT, key: str = "vec_id", vector: str = "embedding", cells: int | None = None) -> DataFrame:
+    """(query_id, id, score) of every query and vector at or above the cut; exact.
 
-    queries (key, vector) are a stated set that is searched against all vectors. Vectors fall into cells by a hash and are
-    moved once; queries are copied to every cell. A task sees the queries against one cell and keeps its own k best of
-    each (the rank limit works before the second shuffle), so nothing passes through the driver.
+    queries (key, vector) are a stated set that is searched against all vectors. Vectors fall into cells of about CELL by a
+    hash and are moved once; queries are copied to every cell, so a task sees the queries against one cell and the number
+    of tasks grows with the vectors. Nothing passes through the driver.
     """
+    cells = cells or max(8, -(-vectors.count() // CELL))
     q = unit(queries, key, vector).select(F.col(key).alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
     base = unit(vectors, key, vector).select(F.col(key).alias("id"), "v", F.pmod(F.xxhash64(key), F.lit(cells)).cast("int").alias("cell"))
-    hits = base.join(q, "cell").select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+    return base.join(q, "cell").select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")).where(F.col("score") >= cut)
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, cut: float = CUT, key: str = "vec_id", vector: str = "embedding", cells: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest vectors of each query at or above the cut, ties by id; exact.
+
+    Each task keeps its own k best of each query, as the rank limit works before the second shuffle.
+    """
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return hits.where(F.col("score") >= cut).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scores(queries, vectors, cut, key, vector, cells).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def merge_hits(relations: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -65,9 +77,9 @@ def chunk_tokens(texts: DataFrame, key: str, column: str, size: int = 120, overl
 
 
 def hash_embedding(text: Column, dims: int = 16) -> Column:
-    """A deterministic vector of a text: signed counts of hashed words. A stand-in for an embedding model."""
+    """A deterministic vector of a text: signed counts of words by the first digits of their hash. A stand-in for an embedding model."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.crc32(w.cast("binary")))
+    hashed = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"))
     of = lambda d: F.aggregate(hashed, F.lit(0.0), lambda s, h: s + F.when(h % dims == d, F.when(F.floor(h / dims) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0))
     return F.array(*(of(d) for d in range(dims)))
 
@@ -78,3 +90,19 @@ def rebuild_stats(texts: DataFrame, key: str, column: str) -> DataFrame:
     return x.agg(
         F.count(F.lit(1)).alias("prepared"), F.sum((~F.col("empty")).cast("bigint")).alias("rebuilt"), F.sum(F.col("empty").cast("bigint")).alias("skipped"), (F.count(key) - F.countDistinct(key)).alias("duplicates")
     )
+
+
+def token_chunks(texts: DataFrame, key: str, column: str, size: int = 1200, overlap: int = 100) -> DataFrame:
+    """(key, chunk, first, tokens): chunks of `size` tokens of the byte-level tokenizer, one for each UTF-8 byte, by their first token."""
+    x = texts.select(key, F.octet_length(column).alias("n")).where("n > 0")
+    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - overlap - 1, F.lit(0)), F.lit(size - overlap))
+    return x.select(key, "n", F.posexplode(starts).alias("chunk", "first")).select(key, "chunk", "first", F.least(F.lit(size), F.col("n") - F.col("first")).alias("tokens"))
+
+
+def rebuilt(entities: DataFrame, relations: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(kind, id, vector): vectors of entities (id, text), relations (id, text) and chunks (id, text) anew; empty texts are skipped."""
+    out = None
+    for kind, df in (("entity", entities), ("relation", relations), ("chunk", chunks)):
+        x = df.where("trim(text) <> ''").select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), hash_embedding(F.col("text")).alias("vector"))
+        out = x if out is None else out.unionByName(x)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from looseleaf.operators import checks as c, corpus, graph, memory
 from looseleaf.plans import corpus as corpus_plans, graph as graph_plans, memory as memory_plans
@@ -32,12 +32,9 @@ def best_photo(spark, d):
 
 
 def page_starts(spark, d):
-    """First record of each page beside the notes of the book, by number."""
+    """First record of each page beside the notes of its book, by number; books of one side only meet nulls."""
     pages = table(spark, d, "page_records").groupBy("book_id", "page").agg(F.min("record_id").alias("record_id"))
-    books = table(spark, d, "source_notes").select("book_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("book_id")))
-    own = table(spark, d, "page_records").select(F.col("book_id").alias("pages_of")).distinct().withColumn("n", F.row_number().over(Window.orderBy("pages_of")))
-    renamed = pages.withColumnRenamed("book_id", "pages_of").join(own.join(books, "n"), "pages_of")
-    return c.zipped(renamed, table(spark, d, "source_notes"), "book_id", ["page"], ["uid", "note_id"], ["page", "record_id"], ["note_id"])
+    return c.zipped(pages, table(spark, d, "source_notes"), "book_id", ["page"], ["uid", "note_id"], ["page", "record_id"], ["note_id"])
 
 
 def grounded(spark, d):
@@ -49,7 +46,7 @@ def grounded(spark, d):
 def blocks(spark, d):
     r = table(spark, d, "health_records")
     parts = F.array(F.struct(F.lit("text").alias("type"), F.coalesce("chief_complaint", F.lit("")).alias("text")), F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), F.coalesce("advice_given", F.lit("")).alias("text")))
-    return r.select("record_id", c.flattened(parts).alias("content"), F.substring("conversation_summary", 1, 40).alias("short"))
+    return r.select("record_id", c.flattened(parts).alias("content"), F.substring("conversation_summary", 1, 400).alias("short"))
 
 
 def summary(spark, d):
@@ -104,15 +101,12 @@ select doc_id, cast(length(h) as int) as level, trim(title, ' ') as title from x
 select p.user_id, photo_id, session_no from p join g on p.user_id = g.user_id and captured_at >= started and captured_at <= ended + interval 3 hour""",
     "photo_best": """select user_id, confidence, row_no, confidence >= 0.5 as passed from (select *, row_number() over (partition by user_id order by confidence desc, row_no) as n from tongue_descriptions) q where n = 1""",
     "photo_links": "select row_no, case when passed_gate then 'https://photos.example/photos/' || photo_id end as url from tongue_descriptions",
-    "page_starts": """with b as (select book_id, row_number() over (order by book_id) as n from (select distinct book_id from source_notes) q),
-o as (select book_id as pages_of, row_number() over (order by book_id) as n from (select distinct book_id from page_records) q),
-p as (select b.book_id, page, min(record_id) as record_id from page_records r join o on o.pages_of = r.book_id join b using (n) group by b.book_id, r.book_id, page),
-x as (select *, row_number() over (partition by book_id order by page) as nth from p),
+    "page_starts": """with x as (select book_id, page, min(record_id) as record_id, row_number() over (partition by book_id order by page) as nth from page_records group by book_id, page),
 y as (select book_id, note_id, row_number() over (partition by book_id order by uid, note_id) as nth from source_notes)
 select coalesce(x.book_id, y.book_id) as book_id, cast(coalesce(x.nth, y.nth) as int) as nth, page, record_id, note_id from x full join y on x.book_id = y.book_id and x.nth = y.nth""",
     "references_or_chunks": f"""with {graph_plans._HITS}, t as (select query_id, id, label from h where rank <= 20)
 select query_id, id, 0 as mode from t where label = 3 union all select query_id, id, 1 from t where label <> 3 and query_id not in (select query_id from t where label = 3)""",
-    "content_blocks": "select record_id, coalesce(chief_complaint, '') || coalesce(advice_given, '') as content, substr(conversation_summary, 1, 40) as short from health_records",
+    "content_blocks": "select record_id, coalesce(chief_complaint, '') || coalesce(advice_given, '') as content, substr(conversation_summary, 1, 400) as short from health_records",
     "book_manifest": f"""with {corpus_plans._PRINTS}
 select regexp_replace(uid, '-[0-9]+$', '') as book, '{{' || string_agg('"' || uid || '":"' || sha256 || '"', ',' order by uid) || '}}' as json from f where sha256 is not null group by 1""",
     "landing_report": f"""with {graph_plans._OUTCOMES}, r as (select axis, count(*) filter (outcome <> 'miss') / count(*) as rate from o group by axis)

@@ -47,6 +47,11 @@ def hits(spark, d, k=20):
     return v.top_k(x.where("vec_id % 100 = 0"), x, k)
 
 
+def above_cut(spark, d):
+    x = table(spark, d, "embeddings")
+    return v.scores(x.where("vec_id % 100 = 0"), x)
+
+
 def references(spark, d):
     """Hits of even labels stand for relations, of odd ones for chunks; both name the class of their vector."""
     x = hits(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
@@ -64,7 +69,7 @@ def ranked_documents(spark, d, k=60):
 
 def sections(spark, d):
     ranked = ranked_documents(spark, d)
-    chunks = v.chunk_tokens(ranked.select("id", "text").distinct(), "id", "text", 40, 0).where("chunk = 0").select("id", F.col("content").alias("chunk"))
+    chunks = v.chunk_tokens(ranked.select("id", "text").distinct(), "id", "text", 1200, 0).where("chunk = 0").select("id", F.col("content").alias("chunk"))
     x = ranked.join(chunks, "id", "left").select("query_id", "rank", F.col("title").alias("name"), F.col("text").alias("note"), "chunk")
     return budget.pack_sections(x, "query_id", 5000)
 
@@ -113,7 +118,7 @@ QUERIES = {
     "graph_entities": lambda s, d: g.export_entities(nodes(s, d), edges(s, d)),
     "graph_relations": edges,
     "graph_degree_top25": lambda s, d: g.top_by_degree(g.export_entities(nodes(s, d), edges(s, d)), 25),
-    "graph_isolated": lambda s, d: g.isolated(nodes(s, d), mentions(s, d).where("l_quantity > 49.5")),
+    "graph_isolated": lambda s, d: g.isolated(nodes(s, d), mentions(s, d)),
     "graph_type_counts": lambda s, d: g.type_counts(nodes(s, d)),
     "graph_summary": lambda s, d: g.summary(nodes(s, d), edges(s, d)),
     "graph_adjacency": lambda s, d: g.adjacency(mentions(s, d)),
@@ -123,11 +128,10 @@ QUERIES = {
     "landing_outcomes": outcomes,
     "landing_rates": lambda s, d: g.landing_rates(outcomes(s, d)),
     "vector_top20": hits,
-    "vector_above_cut": lambda s, d: hits(s, d, 10**6).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best")),
+    "vector_above_cut": lambda s, d: above_cut(s, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best")),
     "vector_references": references,
     "vector_drift": lambda s, d: v.missing_vectors(table(s, d, "exported_entities").select(F.col("entity_id").alias("vec_id")), table(s, d, "embeddings"), "vec_id"),
     "vector_rebuild": lambda s, d: v.rebuild_stats(table(s, d, "exported_entities"), "entity_id", "description"),
-    "entity_embeddings": lambda s, d: table(s, d, "exported_entities").select("entity_id", F.array_join(F.transform(v.hash_embedding(F.coalesce("description", F.lit(""))), lambda x: x.cast("int").cast("string")), ",").alias("vector")),
     "chunks": lambda s, d: v.chunk_tokens(table(s, d, "documents"), "doc_id", "text"),
     "line_budget": lambda s, d: budget.keep_within(ranked_documents(s, d), "query_id", "rank", F.length("title"), 400, "title"),
     "section_budget": sections,
@@ -170,7 +174,7 @@ select name, string_agg(source, ',' order by source) as sources, cast(count(*) a
     "graph_entities": f"with {_ENTITIES} select * from x",
     "graph_relations": f"with {_EDGES} select * from e",
     "graph_degree_top25": f"with {_ENTITIES} select name, degree from x order by degree desc, name limit 25",
-    "graph_isolated": f"with {_NODES}, {_MENTIONS} select name from n where name not in (select source from m where l_quantity > 49.5) and name not in (select target from m where l_quantity > 49.5)",
+    "graph_isolated": f"with {_NODES}, {_MENTIONS} select name from n where name not in (select source from m) and name not in (select target from m)",
     "graph_type_counts": f"with {_NODES} select coalesce(type, 'UNKNOWN') as type, count(*) as n from n group by 1",
     "graph_summary": f"""with {_ENTITIES} select count(*) as nodes, (select count(*) from e) as edges, count(*) filter (degree = 0) as isolated, round((select count(*) from e) / count(*), 2) as ratio from x""",
     "graph_adjacency": f"with {_MENTIONS} select source as name, target as other from m union select target, source from m",
@@ -205,7 +209,7 @@ f(query_id, n, rank, title, used, place, kept) as (
   from f join x on x.query_id = f.query_id and x.n = f.n + 1)
 select query_id, cast(rank as bigint) as rank, cast(place as int) as place, title from f where kept""",
     "section_budget": f"""with recursive {_HITS},
-x as (select query_id, title, length(text) as nl, length(array_to_string(list_slice(list_filter(string_split_regex(text, '[ \t\n\f\r\v]+'), lambda z: z <> ''), 1, 40), ' ')) as cl, row_number() over (partition by query_id order by rank) as n from h join documents on doc_id = id where rank <= 60 and title is not null),
+x as (select query_id, title, length(text) as nl, length(array_to_string(list_slice(list_filter(string_split_regex(text, '[ \t\n\f\r\v]+'), lambda z: z <> ''), 1, 1200), ' ')) as cl, row_number() over (partition by query_id order by rank) as n from h join documents on doc_id = id where rank <= 60 and title is not null),
 f(query_id, n, used, place, label, whole, kept) as (
   select query_id, n - 1, 0, 0, '', false, false from x where n = 1
   union all

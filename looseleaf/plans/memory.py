@@ -19,7 +19,7 @@ def ages(spark, d):
     births = change_feed.profile_state(table(spark, d, "profile_ops")).where("field = 'birth_date'").select("user_id", F.try_to_date("text", "yyyy-MM-dd").alias("birth"))
     r = table(spark, d, "health_records").join(births, "user_id")
     day = F.to_date("consultation_date")
-    return r.select("record_id", m.completed_years(F.col("birth"), day).cast("int").alias("age"), m.birth_element(F.month("birth")).alias("element"))
+    return r.select("record_id", m.completed_years(F.col("birth"), day).cast("int").alias("age"))
 
 
 def rejected(spark, d):
@@ -48,7 +48,7 @@ QUERIES = {
     "records_on_day": lambda s, d: m.records_on(table(s, d, "health_records"), "2025-06-15").select("record_id", "user_id"),
     "records_search": lambda s, d: m.search_records(table(s, d, "health_records"), "cough|ไอแห้ง").select("record_id", "consultation_date"),
     "records_search_all": lambda s, d: m.search_records(table(s, d, "health_records"), "fever|ตัวร้อน", None).select("record_id"),
-    "records_age_element": ages,
+    "records_age": ages,
     "photos_latest": lambda s, d: m.latest_photos(table(s, d, "tongue_descriptions")),
     "photos_gate": lambda s, d: table(s, d, "tongue_descriptions").select("row_no", (F.col("confidence") >= 0.5).alias("passed"), (F.col("confidence") >= 0.5).eqNullSafe(F.col("passed_gate")).alias("agrees")),
     "profile_text": lambda s, d: m.render_profile(change_feed.profile_state(table(s, d, "profile_ops"))),
@@ -104,11 +104,10 @@ order by consultation_date desc, record_id desc limit 10""",
     "records_search_all": """select record_id from health_records
 where regexp_matches(chief_complaint, 'fever|ตัวร้อน', 'i') or list_bool_or(list_transform(symptoms, lambda s: regexp_matches(s, 'fever|ตัวร้อน', 'i')))
    or regexp_matches(advice_given, 'fever|ตัวร้อน', 'i') or regexp_matches(conversation_summary, 'fever|ตัวร้อน', 'i')""",
-    "records_age_element": f"""with {_OPS}, b as (
+    "records_age": f"""with {_OPS}, b as (
   select user_id, cast(arg_max(text, seq) as date) as birth from o
   where op = 'set_birth_date' and regexp_matches(text, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') and try_cast(text as date) is not null group by user_id)
-select record_id, cast(year(consultation_date) - year(birth) - case when strftime(consultation_date, '%m%d') < strftime(birth, '%m%d') then 1 else 0 end as int) as age,
-       case when month(birth) in (11, 12, 1) then 'earth' when month(birth) in (2, 3, 4) then 'fire' when month(birth) in (5, 6, 7) then 'wind' else 'water' end as element
+select record_id, cast(year(consultation_date) - year(birth) - case when strftime(consultation_date, '%m%d') < strftime(birth, '%m%d') then 1 else 0 end as int) as age
 from health_records join b using (user_id)""",
     "photos_latest": "select photo_id, "
     + ", ".join(f"arg_max({c}, row_no) filter ({c} is not null) as {c}" for c in ["user_id", "captured_at", "confidence", "passed_gate", "color", "coating", "size", "shape", "spots", "notes", "quality"])

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import os
+import uuid
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from looseleaf.session import checkpointed
 
 PAGES = "book_id string, book_title string, page int, pdf_page int, paragraph int, text string"
 
@@ -64,9 +70,54 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_files(df: DataFrame, folder: str, name: str = "filename", content: str = "content") -> None:
-    """One file for each row, written by the tasks through Spark's own writer: a folder for each name."""
-    df.select(F.col(content).alias("value"), F.col(name).alias("file")).write.mode("overwrite").partitionBy("file").text(folder)
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Append rows, one object a line; what is there stays."""
+    df.write.mode("append").json(path)
+
+
+def pretty_json(value: Column) -> Column:
+    """A struct, map or array as JSON on indented lines, the same text for the same value."""
+    return F.to_json(value, {"pretty": "true", "ignoreNullFields": "false"})
+
+
+def write_files(df: DataFrame, folder: str, name: str = "filename", content: str = "content") -> DataFrame:
+    """One file for each row, named by the row, in a folder that all executors share; (name, bytes) of what was written.
+
+    A file is written beside its place and moved there, so a task that runs again replaces it whole. Rows without a name
+    are left out, a null content is an empty file; names can't hold a slash.
+    """
+
+    def write(batches):
+        for batch in batches:
+            done = []
+            for file, text in zip(batch["file"], batch["text"]):
+                data = (text or "").encode("utf-8")
+                beside = os.path.join(folder, f".{file}.{uuid.uuid4().hex}")
+                with open(beside, "wb") as out:
+                    out.write(data)
+                os.replace(beside, os.path.join(folder, file))
+                done.append((file, len(data)))
+            yield pd.DataFrame(done, columns=["file", "bytes"])
+
+    os.makedirs(folder, exist_ok=True)
+    rows = df.select(F.col(name).alias("file"), F.col(content).alias("text")).where("file is not null and not contains(file, '/')")
+    written = rows.mapInPandas(write, "file string, bytes bigint")
+    return checkpointed(written)  # written once
+
+
+def overwrite_files(df: DataFrame, folder: str, name: str = "filename", content: str = "content") -> DataFrame:
+    """write_files that also removes the files of the folder that no row names."""
+    before = {f for f in (os.listdir(folder) if os.path.isdir(folder) else []) if not f.startswith(".")}
+    written = write_files(df, folder, name, content)
+    old = df.sparkSession.createDataFrame([(f,) for f in before], "file string")
+    for (f,) in old.join(written, "file", "left_anti").toLocalIterator():
+        os.remove(os.path.join(folder, f))
+    return written
+
+
+def deleted(current: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of current whose keys aren't in gone."""
+    return current.join(gone.select(*keys), keys, "left_anti")
 
 
 def merged(current: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
