@@ -6,7 +6,8 @@ the patterns by their number within the class; those left over are packed by bes
 
 Scale: the histogram and the patterns are of bounded size (CLASSES classes) whatever the input, so only they pass through
 the driver. Items are numbered within a class in two levels, by a hash bucket and over bucket totals, so a class with a
-third of all items is spread over tasks; places are found by an equi-join on class and block of numbers.
+third of all items is spread over tasks, the more the more items there are; an item finds its place in the table of
+pattern slots, a few for each class, by its class and the range of numbers that a slot takes.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from looseleaf.session import checkpointed
 CLASSES, DRAWN, SLACK = 512, 4000, 2
 #: Items that one task packs by best fit at once.
 GROUP = 20_000
-#: Items numbered together.
-BUCKETS = 64
+#: Items of all classes numbered together, on average.
+BUCKET = 50_000
 
 
 def byte_tokens(text: Column) -> Column:
@@ -119,9 +120,9 @@ def fit_patterns(counts: dict[int, int], classes: int = CLASSES) -> list[tuple[t
     return out
 
 
-def _numbered(parts: DataFrame) -> DataFrame:
+def _numbered(parts: DataFrame, buckets: int) -> DataFrame:
     """parts with no, their number within the class from 0."""
-    x = parts.withColumn("bucket", F.pmod(F.xxhash64("id", "part"), F.lit(BUCKETS)).cast("int"))
+    x = parts.withColumn("bucket", F.pmod(F.xxhash64("id", "part"), F.lit(buckets)).cast("int"))
     totals = x.groupBy("class", "bucket").count()
     before = totals.select("class", "bucket", F.coalesce(F.sum("count").over(Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = Window.partitionBy("class", "bucket").orderBy("id", "part")
@@ -154,8 +155,9 @@ def pack(items: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
     cls = F.greatest(F.lit(1), F.ceil(F.col("size") / unit)).cast("int")  # a class never understates a size
     parts = split_items(items, capacity).withColumn("class", F.least(F.lit(CLASSES), cls))
     full = parts.where(F.col("class") == CLASSES).select("id", "part", "size", F.concat_ws("-", F.lit("f"), "id", "part").alias("container"))
-    rest = checkpointed(_numbered(parts.where(F.col("class") < CLASSES)))
-    counts = {r[0]: r[1] for r in rest.groupBy("class").count().collect()}
+    small = parts.where(F.col("class") < CLASSES)
+    counts = {r[0]: r[1] for r in small.groupBy("class").count().collect()}
+    rest = checkpointed(_numbered(small, max(8, -(-sum(counts.values()) // BUCKET))))
     slots, used = [], Counter()
     for j, (p, times) in enumerate(fit_patterns(counts)):
         for c, n in Counter(p).items():
