@@ -201,11 +201,13 @@ class Items:
         self.windows = [_windows(x) for x in self.letters]
 
 
-def _windows(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of WINDOW letters, in order of hash, and where they start."""
+def _windows(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of WINDOW letters, in order of hash, where they start, and which last 16 bits they have."""
     h = _rolling(letters)
     order = np.argsort(h, kind="stable")
-    return h[order], order
+    seen = np.zeros(1 << 16, bool)
+    seen[h & np.uint64(0xFFFF)] = True
+    return h[order], order, seen
 
 
 def _rolling(letters: np.ndarray) -> np.ndarray:
@@ -260,16 +262,17 @@ def _ranges(begin: np.ndarray, width: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(width) + width, width) + np.arange(width.sum())
 
 
-def _stretches(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(item from, to, doc from, to) of stretches that item and document share but for small changes."""
-    hashes, order = windows
-    h = _rolling(doc)
+def _stretches(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray, np.ndarray], h: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(item from, to, doc from, to) of stretches that item and document share but for small changes; h: the document's _rolling."""
+    hashes, order, seen = windows
     if not len(h) or not len(hashes):
         return []
-    lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+    d = np.flatnonzero(seen[h & np.uint64(0xFFFF)])
+    own = h[d]
+    lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
     width = hi - lo
-    d = np.repeat(np.arange(len(h)), width)
-    i = order[np.repeat(lo, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)]
+    d = np.repeat(d, width)
+    i = order[_ranges(lo, width)]
     if not len(i):
         return []
     diag = d - i
@@ -280,8 +283,10 @@ def _stretches(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray], doc: np
     i, d = i[by], d[by]
     cut = np.append(True, (np.diff(band) > 0) | (np.diff(i) > GAP) | (np.abs(np.diff(d) - np.diff(i)) > SHIFT))
     at = np.flatnonzero(cut)
+    until = np.append(at[1:], len(i))
+    wide = i[until - 1] - i[at] + WINDOW >= SPAN
     out = []
-    for a, b in zip(at, np.append(at[1:], len(i))):
+    for a, b in zip(at[wide], until[wide]):
         ii = i[a:b]
         span = int(ii[-1] - ii[0]) + WINDOW
         held = int(np.minimum(np.diff(np.append(ii, ii[-1] + WINDOW)), WINDOW).sum())
@@ -296,7 +301,7 @@ def whole(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int]]:
     return [(m.start(), m.start() + len(item)) for m in re.finditer(f"(?={re.escape(asked)})", text)] if len(item) else []
 
 
-def cover(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+def cover(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray, np.ndarray], doc: np.ndarray, rolling: np.ndarray | None = None) -> tuple[float, list[tuple[int, int]]]:
     """Part of the item that the best one or two stretches in order cover, and the places of all stretches in the document's letters.
 
     Of an item under SPAN letters the one stretch is the whole item, letter for letter.
@@ -305,7 +310,7 @@ def cover(item: np.ndarray, windows: tuple[np.ndarray, np.ndarray], doc: np.ndar
         spans = whole(item, doc)
         return float(bool(spans)), spans
     best = 0
-    found = sorted(_stretches(item, windows, doc), key=lambda x: x[0] - x[1])
+    found = sorted(_stretches(item, windows, _rolling(doc) if rolling is None else rolling), key=lambda x: x[0] - x[1])
     if found:
         best = found[0][1] - found[0][0]
     # the later of two by where it begins in the document; of those that end before, by where they end in the item, the longest and the one that begins first
@@ -350,6 +355,7 @@ def _shard_leaks(shard: Shard, texts: list[str], items: Items) -> list[tuple[int
             for i in items.tiny:
                 if spans := whole(items.letters[i], letters):
                     out.append((d, int(i), 1.0, [(int(at[a]), int(at[b - 1]) + 1) for a, b in spans]))
+    rolled = lru_cache(64)(lambda d: _rolling(held(d)[0]))
     seen = {(d, i) for d, i, *_ in out}
     for last, doc in places(shard.index, items, shard.starts, shard.offsets):
         pair = doc * len(items.ids) + items.owner[last]
@@ -370,7 +376,7 @@ def _shard_leaks(shard: Shard, texts: list[str], items: Items) -> list[tuple[int
             if (d, i) in seen:
                 continue
             seen.add((d, i))
-            part, spans = cover(items.letters[i], items.windows[i], held(d)[0])
+            part, spans = cover(items.letters[i], items.windows[i], held(d)[0], rolled(d))
             if part >= LEAK:
                 places_of = held(d)[1]
                 out.append((d, i, part, [(int(places_of[a]), int(places_of[b - 1]) + 1) for a, b in spans]))

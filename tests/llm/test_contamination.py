@@ -83,7 +83,7 @@ def test_pairs_against_brute_force(monkeypatch):
             for y in found:
                 if x[0] <= y[0] and x[1] < y[1] and y[2] >= x[3] - contamination.WINDOW:
                     best = max(best, y[1] - max(y[0], x[1]) + x[1] - x[0])
-        assert cover(np.zeros(210), None, None)[0] == best / 210
+        assert cover(np.zeros(210), None, None, np.zeros(0))[0] == best / 210
 
 
 def test_parts_that_stand_in_many_documents():
