@@ -108,7 +108,8 @@ def plain_forms(texts: DataFrame, column: str = "value") -> DataFrame:
     parts, twins = mappings(spark)
     distinct = texts.select(F.col(column).alias("v")).where("v is not null").distinct()
     odd = distinct.where(suspect(F.col("v"))).withColumn("k", F.md5("v"))
-    chars = odd.repartition("k").select("k", F.posexplode(F.split("v", "")).alias("pos", "ch"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a small number of texts is spread, too
+    chars = odd.repartition(tasks, "k").select("k", F.posexplode(F.split("v", "")).alias("pos", "ch"))
     pieces = (
         chars.join(F.broadcast(parts), "ch", "left")
         .select("k", "pos", F.posexplode(F.coalesce("parts", F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"), F.lit(None).cast("array<struct<s:string,ch:string>>").alias("joins"))))).alias("sub", "p"))
