@@ -112,15 +112,17 @@ def match_values(values: DataFrame, terms: DataFrame, threshold: float = THRESHO
     df = pg.groupBy("axis", "gram").agg(F.count(F.lit(1)).alias("df")).join(total, "axis")
     idf = df.select("axis", "gram", F.log((F.col("total") + 1) / (F.col("df") + 0.5)).alias("idf"))
     unseen = F.coalesce("idf", F.lit(8.0))
-    weight = lambda g: g.join(idf, ["axis", "gram"], "left").withColumn("w", F.sqrt("tf") * unseen)
-    pw, fw = weight(pg), weight(fg)
     letter, energy = F.length("gram") == 1, F.col("w") * F.col("w")
-    norms = lambda g, of: g.groupBy(of).agg(F.sqrt(F.sum(energy)).alias("norm"), F.sqrt(F.coalesce(F.sum(F.when(letter, energy)), F.lit(0.0))).alias("letters"))
     least = threshold - margin
-    pn = norms(pw, "pid").select("pid", F.col("norm").alias("pn"), (F.col("letters") / F.col("norm")).alias("pl"))
-    fn = norms(fw, "fid").select("fid", F.col("norm").alias("fn"), (F.col("letters") / F.col("norm")).alias("fl"))
-    px = pw.join(pn, "pid").select("axis", "pid", "gram", "pl", (F.col("w") / F.col("pn")).alias("pw"))
-    index = fw.join(fn, "fid").select("axis", "gram", "fid", "fl", (F.col("w") / F.col("fn")).alias("fw"))
+
+    def weighted(grams: DataFrame, of: str, as_: str, letters: str) -> DataFrame:
+        """Weights of unit vectors, and the length that single letters have in each; written down, as it is read three times."""
+        x = grams.join(idf, ["axis", "gram"], "left").select("axis", of, "gram", (F.sqrt("tf") * unseen).alias("w"))
+        whole = Window.partitionBy(of)
+        x = x.withColumn("norm", F.sqrt(F.sum(energy).over(whole))).withColumn("ls", F.sqrt(F.coalesce(F.sum(F.when(letter, energy)).over(whole), F.lit(0.0))))
+        return checkpointed(x.select("axis", of, "gram", (F.col("ls") / F.col("norm")).alias(letters), (F.col("w") / F.col("norm")).alias(as_)))
+
+    px, index = weighted(pg, "pid", "pw", "pl"), weighted(fg, "fid", "fw", "fl")
     # parts and forms alike mostly share longer grams; where letters alone can reach the threshold, letters are looked up, too
     asked = px.where(~letter | (F.col("pl") >= least))
     shared = asked.join(index, ["axis", "gram"]).groupBy("pid", "fid").agg(F.sum(F.when(letter, 0.0).otherwise(F.col("pw") * F.col("fw"))).alias("dot"), F.max("pl").alias("pl"), F.max("fl").alias("fl"))

@@ -96,19 +96,10 @@ def thai_vowels(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, TWO_E, "แ"), NIKHAHIT_AA, "$1$2ำ")
 
 
-def plain_forms(texts: DataFrame, column: str = "value") -> DataFrame:
-    """(column, plain): the plain form of each distinct text that isn't null.
-
-    Canonical composition; ordinary spaces, hyphens and widths; no invisible (format) characters; Thai vowels as one
-    character; in a word of mixed alphabets, look-alikes in the alphabet of its unmistakable letters, or, if it has none,
-    of the unmistakable letters of the text, else Latin. Words wholly of another alphabet, other letters, spaces at
-    the ends and empty texts stay. Conjoining Hangul is not composed.
-    """
-    spark = texts.sparkSession
-    parts, twins = mappings(spark)
-    distinct = texts.select(F.col(column).alias("v")).where("v is not null").distinct()
-    odd = distinct.where(suspect(F.col("v"))).withColumn("k", F.md5("v"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # a small number of texts is spread, too
+def _composed(odd: DataFrame, parts: DataFrame) -> DataFrame:
+    """(k, seg, ch, rest) of texts (k, v): starters with their marks in order of class, composed; rest are the marks left."""
+    session = odd.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)  # a small number of texts is spread, too
     chars = odd.repartition(tasks, "k").select("k", F.posexplode(F.split("v", "")).alias("pos", "ch"))
     pieces = (
         chars.join(F.broadcast(parts), "ch", "left")
@@ -128,7 +119,12 @@ def plain_forms(texts: DataFrame, column: str = "value") -> DataFrame:
             F.struct(a["s"].alias("s"), F.concat(a["rest"], m["c"]).alias("rest"), m["ccc"].alias("last"))
         ),
     )
-    composed = segments.select("k", "seg", F.when(F.size("cs") == 1, first).otherwise(fold).alias("f")).select("k", "seg", F.col("f.s").alias("ch"), F.col("f.rest").alias("rest"))
+    return segments.select("k", "seg", F.when(F.size("cs") == 1, first).otherwise(fold).alias("f")).select("k", "seg", F.col("f.s").alias("ch"), F.col("f.rest").alias("rest"))
+
+
+def _own_alphabets(composed: DataFrame, twins: DataFrame) -> DataFrame:
+    """composed with every look-alike in the alphabet of its word."""
+    by = Window.partitionBy("k")
     letters = (
         composed.join(F.broadcast(twins), "ch", "left")
         .withColumn("script", _script(F.col("ch")))
@@ -145,6 +141,25 @@ def plain_forms(texts: DataFrame, column: str = "value") -> DataFrame:
     mixed = F.col("mL").cast("int") + F.col("mC").cast("int") + F.col("mG").cast("int") > 1
     target = F.coalesce(dominant("w"), dominant("t"), F.when(mixed, "L"))
     letters = letters.withColumn("ch", F.when(F.col("twins").isNotNull() & (target != F.col("script")), F.coalesce(F.element_at("twins", target), F.col("ch"))).otherwise(F.col("ch")))
+    return letters
+
+
+def plain_forms(texts: DataFrame, column: str = "value") -> DataFrame:
+    """(column, plain): the plain form of each distinct text that isn't null.
+
+    Canonical composition; ordinary spaces, hyphens and widths; no invisible (format) characters; Thai vowels as one
+    character; in a word of mixed alphabets, look-alikes in the alphabet of its unmistakable letters, or, if it has none,
+    of the unmistakable letters of the text, else Latin. Words wholly of another alphabet, other letters, spaces at
+    the ends and empty texts stay. Conjoining Hangul is not composed.
+    """
+    spark = texts.sparkSession
+    parts, twins = mappings(spark)
+    distinct = texts.select(F.col(column).alias("v")).where("v is not null").distinct()
+    odd = distinct.where(suspect(F.col("v"))).withColumn("k", F.md5("v"))
+    # letters of other alphabets can only be told from their twins beside one another
+    foreign = F.col("v").rlike(r"[\p{IsCyrillic}\p{IsGreek}]")
+    own = _composed(odd.where(~foreign), parts).select("k", "seg", "ch", "rest")
+    letters = own.unionByName(_own_alphabets(_composed(odd.where(foreign), parts), twins).select("k", "seg", "ch", "rest"))
     rebuilt = letters.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "ch", "rest"))), lambda x: F.concat(x["ch"], x["rest"])), "").alias("plain"))
     done = odd.join(rebuilt, "k", "left").select(F.col("v").alias(column), thai_vowels(F.coalesce("plain", F.lit(""))).alias("plain"))
     return done.unionByName(distinct.where(~suspect(F.col("v"))).select(F.col("v").alias(column), F.col("v").alias("plain")))
