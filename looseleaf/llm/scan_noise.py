@@ -49,8 +49,8 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """
     split = F.split("text", r"\r?\n")
     near = F.transform(F.col("ls"), lambda x, i: F.struct(i.alias("k"), x.alias("line"), F.get(F.col("ls"), i - 1).alias("above"), F.get(F.col("ls"), i + 1).alias("below")))
-    x = pages.where("text is not null").select("src", "row_id", "book", "first", "last", "titles", split.alias("ls"))
-    x = x.select("src", "row_id", "book", "first", "last", "titles", F.size("ls").alias("lines"), F.explode(near).alias("l")).select("src", "row_id", "book", "first", "last", "titles", "lines", "l.*")
+    x = pages.where("text is not null").select("src", "row_id", "book", "first", "last", split.alias("ls"))
+    x = x.select("src", "row_id", "book", "first", "last", F.size("ls").alias("lines"), F.explode(near).alias("l")).select("src", "row_id", "book", "first", "last", "lines", "l.*")
     plain = _digits(F.trim(F.regexp_replace("line", r"[\s\u00a0]+$", "")))
     alone = F.regexp_extract(plain, r"(?i)^[^\p{L}\p{N}]*(?:(?:หน้า|page|p\.?|pp\.?)\s*)?([0-9]{1,5})[^\p{L}\p{N}]*$", 1)
     before = F.regexp_extract(plain, r"^([0-9]{1,5})(?:\s*\||\t|\s{2,})", 1)
@@ -66,13 +66,13 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return x.withColumn("runs_on", F.col("above").rlike(r"[\p{L}\p{M},;\-]\s*$")).withColumn("goes_on", F.col("below").rlike(r"^\s*[\p{Ll}ก-๎]")).drop("above", "below")
 
 
-def title_folds(lines: DataFrame, known: tuple[str, ...], sample: int = SAMPLE) -> DataFrame:
+def title_folds(pages: DataFrame, lines: DataFrame, known: tuple[str, ...], sample: int = SAMPLE) -> DataFrame:
     """(src, book, fold) of lines that the classifier holds for titles.
 
     Fitted on known titles, of which half are shown as unknown, and on other lines of the sources in known, whose titles
     are all given. A line that is no known title and stands on one page only isn't repeated and no candidate.
     """
-    given = lines.select("src", "book", F.explode("titles").alias("t")).where("t is not null").select("src", "book", fold(F.col("t")).alias("fold")).where("length(fold) > 3").distinct()
+    given = pages.select("src", "book", F.explode("titles").alias("t")).where("t is not null").distinct().select("src", "book", fold(F.col("t")).alias("fold")).where("length(fold) > 3").distinct()
     one = lines.where("length(fold) > 3")
     number = lambda c: F.avg(F.col(c).cast("double"))
     stats = one.groupBy("src", "book", "fold").agg(
@@ -114,7 +114,7 @@ def _predicted(model, rows: DataFrame, features: list[str], to: str) -> DataFram
 def classified_lines(pages: DataFrame, known: tuple[str, ...] = ("source_notes",), sample: int = SAMPLE) -> DataFrame:
     """page_lines with header and page_number, whether the line is a running title or shows its page's number, or both."""
     lines = checkpointed(page_lines(pages))  # read several times below
-    titles = title_folds(lines, known, sample).withColumn("is_title", F.lit(True))
+    titles = title_folds(pages, lines, known, sample).withColumn("is_title", F.lit(True))
     marked = lines.join(titles, ["src", "book", "fold"], "left").fillna(False, ["is_title"]).withColumn("header", F.col("is_title") & (F.col("fold") != ""))
     # numbers: furniture by the line and its neighbours, where numbers of pages show what furniture looks like
     own = (F.col("number") >= F.col("first")) & (F.col("number") <= F.col("last"))
@@ -193,7 +193,7 @@ def joined_texts(body: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _read(pages: DataFrame, known: tuple[str, ...], sample: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lines, pairs, texts): classified lines, line pairs, and the joined text of each record."""
-    lines = checkpointed(classified_lines(_filled(pages), known, sample).select("src", "row_id", "k", "line", "header", "page_number", "furniture"))
+    lines = checkpointed(classified_lines(pages, known, sample).select("src", "row_id", "k", "line", "header", "page_number", "furniture"))
     body = checkpointed(bodies(lines))
     pairs = checkpointed(line_pairs(body, token_counts(body), sample))
     return lines, pairs, checkpointed(joined_texts(body, pairs))
@@ -218,13 +218,6 @@ def noise_kinds(pages: DataFrame, known: tuple[str, ...] = ("source_notes",), sa
     return out.distinct()
 
 
-def _filled(pages: DataFrame) -> DataFrame:
-    titles = pages.select("src", "book", F.explode("titles").alias("t")).where("t is not null").distinct().groupBy("src", "book").agg(F.array_sort(F.collect_set("t")).alias("_all"))
-    known = pages.join(titles, ["src", "book"], "left")
-    own = F.filter("titles", lambda t: t.isNotNull())
-    return known.withColumn("titles", F.when(F.size(own) > 0, own).otherwise(F.coalesce("_all", F.array().cast("array<string>")))).drop("_all")
-
-
 def corrected(texts: DataFrame, wrong: DataFrame) -> DataFrame:
     """texts (src, row_id, text) with the corrections (src, row_id, at, size, x) in their places; of two that overlap the first counts."""
     per = wrong.groupBy("src", "row_id").agg(F.array_sort(F.collect_set(F.struct("at", "size", "x"))).alias("cs"))
