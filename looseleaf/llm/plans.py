@@ -81,6 +81,12 @@ def p7_packed(spark, d):
     return pack_all(docs, table(spark, d, "pack_sizes")).withColumnRenamed("id", "doc_id")
 
 
+def p7_loads(spark, d):
+    """What is packed for each capacity: documents, parts and tokens, and whether no container is over it."""
+    each = p7_packed(spark, d).groupBy("capacity", "container").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("parts"), F.sum((F.col("part") == 0).cast("bigint")).alias("documents"))
+    return each.groupBy("capacity").agg(F.sum("documents").alias("documents"), F.sum("parts").alias("parts"), F.sum("load").alias("tokens"), (F.max("load") <= F.col("capacity")).alias("fits"))
+
+
 def p8_found(spark, d):
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -98,5 +104,8 @@ def p9_restored(spark, d):
     return damaged(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p5_found, p5_plain, p6_found, p6_redacted, p7_packed, p8_found, p8_spans, p9_found, p9_restored)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p5_found, p5_plain, p6_found, p6_redacted, p7_packed, p7_loads, p8_found, p8_spans, p9_found, p9_restored)}
+SQL = {
+    "p7_loads": """with d as (select octet_length(encode(text)) + 1 as n from documents where text is not null)
+select capacity, count(*) as documents, cast(sum(ceil(n / capacity)) as bigint) as parts, cast(sum(n) as bigint) as tokens, true as fits from pack_sizes cross join d group by capacity""",
+}
