@@ -3,24 +3,25 @@
 One automaton finds at-signs, schemes, digits, titles, cue words and parts of addresses. Around each anchor a small
 deterministic parser grows the mention and validates it: addresses of mail need a domain, citizen numbers their check
 digit, phone numbers a dialling prefix (of other countries a plus sign and a fitting length), account numbers and cards
-their check sum, places a house number, names a title, a family name or two capitalised words beside a cue. Mentions have
-no greatest length: a parser walks from its anchor as far as the mention goes.
-
-Known limit: two capitalised words beside a cue pass for a name whatever they mean ("this is Holy Basil").
+their check sum, places a house number, names a title, a family name or two capitalised words beside a cue, unless both
+are words that the corpus mostly writes in lower case ("this is Holy Basil"). Mentions have no greatest length: a parser
+walks from its anchor as far as the mention goes.
 
 Scale: a narrow projection. Texts without an anchor are answered in the JVM, by a pattern made from the same list of
 anchors; the others pass through one Arrow batch function that returns spans, and the placeholders are put in by Spark
-expressions. Nothing is shuffled.
+expressions. Only the counts of words are shuffled; of them the tasks get a filter of fixed size (2**COMMON_BITS bits).
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Titles and cue words, as they are written in Thai and English.
 TITLES_EN = ["Mr.", "Mrs.", "Ms.", "Ms", "Miss", "Dr.", "Khun"]
@@ -127,8 +128,35 @@ def _check_digit(d: str) -> bool:
     return (11 - sum(int(d[i]) * (13 - i) for i in range(12)) % 11) % 10 == int(d[12])
 
 
-def mentions(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every mention, in order of start; mentions don't overlap."""
+#: Size of the filter of common words, as a power of two; independent of the data.
+COMMON_BITS = 24
+
+
+def common_words(texts: DataFrame, column: str) -> np.ndarray:
+    """Filter of the words that stand in lower case at least as often as not, over all texts; parts of addresses of mail don't count."""
+    word = F.explode(F.regexp_extract_all(column, F.lit(r"(?<![\w.+@-])[A-Za-z]{2,}(?![\w+@-]|\.\w|\s?[(\[]at)"), F.lit(0)))
+    each = texts.where(F.col(column).isNotNull()).select(word.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    low = F.sum(F.when(F.col("w") == F.lower("w"), F.col("n")).otherwise(0))
+    common = each.groupBy(F.lower("w").alias("word")).agg(low.alias("low"), F.sum("n").alias("n")).where("2 * low >= n")
+    at = [F.conv(F.substring(F.md5("word"), 1 + 6 * i, 6), 16, 10).cast("bigint") for i in range(2)]
+    bits = common.select(F.explode(F.array(*at)).alias("p")).select(F.shiftright("p", 5).alias("at"), F.expr("shiftleft(1L, cast(p & 31 as int))").alias("bit"))
+    rows = bits.groupBy("at").agg(F.bit_or("bit").alias("v")).toPandas()  # 2**(COMMON_BITS - 5) rows at most
+    out = np.zeros(1 << (COMMON_BITS - 5), np.uint32)
+    out[rows["at"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def _is_common(word: str, common: np.ndarray) -> bool:
+    digest = hashlib.md5(word.lower().encode()).hexdigest()
+    return all(common[p >> 5] >> np.uint32(p & 31) & 1 for p in (int(digest[:6], 16), int(digest[6:12], 16)))
+
+
+def mentions(text: str, common: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every mention, in order of start; mentions don't overlap. common: a filter of common_words."""
+
+    def is_name(span: str) -> bool:
+        return common is None or re.fullmatch(f"{_NAME} {_NAME}", span) is None or not all(_is_common(w, common) for w in span.split())
+
     plain = text.translate(_ASCII)
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in PLACEHOLDERS}
     for last, (kind, size) in _automaton().iter(text.translate(_LOWER)):
@@ -186,11 +214,11 @@ def mentions(text: str) -> list[tuple[str, int, int]]:
         elif kind == "before":
             if start and text[start] == "-" and text[start - 1] not in " \n":
                 continue
-            if m := _PERSON.match(text, end):
+            if (m := _PERSON.match(text, end)) and is_name(m.group()):
                 found["person_name"].append(m.span())
         elif kind == "after":
             back = _before_name(text, start)
-            if m := _BEFORE.search(text[back:start]):
+            if (m := _BEFORE.search(text[back:start])) and is_name(m.group()):
                 found["person_name"].append((back + m.start(), start))
         elif kind == "title" and not (start and (text[start - 1].isalpha() or "ัฺ" <= text[start - 1] <= "๎")):
             if m := _TITLED.match(text, start):
@@ -203,16 +231,16 @@ def mentions(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: x[1])
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType())])))
-def _spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"kind": k, "start": s, "size": e - s} for k, s, e in mentions(t)])
-
-
 def with_mentions(df: DataFrame, column: str, to: str = "mentions") -> DataFrame:
     """df with an array of (kind, start from 0, size) of the mentions in a text; empty for null and empty texts."""
-    none = F.array().cast("array<struct<kind: string, start: int, size: int>>")
+    sent = df.sparkSession.sparkContext.broadcast(common_words(df, column))
+
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"kind": k, "start": s, "size": e - s} for k, s, e in mentions(t, sent.value)])
+
+    kind = "array<struct<kind: string, start: int, size: int>>"
     asked = F.when(F.col(column).rlike(ANCHORED), F.col(column)).otherwise("")
-    return df.withColumn(to, F.coalesce(F.when(asked != "", _spans(asked)), none))
+    return df.withColumn(to, F.coalesce(F.when(asked != "", F.pandas_udf(spans, kind)(asked)), F.array().cast(kind)))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -235,7 +263,6 @@ def redact(df: DataFrame, column: str) -> DataFrame:
 
 def mention_rows(cells: DataFrame) -> DataFrame:
     """(src, row_id, kind, nth) for cells (src, row_id, value); nth counts the mentions of a kind in a record from 1."""
-    asked = cells.where(F.col("value").rlike(ANCHORED))
-    each = with_mentions(asked, "value").select("src", "row_id", F.explode(F.array(*map(F.lit, PLACEHOLDERS))).alias("kind"), "mentions")
+    each = with_mentions(cells, "value").where(F.col("value").rlike(ANCHORED)).select("src", "row_id", F.explode(F.array(*map(F.lit, PLACEHOLDERS))).alias("kind"), "mentions")
     n = F.size(F.filter("mentions", lambda m: m["kind"] == F.col("kind")))
     return each.withColumn("n", n).where("n > 0").select("src", "row_id", "kind", F.explode(F.sequence(F.lit(1), "n")).alias("nth"))
