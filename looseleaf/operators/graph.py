@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from looseleaf.functions import text as t
+from looseleaf.operators.blocks import ranged, with_running_sum
 
 #: Fixed value: similarity from which two names count as near duplicates.
 NEAR = 0.82
@@ -20,6 +21,15 @@ def provenance(mentions: DataFrame, keys: list[str], source: str = "source") ->
     return files.select(*keys, F.array_join("fs", ",").alias("sources"), F.size("fs").alias("n"))
 
 
+def source_rows(mentions: DataFrame, keys: list[str], source: str = "source") -> DataFrame:
+    """(keys, nth, source): the distinct sources of each entity or relation as rows, numbered in order.
+
+    For names with any number of sources: no array holds them all, and the numbers are made in blocks.
+    """
+    x = ranged(mentions.where(F.col(source).isNotNull()).select(*keys, source).dropna(subset=keys).distinct(), keys, [source])
+    return with_running_sum(x, keys, [source], F.lit(1), F.col("_range"), "nth").select(*keys, "nth", source)
+
+
 def canonical_pairs(edges: DataFrame, a: str, b: str) -> DataFrame:
     """edges with source and target, the lesser end first; loops are left out."""
     return edges.where(F.col(a) != F.col(b)).withColumn("source", F.least(a, b)).withColumn("target", F.greatest(a, b))

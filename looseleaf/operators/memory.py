@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from looseleaf.operators.blocks import month_block, with_previous, with_running_sum
+from looseleaf.operators.checks import within_intervals
 
 #: Hours without a turn after which a consultation counts as over; exactly so many hours close it.
 GAP_HOURS = 6.0
@@ -115,3 +116,16 @@ def gate_sessions(turns: DataFrame, markers: list[str], gap_hours: float = GAP_H
     each = s.groupBy("user_id", "session_no").agg(F.coalesce(F.max(hit), F.lit(False)).alias("passed"))
     last = each.groupBy("user_id").agg(F.max("session_no").alias("last_no"))
     return each.join(last, "user_id").where("session_no < last_no").select("user_id", "session_no", "passed")
+
+
+def as_messages(turns: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """(user_id, turn_id, role, content) of turns with a text, roles renamed; turns of other roles are left out."""
+    to = F.element_at(F.create_map(*(F.lit(x) for kv in roles.items() for x in kv)), F.col("role"))
+    return turns.where("text is not null").select("user_id", "turn_id", to.alias("role"), F.col("text").alias("content")).where("role is not null")
+
+
+def gated_operations(ops: DataFrame, turns: DataFrame, markers: list[str], gap_hours: float = GAP_HOURS) -> DataFrame:
+    """(delivery_id, user_id, session_no): operations noted in a closed session that passed the gate, or within gap_hours after it; they alone may change a profile."""
+    passed = gate_sessions(turns, markers, gap_hours).where("passed").select("user_id", "session_no")
+    spans = session_summary(turns, gap_hours).join(passed, ["user_id", "session_no"]).withColumn("until", F.col("ended") + F.make_interval(hours=F.lit(int(gap_hours))))
+    return within_intervals(ops.where("user_id is not null"), spans, "user_id", "noted_at", "started", "until", ["delivery_id"], ["session_no"]).select("delivery_id", "user_id", "session_no")

@@ -43,6 +43,8 @@ QUERIES = {
     "session_transcripts": lambda s, d: m.transcripts(turns(s, d)),
     "session_gate": lambda s, d: m.gate_sessions(turns(s, d), MARKERS),
     "history_last_turns": lambda s, d: m.last_turns(turns(s, d)).select("user_id", "turn_id", "nth"),
+    "history_messages": lambda s, d: m.as_messages(m.last_turns(turns(s, d)), {"user": "user", "advisor": "assistant"}),
+    "gated_operations": lambda s, d: m.gated_operations(table(s, d, "profile_ops"), turns(s, d), MARKERS),
     "retrieval_text": lambda s, d: m.retrieval_text(turns(s, d)),
     "records_recent": lambda s, d: m.recent_records(table(s, d, "health_records")).select("user_id", "record_id", "nth"),
     "records_on_day": lambda s, d: m.records_on(table(s, d, "health_records"), "2025-06-15").select("record_id", "user_id"),
@@ -90,6 +92,13 @@ from s where text is not null group by user_id, session_no""",
     "session_gate": f"""with {_FLAGS}, g as (
   select user_id, cast(session_no as bigint) as session_no, coalesce(bool_or(role = 'user' and regexp_matches(text, 'cough|pain|ปวด|แห้ง', 'i')), false) as passed from s group by user_id, session_no)
 select user_id, session_no, passed from (select *, max(session_no) over (partition by user_id) as last_no from g) q where session_no < last_no""",
+    "history_messages": f"""with {_TURNS}
+select user_id, turn_id, case role when 'advisor' then 'assistant' else role end as role, text as content
+from (select *, row_number() over (partition by user_id order by ts desc, turn_id desc) as nth from t) q where nth <= 30 and text is not null and role in ('user', 'advisor')""",
+    "gated_operations": f"""with {_FLAGS}, g as (
+  select user_id, cast(session_no as bigint) as session_no, min(ts) as started, max(ts) as ended, coalesce(bool_or(role = 'user' and regexp_matches(text, 'cough|pain|ปวด|แห้ง', 'i')), false) as passed from s group by user_id, session_no),
+l as (select *, max(session_no) over (partition by user_id) as last_no from g)
+select delivery_id, p.user_id, session_no from profile_ops p join l on l.user_id = p.user_id and noted_at >= started and noted_at <= ended + interval 6 hour where passed and session_no < last_no""",
     "history_last_turns": f"""with {_TURNS}
 select user_id, turn_id, cast(nth as int) as nth from (select *, row_number() over (partition by user_id order by ts desc, turn_id desc) as nth from t) q where nth <= 30""",
     "retrieval_text": f"""with {_TURNS}, u as (select * from t where role = 'user' and text is not null and user_id is not null and ts is not null)

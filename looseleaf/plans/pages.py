@@ -86,6 +86,8 @@ QUERIES = {
     "turns_in_order": lambda s, d: c.in_order(table(s, d, "consultation_turns").where("ts is not null").select("turn_id", "ts"), ["ts", "turn_id"]).select("turn_id", "place"),
     "relation_lines": relation_lines,
     "graph_context": order_context,
+    "entity_sources": lambda s, d: g.source_rows(graph_plans.entity_files(s, d), ["name"]),
+    "relation_sources": lambda s, d: g.source_rows(graph_plans.mentions(s, d), ["source", "target"], "file"),
     "landing_variants": landing_variants,
     "token_chunks": lambda s, d: v.token_chunks(table(s, d, "documents"), "doc_id", "text"),
     "vectors_rebuilt": rebuilt_vectors,
@@ -131,6 +133,9 @@ where props is null or not json_valid(props) or json_type(props) <> 'OBJECT' or
     "relation_lines": f"""with {graph_plans._EDGES}, k as (select 'part-' || p_partkey as name from part union all select 'supplier-' || s_suppkey from supplier where s_acctbal > 0),
 b as (select source as name, target as other, weight from e union all select target, source, weight from e)
 select b.name, other, '- ' || case when other in (select name from k) then '[[' || other || ']]' else other end || ' (; ' || weight || ')' as line from b where b.name in (select name from k)""",
+    "entity_sources": """with f as (select distinct name, unnest(source_files) as source from exported_entities where name is not null)
+select name, row_number() over (partition by name order by source) as nth, source from f where source is not null""",
+    "relation_sources": f"with {graph_plans._MENTIONS}, f as (select distinct source, target, file from m) select source, target, row_number() over (partition by source, target order by file) as nth, file from f",
     "graph_context": """with x as (select distinct l_orderkey as o_orderkey, 0 as part, 'part-' || l_partkey || ': ' || p_name as line from lineitem join part on p_partkey = l_partkey
 union select l_orderkey, 1, 'part-' || l_partkey || ' -> ' || 'supplier-' || l_suppkey from lineitem)
 select o_orderkey, string_agg(line, chr(10) order by part, line) as block from orders left join x using (o_orderkey) group by o_orderkey
