@@ -48,18 +48,16 @@ MARKS = "ัิ-ฺ็-๎"
 THAI = "ก-ฺเ-๎"
 _UNITS = "st|nd|rd|th|ml|mg|kg|cm|mm|km|am|pm"
 #: Places of characters that can't stand where they are.
-HARD = "|".join(
-    [
-        f"([{MARKS}])\\1+�*|[่-๋]{{2,}}�*",
-        "[\ue000-\uf8ff�]",
-        f"(?<=[{THAI}])[A-Za-z|!](?=[{THAI}\\s]|$)|(?<![A-Za-z])[A-Za-z|](?=[{THAI}])",
-        f"(?<=[{THAI}])[0-9](?![0-9.,/])(?=[{THAI}\\s])|(?<![0-9.,/])[0-9](?=[{THAI}])",
-        "(?<=[A-Za-z])[0-9|!](?=[A-Za-z])",
-        "(?<=[A-Za-z]{2})[0-9|](?![0-9A-Za-z|])",
-        f"(?<![0-9A-Za-z.,/|])[0-9|](?!(?:{_UNITS})(?![a-z]))(?=[a-z]{{2,}})",
-    ]
-)
-_HARD, _SOFT = re.compile(HARD), re.compile(f"(?=({'|'.join(SOFT)}))")
+_ALIKE = ["[\ue000-\uf8ff�]", "(?<=[A-Za-z])[0-9|!](?=[A-Za-z])", "(?<=[A-Za-z]{2})[0-9|](?![0-9A-Za-z|])", f"(?<![0-9A-Za-z.,/|])[0-9|](?!(?:{_UNITS})(?![a-z]))(?=[a-z]{{2,}})"]
+_THAI_ONLY = [
+    f"([{MARKS}])\\1+�*|[่-๋]{{2,}}�*",
+    f"(?<=[{THAI}])[A-Za-z|!](?=[{THAI}\\s]|$)|(?<![A-Za-z])[A-Za-z|](?=[{THAI}])",
+    f"(?<=[{THAI}])[0-9](?![0-9.,/])(?=[{THAI}\\s])|(?<![0-9.,/])[0-9](?=[{THAI}])",
+]
+#: What such a place begins with, in texts with and without Thai letters; a look at it first saves most of the work.
+HARD = f"(?=[0-9A-Za-z|!�\ue000-\uf8ff{MARKS}])(?:{'|'.join([_THAI_ONLY[0], *_ALIKE[:1], *_THAI_ONLY[1:], *_ALIKE[1:]])})"
+HARD_LATIN = f"(?=[0-9|!�\ue000-\uf8ff])(?:{'|'.join(_ALIKE)})"
+_HARD, _HARD_LATIN, _ANY_THAI, _SOFT = re.compile(HARD), re.compile(HARD_LATIN), re.compile(f"[{THAI}]"), re.compile(f"(?=({'|'.join(SOFT)}))")
 _LATIN_WORD = re.compile("[A-Za-z0-9|!�À-ɏ’'-]+")
 _BOUNDARY = 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -133,7 +131,7 @@ def _key(h: dict[str, np.ndarray], kind: str, at: np.ndarray, until: np.ndarray)
 
 def _dirty(text: str) -> tuple[list, np.ndarray]:
     """Places of a text, as (at, until, hard), and how many characters of hard places stand before each character."""
-    found = [(m.start(), m.end(), True) for m in _HARD.finditer(text)]
+    found = [(m.start(), m.end(), True) for m in (_HARD if _ANY_THAI.search(text) else _HARD_LATIN).finditer(text)]
     bad = np.zeros(len(text) + 1, np.int32)
     for a, b, _ in found:
         bad[a + 1 : b + 1] = 1
@@ -152,12 +150,12 @@ _PLACES = "src string, row_id bigint, at int, size int, y string, hard boolean,
 
 def _words(text: str):
     """The word of two Latin letters or more at a place of a text, as a function; None if there is none."""
-    every = [m for m in _LATIN_WORD.finditer(text) if len(re.findall("[A-Za-z]", m.group())) > 1]
+    every = list(_LATIN_WORD.finditer(text))
     starts = [m.start() for m in every]
 
     def at(a: int):
         k = bisect_right(starts, a) - 1
-        return every[k] if k >= 0 and a < every[k].end() else None
+        return every[k] if k >= 0 and a < every[k].end() and len(re.findall("[A-Za-z]", every[k].group())) > 1 else None
 
     return at
 
