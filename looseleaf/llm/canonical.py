@@ -55,10 +55,9 @@ def _grams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.withColumn("_p", _squeezed(F.col(text))).select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _forms(terms: DataFrame) -> DataFrame:
+def _forms(entries: DataFrame, plain: DataFrame) -> DataFrame:
     """(axis, term_id, form): normal forms of the reference list, and names of two words with the first cut to its initial."""
-    both = terms.select("axis", "term_id", F.explode(F.array("term", "term_en")).alias("value")).where("value is not null")
-    plain = both.join(plain_forms(both), "value")
+    plain = entries.join(plain, "value")
     forms = plain.select("axis", "term_id", normal(F.col("plain")).alias("form")).where("form <> ''")
     short = forms.where(F.col("form").rlike("^[a-z]{2,} [a-z]{4,}$")).withColumn("form", F.regexp_replace("form", "^([a-z])[a-z]+", "$1."))
     return forms.unionByName(short).distinct()
@@ -100,9 +99,10 @@ def match_values(values: DataFrame, terms: DataFrame, threshold: float = THRESHO
     entries are no match; an axis without entries matches nothing.
     """
     distinct = values.where("value is not null and value <> ''").select("axis", "value").distinct()
-    plain = distinct.join(plain_forms(distinct), "value").select("axis", "value", normal(F.col("plain")).alias("norm"))
-    plain = checkpointed(plain)
-    forms = checkpointed(_forms(terms))
+    entries = terms.select("axis", "term_id", F.explode(F.array("term", "term_en")).alias("value")).where("value is not null")
+    texts = checkpointed(plain_forms(distinct.select("value").unionByName(entries.select("value"))))  # of both sides at once
+    plain = checkpointed(distinct.join(texts, "value").select("axis", "value", normal(F.col("plain")).alias("norm")))
+    forms = checkpointed(_forms(entries, texts))
     parts = checkpointed(_parts(plain, _wrappings(plain, forms, shown_by)))
     # grams carry numbers instead of texts
     each = parts.select("axis", "part").distinct().withColumn("pid", F.xxhash64("axis", "part"))
