@@ -96,7 +96,8 @@ def cited(spark, d):
 
 
 def passages(spark, d):
-    return table(spark, d, "source_notes").select(F.col("note_id").cast("int").alias("id"), "book_id", F.col("page_first").alias("first"), F.col("page_last").alias("last"))
+    """Notes by id; ids of notes are of 64 bits, cited ones of 32."""
+    return table(spark, d, "source_notes").select(F.col("note_id").alias("id"), "book_id", F.col("page_first").alias("first"), F.col("page_last").alias("last"))
 
 
 def titles(spark, d):
