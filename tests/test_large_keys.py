@@ -24,3 +24,10 @@ def shifted(spark, tmp_path_factory):
 def test_citations_of_large_ids(spark, shifted):
     got = spark_rows(graph.QUERIES["citations"](spark, shifted))
     assert got[1] and got == duck(shifted, graph.SQL["citations"])
+
+
+def test_invented_ids_among_large_ids(spark, shifted):
+    df = graph.QUERIES["invented_ids"](spark, shifted)
+    got = spark_rows(df)
+    assert got[1] and got == duck(shifted, graph.SQL["invented_ids"])
+    assert dict(df.dtypes) == {"id": "int", "reply_id": "bigint"}
