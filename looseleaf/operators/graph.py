@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,6 +11,8 @@ from looseleaf.operators.blocks import ranged, with_running_sum
 
 #: Fixed value: similarity from which two names count as near duplicates.
 NEAR = 0.82
+#: Fixed value: letters of pairs of names that are compared at once.
+BATCH = 1 << 18
 
 
 def provenance(mentions: DataFrame, keys: list[str], source: str = "source") -> DataFrame:
@@ -91,16 +91,51 @@ def concept_notes(entities: DataFrame) -> DataFrame:
     return entities.where("name is not null").select("entity_id", F.concat(stem, F.lit(".md")).alias("filename"), F.concat(head, body).alias("content"))
 
 
-def similarity(least: float):
-    """Ratcliff-Obershelp similarity of two columns of names; 0 where shared letters alone can't reach least."""
+def similarity():
+    """Ratcliff-Obershelp similarity of two columns of names, that of difflib without junk.
+
+    All pairs of a batch go through the search for the longest common block together, then all stretches that are left
+    before and after the blocks, by their size. Of blocks of one length the first in a counts, then the first in b.
+    """
+
+    def longest(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in a, place in b, length) of the longest common block of each stretch (row, from, to, from, to). a, b: all letters, and where each row begins."""
+        row, alo, ahi, blo, bhi = part
+        wide = int((bhi - blo).max())
+        places = np.arange(wide, dtype=np.int32)[:, None]
+        within = blo + places < bhi
+        y = b[0][b[1][row] + np.minimum(blo + places, bhi - 1)]
+        run = np.zeros((wide + 1, len(row)), np.int32)  # of the common block that ends at each place; the first stands for none
+        i, j, size = alo.copy(), blo.copy(), np.zeros(len(row), np.int32)
+        for step in range(int((ahi - alo).max())):
+            at = alo + step
+            run[1:] = (run[:-1] + 1) * ((y == a[0][a[1][row] + np.minimum(at, ahi - 1)]) & within & (at < ahi))
+            n = run[1:].max(axis=0)
+            more = n > size
+            if more.any():
+                size[more], i[more] = n[more], (at - n + 1)[more]
+                j[more] = (blo + run[1:].argmax(axis=0) - n + 1)[more]
+        return i, j, size
 
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        letters = {x: Counter(x) for x in {*a, *b}}
-        out = []
-        for x, y in zip(a, b):
-            bound = 2 * (letters[x] & letters[y]).total() / (len(x) + len(y))
-            out.append(difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() if bound >= least - 1e-9 else 0.0)
-        return pd.Series(out)
+        la, lb = (np.fromiter(map(len, x), np.int32, len(x)) for x in (a, b))
+        flat = lambda x, n: (np.frombuffer("".join(x).encode("utf-32-le"), np.uint32), np.cumsum(n, dtype=np.int64) - n)
+        xs, ys = flat(a, la), flat(b, lb)
+        matched = np.zeros(len(a), np.int64)
+        todo = np.stack([np.arange(len(a), dtype=np.int32), 0 * la, la, 0 * lb, lb])
+        while (todo := todo[:, (todo[1] < todo[2]) & (todo[3] < todo[4])]).size:
+            size = np.ceil(np.log2(np.maximum(todo[2] - todo[1], todo[4] - todo[3]))).astype(int)
+            left = []
+            for k in np.unique(size):
+                same = todo[:, size == k]
+                for part in np.array_split(same, 1 + (same.shape[1] << k) // BATCH, axis=1):
+                    if part.size:
+                        i, j, n = longest(xs, ys, part)
+                        np.add.at(matched, part[0], n)
+                        row, alo, ahi, blo, bhi = part
+                        left += [np.stack([row, alo, i, blo, j])[:, n > 0], np.stack([row, i + n, ahi, j + n, bhi])[:, n > 0]]
+            todo = np.concatenate(left, axis=1)
+        return pd.Series(np.where(la + lb > 0, 2.0 * matched / np.maximum(la + lb, 1), 1.0))
 
     return of
 
@@ -109,22 +144,48 @@ def near_names(names: DataFrame, least: float = NEAR) -> DataFrame:
     """(a, b, similarity) of different names at least so similar, blanks and case aside; a < b.
 
     Exact. M matched letters of names of lengths p and q lie in at most p + q - 2M + 1 blocks, so the names share at least
-    3M - p - q - 1 letter pairs; with M from the similarity asked for, a name must share one of its rarer pairs, and only
-    those are joined. Bounds on lengths and on shared letters come before the costly comparison, which runs in Arrow batches.
+    3M - p - q - 1 letter pairs in their blocks; with M from the similarity asked for, the rarest of these is among the
+    rarer pairs of both, and only those are joined. The other bounds come with the join: what can still be matched before,
+    after and beside that pair, the letters of both as bits, and the edits that M leaves (letters outside blocks). Forms
+    are compared once whatever the number of their spellings; the comparison itself runs in Arrow batches.
     """
-    distinct = names.where("name is not null").select("name").distinct().withColumn("s", t.squeezed(F.col("name"))).where("length(s) > 1")
+    spelt = names.where("name is not null").select("name").distinct().withColumn("s", t.squeezed(F.col("name"))).where("length(s) > 1")
     n = F.length("s")
-    each = distinct.select("name", "s", F.posexplode(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("at", "g"))
-    each = each.withColumn("o", F.row_number().over(Window.partitionBy("name", "g").orderBy("at")))
-    freq = each.groupBy("g", "o").agg(F.count(F.lit(1)).alias("f"))
-    ranked = each.join(freq, ["g", "o"]).withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("f", "g", "o")))
+    forms = spelt.select("s").distinct().withColumn("letters", _letters("s"))
+    each = forms.select("s", "letters", F.posexplode(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("s"), i, F.lit(2)))).alias("at", "g"))
+    freq = each.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    ranked = each.join(freq, "g").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("f", "g", "at")))
     shared = F.greatest(F.lit(1), F.ceil((1.5 * least - 1) * 2 * n / (2 - least) - 1))
-    prefix = ranked.where(F.col("r") <= n - shared).select("name", "s", "g", "o")
-    a, b = prefix.select(F.col("name").alias("a"), F.col("s").alias("sa"), "g", "o"), prefix.select(F.col("name").alias("b"), F.col("s").alias("sb"), "g", "o")
-    la, lb = F.length("sa"), F.length("sb")
-    pairs = a.join(b, ["g", "o"]).where((F.col("a") < F.col("b")) & (2 * F.least(la, lb) >= least * (la + lb))).select("a", "b", "sa", "sb").distinct()
-    ratio = F.pandas_udf(similarity(least), "double")
-    return pairs.withColumn("similarity", F.round(ratio("sa", "sb"), 6)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    prefix = ranked.where(F.col("r") <= n - shared).select("s", n.alias("n"), "letters", "g", "at", "r")
+    a, b = (prefix.select("g", *(F.col(c).alias(f"{c}_{side}") for c in ("s", "n", "letters", "at", "r"))) for side in "ab")
+    p, q = F.col("n_a"), F.col("n_b")
+    m = F.ceil((least - 1e-6) * (p + q) / 2)  # similarities are rounded to six places
+    rest = (p + q - 2 * m).cast("int")
+    fits = (
+        ((p < q) | ((p == q) & (F.col("s_a") < F.col("s_b"))))
+        & (p >= m)
+        & (F.least("at_a", "at_b") + F.least(p - F.col("at_a"), q - F.col("at_b")) >= m)
+        & (F.least(p - F.col("r_a"), q - F.col("r_b")) >= 3 * m - p - q - 1)
+        & (F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= rest)
+        & (F.call_function("levenshtein", "s_a", "s_b", rest) >= 0)  # -1 beyond the rest
+    )
+    pairs = a.join(b, "g").where(fits).select("s_a", "s_b").distinct()
+    one, other = spelt.select(F.col("name").alias("x"), F.col("s").alias("s_a")), spelt.select(F.col("name").alias("y"), F.col("s").alias("s_b"))
+    first = F.col("x") < F.col("y")
+    side = lambda x, y, to: F.when(first, F.col(x)).otherwise(F.col(y)).alias(to)
+    met = pairs.join(one, "s_a").join(other, "s_b").select(side("x", "y", "a"), side("y", "x", "b"), side("s_a", "s_b", "sa"), side("s_b", "s_a", "sb"))
+    near = met.withColumn("similarity", F.round(F.pandas_udf(similarity(), "double")("sa", "sb"), 6)).where(F.col("similarity") >= least)
+    same = one.join(other.withColumnRenamed("s_b", "s_a"), "s_a").where(first).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("similarity"))
+    return near.select("a", "b", "similarity").unionByName(same)
+
+
+def _letters(c: str) -> Column:
+    """The letters of a text as bits, three in each of 21 classes: one for each of the first three letters of the class.
+
+    Two texts differ in at most as many bits as one has letters that the other hasn't.
+    """
+    place = "3 * pmod(hash(x), 21)"
+    return F.expr(f"aggregate(split({c}, ''), 0L, (z, x) -> z | shiftleft(1L + 2 * (shiftright(z, {place}) & 3L) & 7L, {place}))")
 
 
 def landing(values: DataFrame, names: DataFrame) -> DataFrame:
@@ -169,7 +230,7 @@ def near_variants(values: DataFrame, names: DataFrame, least: float = NEAR) -> D
     la, lb = F.length("s"), F.length("k")
     # names so near share letter pairs: 3M - p - q - 1 of them at least
     met = missed.select("axis", "value", "s", pair("s")).join(known.select("name", "k", pair("k")), "g").where(2 * F.least(la, lb) >= least * (la + lb)).select("axis", "value", "s", "name", "k").distinct()
-    ratio = F.pandas_udf(similarity(least), "double")
+    ratio = F.pandas_udf(similarity(), "double")
     return met.withColumn("similarity", F.round(ratio("s", "k"), 6)).where(F.col("similarity") >= least).select("axis", "value", "name", "similarity")
 
 
