@@ -49,6 +49,16 @@ def topic_menu(text: Column) -> Column:
     return F.when(good, F.struct(visible.alias("visible"), topics.alias("topics"))).otherwise(F.struct(text.alias("visible"), F.array().cast("array<string>").alias("topics")))
 
 
+def invented(cited: DataFrame, passages: DataFrame) -> DataFrame:
+    """(id, reply_id), each pair once: cited ids without a passage; none, as with NOT IN, if a passage has no id.
+
+    cited: (reply_id, id); passages: (id, ...).
+    """
+    ids = passages.select("id")
+    unknown = ids.where("id is null").select(F.lit(True).alias("unknown")).limit(1)
+    return cited.join(ids, "id", "left_anti").distinct().join(unknown, F.lit(True), "left_anti")
+
+
 def resolve(cited: DataFrame, passages: DataFrame, books: DataFrame) -> DataFrame:
     """(reply_id, citation): titles with page ranges, grouped by book in order of the first cited id, BOOKS at most.
 

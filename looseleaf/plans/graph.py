@@ -138,7 +138,7 @@ QUERIES = {
     "section_budget": sections,
     "context_blocks": context_blocks,
     "cited_ids": cited,
-    "invented_ids": lambda s, d: cited(s, d).join(passages(s, d), "id", "left_anti"),
+    "invented_ids": lambda s, d: r.invented(cited(s, d), passages(s, d)),
     "citations": lambda s, d: r.resolve(cited(s, d), passages(s, d), titles(s, d)),
     "citation_split": lambda s, d: advised(s, d).select("reply_id", r.split_citation(F.col("cited")).alias("x")).select("reply_id", "x.body", "x.citation"),
     "topic_menus": lambda s, d: advised(s, d).select("reply_id", r.topic_menu(F.col("with_menu")).alias("x")).select("reply_id", "x.visible", F.array_join("x.topics", "|").alias("topics")),
