@@ -109,32 +109,28 @@ def suspicious(f: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(hit, starts[:-1]) > 0 if len(starts) > 1 else np.zeros(0, bool)
 
 
-_UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}")
+#: Valid UTF-8 beyond ASCII, as ranges of the bytes of each sequence.
+_SEQUENCES = (((0xC2, 0xDF), (0x80, 0xBF)), ((0xE0, 0xE0), (0xA0, 0xBF), (0x80, 0xBF)), ((0xE1, 0xEC), (0x80, 0xBF), (0x80, 0xBF)), ((0xED, 0xED), (0x80, 0x9F), (0x80, 0xBF)), ((0xEE, 0xEF), (0x80, 0xBF), (0x80, 0xBF)), ((0xF0, 0xF0), (0x90, 0xBF), (0x80, 0xBF), (0x80, 0xBF)))
+
+
+@lru_cache(8)
+def _utf8_read_in(codec: str) -> re.Pattern:
+    """A UTF-8 sequence as it reads in codec."""
+    table = _bytes_of(codec)
+    read = lambda lo, hi: "[" + "".join(c for c, b in table.items() if lo <= b <= hi) + "]"
+    return re.compile("|".join("".join(read(*r) for r in ranges) for ranges in _SEQUENCES))
+
+
+@lru_cache(1 << 16)
+def _letter(sequence: str, codec: str) -> str:
+    table = _bytes_of(codec)
+    return bytes(table[c] for c in sequence).decode()
 
 
 def read_again(word: str, codec: str) -> str | None:
     """The word with its UTF-8 sequences, which were read in codec, read right; None if it has none."""
-    table, out, changed = _bytes_of(codec), [], False
-    for run in re.split(r"([^\x00-\x7f]+)", word):
-        if not run or run[0] < "\x80":
-            out.append(run)
-            continue
-        raw = [table.get(c, -1) for c in run]
-        at = 0
-        while at < len(raw):
-            size = 2 if 0xC2 <= raw[at] <= 0xDF else 3 if 0xE0 <= raw[at] <= 0xEF else 4 if raw[at] == 0xF0 else 0
-            piece = raw[at : at + size]
-            if size and -1 not in piece and _UTF8.fullmatch(bytes(piece)):
-                try:
-                    out.append(bytes(piece).decode())
-                    changed = True
-                    at += size
-                    continue
-                except UnicodeDecodeError:
-                    pass
-            out.append(run[at])
-            at += 1
-    return "".join(out) if changed else None
+    out, changed = _utf8_read_in(codec).subn(lambda m: _letter(m[0], codec), word)
+    return out if changed else None
 
 
 def thai_bytes(word: str) -> list[int] | None:
@@ -163,20 +159,39 @@ _ASKED = re.compile(r"[^\W\d_]\?[^\W\d_]")
 _GONE = re.compile(r"\?{3,}")
 
 
+#: Western letters that bytes of Thai letters were read as.
+_HIGH_WESTERN = re.compile("[\xa1-\xfb]")
+
+
+@lru_cache(1)
+def _cp1252() -> tuple[re.Pattern, dict[int, int]]:
+    """Words that cp1252 can hold, and what turns them into its bytes."""
+    table = _bytes_of("cp1252")
+    return re.compile("[\x00-\x7f" + "".join(table) + "]*"), {ord(c): b for c, b in table.items()}
+
+
 _THAI_WORD = re.compile("[ก-๛]+")
 
 
 THAI_LETTERS = [0x20, *range(0x0E01, 0x0E5C)]
 
 
+class _Logs(dict):
+    """Log likelihood of pairs of characters; pairs within ASCII count nothing."""
+
+    def __missing__(self, pair: tuple[str, str]) -> float:
+        self[pair] = found = 0.0 if pair[0] < "\x80" and pair[1] < "\x80" else -UNSEEN
+        return found
+
+
 class Model:
     """Corpus frequencies: pairs of Thai letters, and the other pairs and the words that one text asks for.
 
-    A model without frequencies (asking) notes what it is asked for.
+    A model without frequencies (asking) notes what it is asked for, by kind; its scores say nothing.
     """
 
-    def __init__(self, pairs: dict[tuple[int, int], int], totals: dict[int, int], words: dict[str, int] | None = None, all_words: int = 0, fills: dict[str, str] | None = None, step: np.ndarray | None = None, asking: set | None = None):
-        self.logs = {k: math.log(n / (totals.get(k[0], n) + 50)) for k, n in pairs.items()}
+    def __init__(self, pairs: dict[tuple[int, int], int], totals: dict[int, int], words: dict[str, int] | None = None, all_words: int = 0, fills: dict[str, str] | None = None, step: np.ndarray | None = None, asking: dict[str, set] | None = None):
+        self.logs = _Logs({(chr(a), chr(b)): max(math.log(n / (totals.get(a, n) + 50)), -UNSEEN) for (a, b), n in pairs.items()})
         self.words, self.all, self.fills, self.asking = words or {}, all_words + 1, fills or {}, asking
         self.thai = THAI_LETTERS
         self.step = thai_steps(pairs, totals) if step is None else step
@@ -184,14 +199,15 @@ class Model:
     def score(self, word: str) -> float:
         """Log likelihood of a word between blanks, of its pairs that hold a character beyond ASCII."""
         core = word.strip(".,;:!?()[]\"'“”*_#")
-        codes = [0x20, *map(ord, word), 0x20]
+        pairs = zip(" " + word, word + " ")
         if self.asking is not None:
-            self.asking.add(("word", core))
-            self.asking.update(("pair", str((a << 21) + b)) for a, b in zip(codes, codes[1:]) if a > 127 or b > 127)
+            self.asking["word"].add(core)
+            self.asking["pair"].update(pairs)
+            return 0.0
         if core in self.words:
             return max(math.log(self.words[core] / self.all), -UNSEEN) - 1
-        known = sum(max(self.logs.get((a, b), -UNSEEN), -UNSEEN) for a, b in zip(codes, codes[1:]) if a > 127 or b > 127)
-        return known - (UNSEEN if _ASKED.search(word) else 0) - 3 * sum(map(len, _GONE.findall(word)))
+        known = sum(map(self.logs.__getitem__, pairs))
+        return known - (UNSEEN if _ASKED.search(word) else 0) - 3 * sum(map(len, _GONE.findall(word))) if "?" in word else known
 
     def fill_word(self, word: str) -> str | None:
         """The most frequent corpus word that a word with wildcards can stand for."""
@@ -200,11 +216,13 @@ class Model:
             return None
         core = m.group()
         if self.asking is not None:
-            self.asking.add(("fill", core))
+            self.asking["fill"].add(core)
         return word[: m.start()] + self.fills[core] + word[m.end() :] if core in self.fills else None
 
     def fill_thai(self, raw: list[int]) -> tuple[str, float]:
         """The most likely Thai text of bytes with wildcards, by Viterbi search over letters."""
+        if self.asking is not None:
+            return "", 0.0
         n = len(self.thai)
         best, back = np.where(np.arange(n) == 0, 0.0, -1e9), []
         for b in raw:
@@ -253,10 +271,10 @@ def _readings(word: str, model: Model) -> dict[str, tuple[str, float]]:
             out[codec] = (once, model.score(once) - CHANNEL)
             if (twice := read_again(once, codec)) is not None:
                 out[codec + " twice"] = (twice, model.score(twice) - 2 * CHANNEL)
-    table = _bytes_of("cp1252")
-    if any("\xa1" <= c <= "\xfb" for c in word) and all(c < "\x80" or c in table for c in word):
+    western, to_bytes = _cp1252()
+    if _HIGH_WESTERN.search(word) and western.fullmatch(word):
         try:
-            thai = bytes(table.get(c, ord(c)) if c >= "\x80" else ord(c) for c in word).decode("cp874")
+            thai = word.translate(to_bytes).encode("latin-1").decode("cp874")
             out["thai"] = (thai, model.score(thai) - CHANNEL)
         except UnicodeDecodeError:
             pass
@@ -282,9 +300,10 @@ def decode(text: str, model: Model) -> tuple[bool, str]:
     """
     parts = re.split(r"([ \t\r\n]+)", text)
     words = parts[::2]
+    of = {word: _readings(word, model) for word in set(words)}
     best: dict[str, tuple[float, tuple]] = {"as is": (0.0, ())}
     for word in words:
-        readings = _readings(word, model)
+        readings = of[word]
         new = {}
         top = max(best.values(), key=lambda x: x[0])
         for channel, (read, score) in readings.items():
@@ -337,8 +356,11 @@ def _count(batches: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]
         rest = np.flatnonzero(~both & ((a > 127) | (b > 127)))
         keys, counts = np.unique((a[rest].astype(np.int64) << 21) + b[rest], return_counts=True)
         pairs.update(dict(zip(keys.tolist(), counts.tolist())))
-        for k in np.flatnonzero(sound & foreign):
-            words.update(_WORD.findall(texts[k]))
+        # no word reaches over a blank, and each distinct piece is looked through once
+        pieces = Counter(w for k in np.flatnonzero(sound & foreign) for w in texts[k].split() if not w.isascii())
+        for piece, n in pieces.items():
+            for w in _WORD.findall(piece):
+                words[w] += n
         if len(pairs) + len(words) > AT_ONCE:
             yield counted()
     yield counted()
@@ -352,15 +374,16 @@ def frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(text).mapInPandas(lambda b: _count(b, text), "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _wanted(texts: list[str]) -> list[list[dict]]:
-    """What the decoding of each text asks of the frequencies."""
-    out = []
+def _wanted(texts: list[str]) -> list[tuple[list[int], list[str], list[dict]]]:
+    """What the decoding of each text asks of the frequencies: (pairs, words, fills)."""
+    out, step = [], np.zeros((len(THAI_LETTERS), len(THAI_LETTERS)))
     for t in texts:
-        asking: set = set()
-        model = Model({}, {}, {}, 0, {}, np.zeros((len(THAI_LETTERS), len(THAI_LETTERS))), asking)
+        asking: dict[str, set] = {"pair": set(), "word": set(), "fill": set()}
+        model = Model({}, {}, {}, 0, {}, step, asking)
         for word in set(re.split(r"[ \t\r\n]+", t)):
             _readings(word, model)
-        out.append([{"kind": k, "key": v, "skeleton": skeleton(v) if k == "fill" else None, "pattern": pattern(v) if k == "fill" else None} for k, v in asking])
+        pairs = [(ord(a) << 21) + ord(b) for a, b in asking["pair"] if a > "\x7f" or b > "\x7f"]
+        out.append((pairs, list(asking["word"]), [{"key": v, "skeleton": skeleton(v), "pattern": pattern(v)} for v in asking["fill"]]))
     return out
 
 
@@ -388,24 +411,24 @@ def damaged(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", se
             _, f, starts = _codes(list(batch["text"]))
             odd = batch[suspicious(f, starts)]
             if len(odd):
-                yield pd.DataFrame({"doc": odd["doc"], "text": odd["text"], "row": [str(uuid4()) for _ in range(len(odd))], "asked": _wanted(list(odd["text"]))})
+                yield pd.DataFrame({"doc": odd["doc"], "text": odd["text"], "row": [str(uuid4()) for _ in range(len(odd))]} | dict(zip(("pairs", "words", "fills"), zip(*_wanted(list(odd["text"]))))))
 
     asked = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.length(text) > 0)
-    suspects = checkpointed(asked.mapInPandas(ask, f"doc {kind}, text string, row string, asked array<struct<kind: string, key: string, skeleton: string, pattern: string>>"))
-    wants = suspects.select("row", F.explode("asked").alias("w")).select("row", "w.*")
-    pair_of = pairs.join(totals, "a").select(F.col("pair").cast("string").alias("key"), F.struct(F.lit("pair").alias("kind"), F.col("pair").cast("string").alias("key"), "n", "total", F.lit("").alias("word")).alias("v"))
+    suspects = checkpointed(asked.mapInPandas(ask, f"doc {kind}, text string, row string, pairs array<bigint>, words array<string>, fills array<struct<key: string, skeleton: string, pattern: string>>"))
+    wants = {k: suspects.select("row", F.explode(k + "s").alias("key")) for k in ("pair", "word")} | {"fill": suspects.select("row", F.explode("fills").alias("w")).select("row", "w.*")}
+    pair_of = pairs.join(totals, "a").select(F.col("pair").alias("key"), F.struct(F.lit("pair").alias("kind"), F.col("pair").cast("string").alias("key"), "n", "total", F.lit("").alias("word")).alias("v"))
     word_of = words.select(F.col("word").alias("key"), F.struct(F.lit("word").alias("kind"), F.col("word").alias("key"), "n", F.lit(0).cast("bigint").alias("total"), F.lit("").alias("word")).alias("v"))
-    fills = wants.where("kind = 'fill'").select("key", "skeleton", "pattern").distinct()
+    fills = wants["fill"].select("key", "skeleton", "pattern").distinct()
     bare = F.regexp_replace("word", r"[^\x00-\x7f]|\?", "*")
     # both sides of a fill are alike within ASCII; of the words that fit the most frequent counts
     met = fills.join(words.withColumn("skeleton", bare), "skeleton").where(F.regexp_like("word", F.col("pattern")))
     fill_of = met.groupBy("key").agg(F.max(F.struct("n", "word")).alias("b")).select("key", F.struct(F.lit("fill").alias("kind"), F.col("key"), F.col("b.n").alias("n"), F.lit(0).cast("bigint").alias("total"), F.col("b.word").alias("word")).alias("v"))
     got = None
     for k, side in (("pair", pair_of), ("word", word_of), ("fill", fill_of)):
-        one = wants.where(F.col("kind") == k).select("row", "key").join(side, "key").select("row", "v")
+        one = wants[k].select("row", "key").join(side, "key").select("row", "v")
         got = one if got is None else got.unionByName(one)
     # a filled word is scored like any other
-    filled = wants.where("kind = 'fill'").select("row", "key").join(fill_of, "key").select("row", F.col("v.word").alias("key")).join(word_of, "key").select("row", "v")
+    filled = wants["fill"].select("row", "key").join(fill_of, "key").select("row", F.col("v.word").alias("key")).join(word_of, "key").select("row", "v")
     known = got.unionByName(filled).groupBy("row").agg(F.collect_list("v").alias("known"))
 
     def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
